@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mix_budget, pack_ga, quality_crf, secret_scan, url_reputation
+from . import mix_budget, ngram_join, pack_ga, quality_crf, secret_scan, url_reputation
 
 QUERIES = {
     "op1_quality_crf": quality_crf.query,
+    "op2_ngram_join": ngram_join.query,
     "op3_url_reputation": url_reputation.query,
     "op5_mix_budget": mix_budget.query,
     "op6_pack_ga": pack_ga.query,
