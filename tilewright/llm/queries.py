@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mix_budget, ngram_join, pack_ga, quality_crf, secret_scan, url_reputation
+from . import gru_lm, mix_budget, ngram_join, pack_ga, quality_crf, secret_scan, url_reputation
 
 QUERIES = {
     "op1_quality_crf": quality_crf.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_url_reputation": url_reputation.query,
     "op5_mix_budget": mix_budget.query,
     "op6_pack_ga": pack_ga.query,
+    "op7_gru_lm": gru_lm.query,
     "op9_secret_scan": secret_scan.query,
 }
 SQL = {"op3_url_reputation": url_reputation.SQL}
