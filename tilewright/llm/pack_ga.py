@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ranked, stored, table
-from .tokens import WordEncoder, tokenizer_path
+from .tokens import encoder
 
 CAPACITY = 2048
 Pattern = tuple[tuple[int, int], ...]
@@ -39,7 +39,7 @@ def pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: i
     path = tokenizer
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(tokenizer_path(path))
+        encode = encoder(path)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             row, piece, start, length, crc = [], [], [], [], []
