@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import gru_lm, mix_budget, ngram_join, pack_ga, quality_crf, secret_scan, url_reputation
+from . import ann_forest, chroma, gru_lm, mix_budget, ngram_join, pack_ga, quality_crf, secret_scan, token_histogram, url_reputation
 
 QUERIES = {
     "op1_quality_crf": quality_crf.query,
     "op2_ngram_join": ngram_join.query,
     "op3_url_reputation": url_reputation.query,
+    "op4_ann_forest": ann_forest.query,
     "op5_mix_budget": mix_budget.query,
     "op6_pack_ga": pack_ga.query,
     "op7_gru_lm": gru_lm.query,
+    "op8_token_histogram": token_histogram.query,
     "op9_secret_scan": secret_scan.query,
+    "op10_chroma": chroma.query,
 }
 SQL = {"op3_url_reputation": url_reputation.SQL}
