@@ -214,7 +214,8 @@ def instance_bbox_centroid(spark, sf_dir):
 
 
 _MAJORITY = """
-votes AS (SELECT vec_id, inst, cls, count(*) n, sum(count(*)) OVER (PARTITION BY vec_id, inst) size FROM inst GROUP BY ALL),
+votes0 AS (SELECT vec_id, inst, cls, count(*) n FROM inst GROUP BY vec_id, inst, cls),
+votes AS (SELECT *, sum(n) OVER (PARTITION BY vec_id, inst) size FROM votes0),
 ordered AS (SELECT *, row_number() OVER (PARTITION BY vec_id, inst ORDER BY n DESC, cls) k FROM votes),
 picked AS (SELECT vec_id, inst::int inst, cls, round(n / (size + 1e-6), 6) prob FROM ordered WHERE cls <> 0 AND k <= 2 QUALIFY row_number() OVER (PARTITION BY vec_id, inst ORDER BY k) = 1)"""
 
