@@ -1,33 +1,3 @@
-"""Connected components of an edge table, with no vertex's neighbours in one task's memory."""
+"""Connected components, as the rest of the library has them."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import checkpointed
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) for every node that has an edge; root is the least node of its component.
-
-    Alternates large-star and small-star steps: each moves edges to the least neighbour, so a component becomes a
-    star in about the logarithm of its size in rounds. Every round is checkpointed; two numbers reach the driver.
-    """
-    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    e = checkpointed(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before = mark(e)
-    while before[0]:
-        both = e.union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        small = large.join(down, F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = checkpointed(small.union(down.select("k", "m")).distinct())
-        after = mark(e)
-        if after == before:
-            break
-        before = after
-    stars = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return stars.union(stars.select(F.col("root").alias("node"), "root")).distinct()
+from ..operators.components import components  # noqa: F401

@@ -10,7 +10,7 @@ and one). That element is one more coordinate of the tree, as is the set's size;
 losing a pair. Elements that very many sets have come last in the order.
 
 Steps: (1) equal sets become one node; (2) nodes that share one of their least elements are compared with the least
-node there and merged if similar, which shrinks groups of copies to one component before any pair is listed;
+node there, first by the bound, and merged if similar, which shrinks groups of copies to one component before any pair is listed;
 (3) routes that still lead to several components go through the tree; for each node and other component the best
 bounds are verified first, and what was cut is searched again after merging, without a limit in the last round.
 No pair of different components that passes the bound is left unverified.
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import discard, stored, table
 from .graph import components
 from .text import U64, lists, mix, shingle_sets, slices
 
@@ -41,8 +41,10 @@ WINDOW = 1 << 21
 LEAF, FAN = 32, 16
 #: Members of one route that meet in one task; more are dealt into blocks.
 BLOCK = 8192
+#: Groups of sets with fewer elements than the second number: several times fewer groups than elements.
+CLASSES = ((64, 256), (128, 1024), (512, 8192), (2048, 1 << 62))
 #: Bounds that are verified for each node and other component, round by round.
-ROUNDS = (4, 64, None)
+ROUNDS = (64, None)
 
 
 # ---------------------------------------------------------------- sets
@@ -81,7 +83,7 @@ def _frequent(docs: DataFrame, text: str, width: int) -> np.ndarray:
 
 def dimensions(n: int) -> int:
     """Groups for a set of n elements; powers of two, so that finer counts add up to coarser ones."""
-    return 64 if n < 1024 else 256 if n < 8192 else 1024
+    return next(d for d, most in CLASSES if n < most)
 
 
 def _inside(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -117,7 +119,7 @@ def _nodes(docs: DataFrame, key: str, text: str, width: int, num: int, den: int,
                     at += n
                     routes.append(np.concatenate((x[~last], x[last]))[:first])
                     stars.append(x[:STAR])
-                    vecs.append(np.minimum(np.bincount((x >> U64(20)).astype(np.int64) & (dimensions(n) - 1), minlength=dimensions(n)), 65535).astype("<u2").tobytes())
+                    vecs.append(np.minimum(np.bincount(((x >> U64(20)) & U64(dimensions(n) - 1)).astype(np.int64), minlength=dimensions(n)), 65535).astype("<u2").tobytes())
                     sigs.append(_signature(x) if n else None)
                 cols = [batch.column(0).slice(a, b - a), pa.array([len(x) for x in sets], pa.int64()), pa.array(sigs, pa.int64()), lists(routes, pa.int64()), lists(stars, pa.int64()), pa.array(vecs, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["key", "n", "sig", "route", "star", "vec"])
@@ -257,7 +259,7 @@ def _candidates(members: DataFrame, num: int, den: int, most: int | None) -> Dat
         route = mix(rows["tok"].to_numpy().view(U64)) ^ rows["block"].to_numpy().astype(U64)
         n, comp, node = (rows[c].to_numpy() for c in ("n", "comp", "sig"))
         vec = rows["vec"].to_pylist()
-        for d, low, high in ((64, 0, 1024), (256, 1024, 8192), (1024, 8192, 1 << 62)):
+        for (d, high), low in zip(CLASSES, [0, *(c[1] for c in CLASSES)], strict=False):
             # larger sets that may pair with this class come along, counted as coarsely
             here = np.flatnonzero((n >= low) & (n * num <= high * den))
             if len(here) < 2:
@@ -289,6 +291,25 @@ def _candidates(members: DataFrame, num: int, den: int, most: int | None) -> Dat
     return dealt.mapInArrow(run, "a long, b long, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut"))
 
 
+def _plausible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose points' summed minima allow the similarity."""
+    of = lambda c, n, v: nodes.select(F.col("sig").alias(c), F.col("n").alias(n), F.col("vec").alias(v))
+    both = pairs.join(of("a", "n_a", "v_a"), "a").join(of("b", "n_b", "v_b"), "b").select("a", "b", "n_a", "n_b", "v_a", "v_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            bound = np.zeros(len(n), np.int64)
+            for i, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                d = min(len(x), len(y)) // 2
+                x, y = (_fold(np.frombuffer(v, "<u2")[None, :], d)[0] for v in (x, y))
+                bound[i] = np.minimum(x, y).sum(dtype=np.int64)
+            keep = pa.array(bound * (num + den) >= num * n)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
+
+
 # ---------------------------------------------------------------- join
 
 
@@ -297,9 +318,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     group, n_links how many different sets the search verified as similar to the document's."""
     num, den = similarity
     docs = docs.select(key, text)
-    rows = stored(_nodes(docs, key, text, width, num, den, _frequent(docs, text, width)), "sets")
-    nodes = rows.where("n > 0").groupBy("sig").agg(F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("n", "route", "star", "vec")])
+    sets = stored(_nodes(docs, key, text, width, num, den, _frequent(docs, text, width)), "sets")
+    rows = stored(sets.select("key", "n", "sig"), "signatures")
+    nodes = sets.where("n > 0").groupBy("sig").agg(F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("n", "route", "star", "vec")])
     nodes = stored(nodes, "nodes")
+    discard(sets)
     keys = nodes.select("sig", "n", F.xxhash64("key").alias("h"))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -314,14 +337,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     star = nodes.select("sig", "n", band.alias("band"), F.explode("star").alias("tok"))
     least = star.groupBy("tok", "band").agg(F.min("sig").alias("to"), F.max("sig").alias("_m")).where("to <> _m").drop("_m")
     pairs = star.join(least, ["tok", "band"]).where("sig <> to").select(F.least("sig", "to").alias("a"), F.greatest("sig", "to").alias("b")).distinct()
-    pairs = stored(pairs, "star-pairs")
+    pairs = stored(_plausible(pairs, nodes, num, den), "star-pairs")
     links, checked = verified(pairs), pairs
     groups = stored(components(links), "groups")
     own = lambda d: d.join(groups.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("root", "sig")).drop("root")
 
     named = stored(own(nodes.select("sig", "n", "route")), "named")
-    routes = named.select("comp", F.explode("route").alias("tok")).groupBy("tok").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
-    routes = stored(routes.where("low <> high").select("tok", "size"), "routes")
+    routes = named.select("comp", F.explode("route").alias("tok")).groupBy("tok").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    routes = stored(routes.where("low <> high").select("tok"), "routes")
     bits = Bloom(routes.select("tok")).bits
 
     def open_routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,7 +354,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             may = Bloom.has(bits.value, tok.view(U64))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[may])), pa.array(tok[may])], ["sig", "tok"])
 
-    members = named.select("sig", "route").mapInArrow(open_routes, "sig long, tok long").join(routes, "tok")
+    members = stored(named.select("sig", "route").mapInArrow(open_routes, "sig long, tok long").join(routes, "tok"), "routed")
+    # routes with the same members lead to the same pairs: one of them is enough
+    alike = members.groupBy("tok").agg(*[F.bit_xor(F.xxhash64(F.lit(i), "sig")).alias(f"x{i}") for i in (1, 2)], F.count("*").alias("size"))
+    members = members.join(alike.groupBy("x1", "x2", "size").agg(F.min("tok").alias("tok")).select("tok", "size"), "tok")
     # a route with very many members is dealt into blocks; each two blocks meet once
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("sig"), blocks).cast("int")
@@ -340,8 +366,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     members = members.withColumn("block", F.greatest("mine", "other") * 65536 + F.least("mine", "other")).select("tok", "block", "sig")
     members = stored(members, "members")
 
+    discard(named)
     for most in ROUNDS:
-        full = own(members.join(nodes.select("sig", "n", "vec"), "sig"))
+        named = own(members)
+        live = named.groupBy("tok", "block").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("tok", "block")
+        full = named.join(live, ["tok", "block"]).join(nodes.select("sig", "n", "vec"), "sig")
         found = stored(_candidates(full, num, den, most), "candidates")
         fresh = stored(found.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         more = verified(fresh.select("a", "b"))
@@ -355,14 +384,30 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     per = own(nodes.select("sig", "key")).join(counts, "sig", "left")
     first = per.groupBy("comp").agg(F.min("key").alias("component_id"))
     per = per.join(first, "comp").select("sig", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    out = rows.select("key", "n", "sig").join(per, "sig", "left")
+    out = rows.join(per, "sig", "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents without near duplicates: of each group the one with the least key; of rows that repeat that key, one."""
-    kept = near_duplicates(docs, key, text, **options).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_kept")).distinct()
-    return docs.join(kept, F.col(key) == F.col("_kept")).drop("_kept").dropDuplicates([key])
+    """The documents without near duplicates: of each group the one with the least key; of rows that repeat that key, one.
+    Rows with a null key stay.
+
+    Most rows are neither duplicates nor repeated and pass a bit set of the keys that are, without a shuffle of their texts.
+    """
+    named = stored(near_duplicates(docs, key, text, **options).where("n_shingles > 0"), "named")
+    suspects = named.groupBy(key).agg(F.count("*").alias("n"), F.max((F.col(key) == F.col("component_id")).cast("int")).alias("_stays")).where("n > 1 OR _stays = 0")
+    suspects = stored(suspects.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), "_stays"), "suspects")
+    bits = Bloom(suspects.select(F.xxhash64("_key"))).bits
+
+    @F.pandas_udf("boolean")
+    def may(h):
+        return h.__class__(Bloom.has(bits.value, h.to_numpy().view(U64)))
+
+    rows = docs.withColumn("_may", may(F.xxhash64(key)))
+    sure = rows.where("NOT _may").drop("_may")
+    rest = rows.where("_may").drop("_may").join(suspects, F.col(key) == F.col("_key"), "left").where("_stays IS NULL OR _stays = 1")
+    once = rest.where("_stays = 1").drop("_key", "_stays").dropDuplicates([key])
+    return sure.union(rest.where("_stays IS NULL").drop("_key", "_stays")).union(once)
 
 
 def query(spark, sf_dir):
