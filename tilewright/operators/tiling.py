@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.packed import once
 
 
+def check(tiles: DataFrame) -> DataFrame:
+    """The tiles, if they have whole-numbered col and row."""
+    kinds = dict(tiles.dtypes)
+    if any(kinds.get(c) not in ("int", "bigint", "smallint", "tinyint") for c in ("col", "row")):
+        raise ValueError("tiles need whole-numbered columns col and row")
+    return tiles
+
+
 def core_size(window: int = 784, overlap: int = 64) -> int:
     return window - 2 * overlap
 

@@ -71,6 +71,12 @@ def preferred_mpp(spark, sf_dir):
     return rows.withColumns({"min_size": least, "kernel": kernel})
 
 
+@query(f"WITH {fx.SLIDES} SELECT slide_id, round(min(coalesce(mpp, 0.25) * pow(2, n_levels - 1 - l)), 6) least_mpp, count(*) levels FROM sl, unnest(range(18)) x(l) GROUP BY slide_id")
+def slide_summary(spark, sf_dir):
+    rows = pyramid.ladder(fx.slides(spark, sf_dir).withColumn("mpp", _mpp()))
+    return rows.groupBy("slide_id").agg(r6(F.min("level_mpp")).alias("least_mpp"), F.count("*").alias("levels"))
+
+
 # ---------------------------------------------------------------- tiles
 
 
@@ -149,6 +155,11 @@ def tissue_detect(spark, sf_dir):
     return tissue.tissue_tiles(fx.pixels(spark, sf_dir), 4, 8, 8).select("vec_id", "col", "row").orderBy("vec_id", "row", "col")
 
 
+@query(f"WITH {fx.RAS} SELECT vec_id, y // 2 AS y, x // 2 AS x, avg(q) q FROM pix GROUP BY vec_id, y // 2, x // 2")
+def thumbnail(spark, sf_dir):
+    return tissue.thumbnail(fx.pixels(spark, sf_dir), 2, ("q",), ("vec_id",))
+
+
 @query(f"WITH {fx.RAS} SELECT vec_id, pos::int pos, round(unit, 6) value FROM pix")
 def minmax_map(spark, sf_dir):
     rows = fx.ras(spark, sf_dir).select("vec_id", F.posexplode(packed.minmax(col("v"))).alias("pos", "value"))
@@ -315,6 +326,15 @@ def components(spark, sf_dir):
     return found(edges, "seq_a", "seq_b").select(col("node").alias("seq"), "root")
 
 
+@query(f"WITH RECURSIVE {fx.CHAIN} SELECT slide, root, count(*) size, string_agg(seq::varchar, ',' ORDER BY seq) members FROM rooted GROUP BY slide, root HAVING count(*) > 1")
+def component_members(spark, sf_dir):
+    from ..operators.components import components as found
+
+    cells, edges = _pairs(spark, sf_dir)
+    rows = cells.join(found(edges, "seq_a", "seq_b"), F.col("seq") == F.col("node")).groupBy("slide", "root")
+    return rows.agg(F.count("*").alias("size"), F.concat_ws(",", F.transform(F.array_sort(F.collect_list("seq")), lambda x: x.cast("string"))).alias("members"))
+
+
 @query(f"WITH RECURSIVE {fx.CHAIN} SELECT slide, root, seq, area FROM largest")
 def max_area_cell(spark, sf_dir):
     return unique_cells(fx.det(spark, sf_dir)).select("slide", "root", "seq", "area")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import shoelace, with_common_area
@@ -37,7 +37,7 @@ def with_area(cells: DataFrame) -> DataFrame:
     return cells.withColumn("area", shoelace(F.col("contour")))
 
 
-def detect_tissue(pixels: DataFrame, size: int, height: int, width: int, most: float = 0.2, keys: tuple[str, ...] = ("slide_id",)) -> DataFrame:
+def detect_tissue(pixels: DataFrame, size: int, height: int | Column, width: int | Column, most: float = 0.2, keys: tuple[str, ...] = ("slide_id",)) -> DataFrame:
     """Tiles with tissue in row-major order, from thumbnail pixels (keys, y, x, r, g, b)."""
     rows = pixels.withColumn("q", F.floor(gray(F.col("r"), F.col("g"), F.col("b"))))
     return tissue.tissue_tiles(rows, size, height, width, most, "q", keys).orderBy(*keys, "row", "col")

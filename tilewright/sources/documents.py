@@ -52,3 +52,13 @@ def tiles_of(docs: DataFrame, *keep: str) -> DataFrame:
 def cells_of(docs: DataFrame, *keep: str) -> DataFrame:
     """One row a cell; a tile without cells has one row with nulls."""
     return tiles_of(docs, *keep).select("*", F.explode_outer("masks").alias("m")).select("*", "m.*").drop("m", "masks")
+
+
+def from_lists(rows: DataFrame, lists: tuple[str, ...]) -> DataFrame:
+    """Rows with equally long lists side by side to one row an element; ok is false, and the elements null, where lengths differ."""
+    same = F.lit(True)
+    for name in lists[1:]:
+        same &= F.size(name) == F.size(lists[0])
+    kept = [c for c in rows.columns if c not in lists]
+    zipped = rows.withColumn("ok", F.coalesce(same, F.lit(False))).select(*kept, "ok", F.posexplode_outer(F.when(F.col("ok"), F.arrays_zip(*lists))).alias("position", "z"))
+    return zipped.select(*kept, "ok", "position", *[F.col(f"z.{c}").alias(c) for c in lists])

@@ -12,7 +12,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.raster import instances, segment
@@ -35,10 +35,10 @@ class Provider(Protocol):
 class Discs:
     """Maps with discs at places that follow from the window's key: for tests and trial runs."""
 
-    name, mpp, classes = "discs", 0.25, CLASSES
+    name, classes = "discs", CLASSES
 
-    def __init__(self, tile: int = 128, discs: int = 6):
-        self.tile, self.discs = tile, discs
+    def __init__(self, tile: int = 128, discs: int = 6, mpp: float = 0.25):
+        self.tile, self.discs, self.mpp = tile, discs, mpp
 
     def places(self, key: tuple) -> list[tuple[int, int, int, int]]:
         """x, y, radius and class; centres lie in cells of a grid, so discs don't touch."""
@@ -65,6 +65,18 @@ class Discs:
         return out
 
 
+def stored_maps(spark: SparkSession, path: str) -> DataFrame:
+    """Maps that were predicted before and written as Parquet."""
+    return spark.read.schema(RAW_MAPS).parquet(path)
+
+
+def unmatched(windows: DataFrame, maps_: DataFrame) -> DataFrame:
+    """Status rows of windows whose maps are missing: maps belong to windows by key, never by position."""
+    keys = ["slide_id", "icol", "irow"]
+    lost = windows.select(keys).distinct().join(maps_.select(keys).distinct(), keys, "left_anti")
+    return lost.groupBy("slide_id").agg(F.concat(F.count("*").cast("string"), F.lit(" windows without maps")).alias("message")).select("slide_id", F.lit("predict").alias("stage"), F.lit("missing_maps").alias("status"), "message")
+
+
 def predict(tiles: DataFrame, provider: Provider, batch: int = 16) -> DataFrame:
     """Raw maps of the windows (slide_id, icol, irow); the provider is made once in each task."""
 
