@@ -44,7 +44,7 @@ BLOCK = 8192
 #: Groups of sets with fewer elements than the second number: several times fewer groups than elements.
 CLASSES = ((64, 256), (128, 1024), (512, 8192), (2048, 1 << 62))
 #: Bounds that are verified for each node and other component, round by round.
-ROUNDS = (64, None)
+ROUNDS = (4, 64, None)
 
 
 # ---------------------------------------------------------------- sets
@@ -412,3 +412,16 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **opti
 
 def query(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+SQL = r"""
+WITH RECURSIVE split AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w FROM documents),
+listed AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END s FROM split),
+shingles AS (SELECT DISTINCT doc_id, unnest(s) s FROM listed),
+sizes AS (SELECT doc_id, count(s) n FROM documents LEFT JOIN shingles USING (doc_id) GROUP BY doc_id),
+common AS (SELECT a.doc_id a, b.doc_id b, count(*) i FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(node, other) AS (SELECT a, a FROM ways UNION SELECT node, b FROM reach JOIN ways ON other = a),
+least AS (SELECT node, min(other) root FROM reach GROUP BY node)
+SELECT doc_id, n n_shingles, coalesce(root, doc_id) component_id FROM sizes LEFT JOIN least ON node = doc_id"""

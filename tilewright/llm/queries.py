@@ -16,4 +16,4 @@ QUERIES = {
     "op9_secret_scan": secret_scan.query,
     "op10_chroma": chroma.query,
 }
-SQL = {"op3_url_reputation": url_reputation.SQL}
+SQL = {"op2_ngram_join": ngram_join.SQL, "op3_url_reputation": url_reputation.SQL}
