@@ -11,7 +11,19 @@ from ..sources.shared import checkpointed, discard, shared_dir, stored  # noqa:
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes that go to a Python worker at once. Texts are handled in slices of a megabyte, so larger batches would only take memory.
+BATCH = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to BATCH where it is larger."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int("".join(c for c in spark.conf.get(key) if c.isdigit())) > BATCH:  # a session's value is in plain bytes
+        spark.conf.set(key, f"{BATCH}b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

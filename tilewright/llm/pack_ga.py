@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ranked, stored, table
+from .text import released
 from .tokens import encoder
 
 CAPACITY = 2048
@@ -55,7 +56,7 @@ def pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: i
             cols = [keys.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, [key, "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(key, text).mapInArrow(released(run), f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 class Open:

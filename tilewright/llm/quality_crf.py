@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .text import lists, slices, word_hashes, words
+from .text import lists, released, slices, word_hashes, words
 
 #: Labelled documents that the field is fitted on, at most.
 SAMPLE = 6000
@@ -185,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 flat = [x[i:j].astype(np.float32).ravel() for i, j in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists(flat, pa.float32()), batch.column(2).slice(a, b - a)], ["id", "x", "label"])
 
-    got = rows.mapInArrow(run, f"id {labels.schema[key].dataType.simpleString()}, x array<float>, label int").toArrow().sort_by([("id", "ascending"), ("label", "ascending")]).slice(0, sample)
+    got = rows.mapInArrow(released(run), f"id {labels.schema[key].dataType.simpleString()}, x array<float>, label int").toArrow().sort_by([("id", "ascending"), ("label", "ascending")]).slice(0, sample)
     if not len(got):
         return Field.blank()
     n = np.array([len(v) // OWN for v in got["x"]])
@@ -205,7 +205,7 @@ def score(docs: DataFrame, field: Field, text: str = "text", out: str = "score")
             kept = [batch.column(batch.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(np.concatenate(got) if got else np.zeros(0))], [*names, out])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def fold(key: Column, n: int) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .text import runs, slices
+from .text import released, runs, slices
 
 KINDS = ("assign", "access", "hex", "token")
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -91,51 +91,58 @@ def _rows_with_runs(column: pa.Array, least: int) -> np.ndarray:
     return out
 
 
+def _found(texts: pa.Array, measure: Ratio, most: float) -> Iterator[tuple[str | None, list[tuple[int, int, str]]]]:
+    """Text and spans of each row."""
+    for i, long in enumerate(_rows_with_runs(texts, 20).tolist()):
+        s = texts[i].as_py()
+        spans = base_spans(s or "", long)
+        if long:
+            spans = sorted(spans + token_spans(s, spans, measure, most), key=lambda x: (x[0], KINDS.index(x[2])))
+        yield s, spans
+
+
+def _schema(df: DataFrame, *without: str) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in without)
+
+
 def scan(df: DataFrame, text: str = "text", out: str = "secrets", ratio: float = 2.0, vocabulary: str | None = None) -> DataFrame:
     """Add an array of (kind, start, end), by start and then kind, to df."""
     names = df.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != out) + f", `{out}` {SPANS}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measure = Ratio(vocabulary)
+        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            column = batch.column(names.index(text))
-            has = _rows_with_runs(column, 20)
-            found = []
-            for i, long in enumerate(has.tolist()):
-                s = column[i].as_py() or ""
-                spans = base_spans(s, long)
-                if long:
-                    spans = sorted(spans + token_spans(s, spans, measure, ratio), key=lambda x: (x[0], KINDS.index(x[2])))
-                found.append([{"kind": k, "start": a, "end": b} for a, b, k in spans])
-            kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+            found = [[{"kind": k, "start": a, "end": b} for a, b, k in spans] for _, spans in _found(batch.column(names.index(text)), measure, ratio)]
             kept = [(n, batch.column(i)) for i, n in enumerate(names) if n != out]
             yield pa.RecordBatch.from_arrays([c for _, c in kept] + [pa.array(found, kind)], [n for n, _ in kept] + [out])
 
-    return df.mapInArrow(run, schema)
-
+    return df.mapInArrow(released(run), ", ".join(filter(None, (_schema(df, out), f"`{out}` {SPANS}"))))
 
-def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]", **options) -> DataFrame:
-    """Replace every found span in the text; overlapping spans are replaced once, as one."""
-    from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("string")
-    def masked(texts, spans):
-        def one(s, found):
-            if s is None or found is None or not len(found):
-                return s
-            parts, at = [], 0
-            for x in found:
-                if x["start"] >= at:
-                    parts += [s[at : x["start"]], mark]
-                at = max(at, x["end"])
-            return "".join([*parts, s[at:]])
+def masked(s: str, spans: list[tuple[int, int, str]], mark: str) -> str:
+    """The text with the mark in place of every span; overlapping spans get one mark."""
+    parts, at = [], 0
+    for a, b, _ in spans:
+        if a >= at:
+            parts += [s[at:a], mark]
+        at = max(at, b)
+    return "".join([*parts, s[at:]])
 
-        return texts.combine(spans, one)
 
+def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]", ratio: float = 2.0, vocabulary: str | None = None) -> DataFrame:
+    """df with a mark in place of every found span of the text."""
     names = df.columns
-    found = scan(df, text, "_spans", **options)
-    return found.withColumn(text, F.when(F.size("_spans") > 0, masked(F.col(text), F.col("_spans"))).otherwise(F.col(text))).select(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        measure = Ratio(vocabulary)
+        for batch in batches:
+            at = names.index(text)
+            own = batch.column(at)
+            found = pa.array([masked(s, spans, mark) if spans else s for s, spans in _found(own, measure, ratio)], own.type)
+            yield pa.RecordBatch.from_arrays([found if i == at else c for i, c in enumerate(batch.columns)], names)
+
+    return df.mapInArrow(released(run), _schema(df))
 
 
 def query(spark, sf_dir):

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**j and base**-j modulo 2**64 for j < n, kept for the next call."""
     if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 21)
+        size = max(n, (1 << 20) + 1024)
         with np.errstate(over="ignore"):
             for key, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
                 out = np.ones(size, U64)
@@ -133,3 +136,21 @@ def lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, arrays)])
     flat = np.concatenate(arrays) if arrays else np.zeros(0)
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64) if flat.dtype == U64 else flat, kind))
+
+
+def released(run: Callable) -> Callable:
+    """A task function that gives free memory back to the system when its partition ends: workers stay for the next task,
+    and what one kind of task held should not add to what the next one needs."""
+
+    @functools.wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return task

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table
+from .text import released
 from .tokens import encoder
 
 BAND = 1024
@@ -33,7 +34,7 @@ def lengths(docs: DataFrame, text: str = "text", out: str = "length", tokenizer:
             n = pa.array([len(encode(texts[i].as_py())) // 4 for i in range(len(texts))], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), n], [*names, out])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def histogram(docs: DataFrame, length: str = "length", band: int = BAND) -> DataFrame:

@@ -89,12 +89,5 @@ class WordEncoder:
         return b"".join(out)
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str | None = None) -> WordEncoder:
-    """This process's encoder for the file; a reused Python worker keeps its caches."""
-    path = tokenizer_path(path)
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return WordEncoder(tokenizer_path(path))
