@@ -29,15 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stored, table
+from .common import discard, small_batches, stored, table
 from .graph import components
-from .text import U64, lists, mix, shingle_sets, slices
+from .text import U64, lists, mix, released, shingle_sets, slices
 
 STAR = 4
 BLOOM_BITS = 1 << 25
 #: An element is frequent from this share of all elements on: so at most so many are.
 FREQUENT = 1 << 18
-WINDOW = 1 << 21
+WINDOW = 1 << 20
 LEAF, FAN = 32, 16
 #: Members of one route that meet in one task; more are dealt into blocks.
 BLOCK = 8192
@@ -74,7 +74,7 @@ def _frequent(docs: DataFrame, text: str, width: int) -> np.ndarray:
                     kept, size = [], 0
         yield counted()
 
-    counts = docs.select(text).mapInArrow(run, "tok long, n long").groupBy("tok").agg(F.sum("n").alias("n"))
+    counts = docs.select(text).mapInArrow(released(run), "tok long, n long").groupBy("tok").agg(F.sum("n").alias("n"))
     counts = stored(counts, "frequent")
     total = counts.where("tok IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     rows = counts.where("tok IS NOT NULL").where(F.col("n") >= max(32, -(-total // FREQUENT))).select("tok").toArrow()
@@ -124,7 +124,7 @@ def _nodes(docs: DataFrame, key: str, text: str, width: int, num: int, den: int,
                 cols = [batch.column(0).slice(a, b - a), pa.array([len(x) for x in sets], pa.int64()), pa.array(sigs, pa.int64()), lists(routes, pa.int64()), lists(stars, pa.int64()), pa.array(vecs, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["key", "n", "sig", "route", "star", "vec"])
 
-    return docs.select(key, text).mapInArrow(run, f"key {kind}, n long, sig long, route array<long>, star array<long>, vec binary")
+    return docs.select(key, text).mapInArrow(released(run), f"key {kind}, n long, sig long, route array<long>, star array<long>, vec binary")
 
 
 class Bloom:
@@ -168,7 +168,7 @@ def _sets(docs: DataFrame, key: str, text: str, width: int, wanted: DataFrame) -
                 sets = [x for x in shingle_sets(data, offsets, width) if len(x)]
                 yield pa.RecordBatch.from_arrays([pa.array([_signature(x) for x in sets], pa.int64()), lists(sets, pa.int64())], ["sig", "elements"])
 
-    return docs.select(F.xxhash64(key), F.col(text)).mapInArrow(run, "sig long, elements array<long>")
+    return docs.select(F.xxhash64(key), F.col(text)).mapInArrow(released(run), "sig long, elements array<long>")
 
 
 # ---------------------------------------------------------------- tree
@@ -178,8 +178,8 @@ class Points:
     """Points of one dimension, sorted by route and size, under a packed R-tree."""
 
     def __init__(self, route: np.ndarray, n: np.ndarray, comp: np.ndarray, node: np.ndarray, own: np.ndarray, vec: np.ndarray):
-        order = np.lexsort((n, route))
-        self.route, self.n, self.comp, self.node, self.own, self.vec = (x[order] for x in (route, n, comp, node, own, vec))
+        self.order = np.lexsort((n, route))
+        self.route, self.n, self.comp, self.node, self.own, self.vec = (x[self.order] for x in (route, n, comp, node, own, vec))
         #: Levels from the leaves up: lowest and highest route and size, and the highest count of each group.
         self.levels: list[tuple[np.ndarray, ...]] = []
         low = high = self.route
@@ -235,10 +235,10 @@ def _fold(vec: np.ndarray, d: int) -> np.ndarray:
     return np.minimum(vec.reshape(len(vec), -1, d).sum(1, dtype=np.int64), 65535).astype(np.uint16)
 
 
-def _best(a: np.ndarray, b: np.ndarray, comp_a: np.ndarray, comp_b: np.ndarray, bound: np.ndarray, most: int | None) -> tuple[np.ndarray, bool]:
-    """Which pairs to verify now: for each node and other component the `most` highest bounds; whether any is left out."""
+def _best(a: np.ndarray, b: np.ndarray, comp_a: np.ndarray, comp_b: np.ndarray, bound: np.ndarray, most: int | None) -> np.ndarray:
+    """Which pairs to verify now: for each node and other component the `most` highest bounds."""
     if most is None or not len(a):
-        return np.ones(len(a), bool), False
+        return np.ones(len(a), bool)
     keep = np.zeros(len(a), bool)
     for node, other in ((a, comp_b), (b, comp_a)):
         order = np.lexsort((-bound, other, node))
@@ -249,15 +249,15 @@ def _best(a: np.ndarray, b: np.ndarray, comp_a: np.ndarray, comp_b: np.ndarray,
         mark = np.zeros(len(a), bool)
         mark[order] = place < most
         keep = mark if node is a else keep & mark
-    return keep, not keep.all()
+    return keep
 
 
 def _candidates(members: DataFrame, num: int, den: int, most: int | None) -> DataFrame:
-    """From members (tok, block, sig, n, comp, vec) to pairs (a, b) worth verifying; cut: some were left for later."""
+    """From members (tok, block, sig, n, comp, vec) to pairs (a, b) worth verifying, and the routes (tok, block) of pairs left for later."""
 
     def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        route = mix(rows["tok"].to_numpy().view(U64)) ^ rows["block"].to_numpy().astype(U64)
-        n, comp, node = (rows[c].to_numpy() for c in ("n", "comp", "sig"))
+        tok, block, n, comp, node = (rows[c].to_numpy() for c in ("tok", "block", "n", "comp", "sig"))
+        route = mix(tok.view(U64)) ^ block.astype(U64)
         vec = rows["vec"].to_pylist()
         for (d, high), low in zip(CLASSES, [0, *(c[1] for c in CLASSES)], strict=False):
             # larger sets that may pair with this class come along, counted as coarsely
@@ -268,9 +268,14 @@ def _candidates(members: DataFrame, num: int, den: int, most: int | None) -> Dat
             tree = Points(route[here], n[here], comp[here], node[here], n[here] < high, counts)
             for x, y, bound in tree.pairs(num, den):
                 a, b = tree.node[x], tree.node[y]
-                keep, cut = _best(a, b, tree.comp[x], tree.comp[y], bound, most)
-                a, b = a[keep], b[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), cut))], ["a", "b", "cut"])
+                keep = _best(a, b, tree.comp[x], tree.comp[y], bound, most)
+                at = here[tree.order[x[~keep]]]
+                left = np.unique(np.stack((tok[at], block[at]), 1), axis=0)
+                none = np.zeros(len(left), np.int64)
+                mask = np.concatenate((np.zeros(keep.sum(), bool), np.ones(len(left), bool)))
+                join = lambda p, q, m: pa.array(np.concatenate((p, q)), pa.int64(), mask=m)
+                none_ = np.zeros(keep.sum(), np.int64)
+                yield pa.RecordBatch.from_arrays([join(np.minimum(a, b)[keep], none, mask), join(np.maximum(a, b)[keep], none, mask), join(none_, left[:, 0], ~mask), join(none_, left[:, 1], ~mask)], ["a", "b", "tok", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -288,7 +293,7 @@ def _candidates(members: DataFrame, num: int, den: int, most: int | None) -> Dat
             yield from found(pa.Table.from_batches(held))
 
     dealt = members.select("tok", "block", "sig", "n", "comp", "vec").repartition("tok", "block").sortWithinPartitions("tok", "block")
-    return dealt.mapInArrow(run, "a long, b long, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut"))
+    return dealt.mapInArrow(released(run), "a long, b long, tok long, block long").distinct()
 
 
 def _plausible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -317,6 +322,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     """(key, n_shingles, component_id, n_links) per document; similarity as a fraction. component_id is the least key of the
     group, n_links how many different sets the search verified as similar to the document's."""
     num, den = similarity
+    small_batches(docs.sparkSession)
     docs = docs.select(key, text)
     sets = stored(_nodes(docs, key, text, width, num, den, _frequent(docs, text, width)), "sets")
     rows = stored(sets.select("key", "n", "sig"), "signatures")
@@ -372,13 +378,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         live = named.groupBy("tok", "block").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("tok", "block")
         full = named.join(live, ["tok", "block"]).join(nodes.select("sig", "n", "vec"), "sig")
         found = stored(_candidates(full, num, den, most), "candidates")
-        fresh = stored(found.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        more = verified(fresh.select("a", "b"))
-        links, checked = links.union(more), checked.select("a", "b").union(fresh.select("a", "b"))
+        fresh = stored(found.where("a IS NOT NULL").select("a", "b").join(checked, ["a", "b"], "left_anti"), "pairs")
+        more = verified(fresh)
+        links, checked = links.union(more), checked.union(fresh)
         if not more.isEmpty():
             groups = stored(components(links), "groups")
-        if found.where("cut").isEmpty():
+        later = found.where("tok IS NOT NULL").select("tok", "block")
+        if later.isEmpty():
             break
+        members = members.join(later, ["tok", "block"])
 
     counts = links.select(F.explode(F.array("a", "b")).alias("sig")).groupBy("sig").agg(F.count("*").alias("n_links"))
     per = own(nodes.select("sig", "key")).join(counts, "sig", "left")
