@@ -23,11 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, table
-from .text import lists
+from .text import lists, released
 
 #: Frame length and step in seconds; pitches from 110 Hz over four octaves; frames under a filter.
 FRAME, STEP, LOW, OCTAVES, SPAN = 0.256, 0.064, 110.0, 4, 16
-KEY_BITS, QUERIES = 20, 1024
+KEY_BITS, QUERIES = 24, 1024
+#: Different values that two recordings must share before their offsets are counted (all, where one has fewer).
+SHARED = 4
 #: Sixteen filters by rule: kind, first pitch class, pitch classes, frames.
 FILTERS = [(i % 6, (5 * i) % 12, 12 if i % 3 == 0 else 2 + i % 4, SPAN if i % 2 else SPAN // 2) for i in range(16)]
 EDGES = np.array([-0.25, 0.0, 0.25])
@@ -146,11 +148,12 @@ def fingerprints(media: DataFrame, key: str, audio: str) -> DataFrame:
             got = [fingerprint(x).astype(np.int64) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), lists(got, pa.int64())], ["id", "items"])
 
-    return media.select(F.col(key).cast("long"), audio).mapInArrow(run, "id long, items array<long>")
+    return media.select(F.col(key).cast("long"), audio).mapInArrow(released(run), "id long, items array<long>")
 
 
 def nearest_query(prints: DataFrame, queries: Column) -> DataFrame:
-    """For every recording (id, items) the query recording that it aligns with at the lowest rate of bit errors.
+    """For every recording (id, items) the query recording that it aligns with at the lowest rate of bit errors, among those
+    that share at least SHARED values' leading bits with it.
 
     Queries go to every task in blocks of at most about QUERIES; equal recordings of a batch are aligned once. Adds query_id, offset,
     overlap and bit_errors, null where nothing agrees.
@@ -166,7 +169,8 @@ def nearest_query(prints: DataFrame, queries: Column) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             drop = np.uint32(32 - KEY_BITS)
             keys = np.concatenate([np.unique(v >> drop) for _, v in shared.value] or [np.zeros(0, np.uint32)])
-            owner = np.repeat(np.arange(len(shared.value)), [len(np.unique(v >> drop)) for _, v in shared.value])
+            sizes = np.array([len(np.unique(v >> drop)) for _, v in shared.value])
+            owner = np.repeat(np.arange(len(sizes)), sizes)
             order = np.argsort(keys, kind="stable")
             keys, owner = keys[order], owner[order]
             for batch in batches:
@@ -181,7 +185,8 @@ def nearest_query(prints: DataFrame, queries: Column) -> DataFrame:
                         short = np.unique(own >> drop)
                         low, high = np.searchsorted(keys, short, "left"), np.searchsorted(keys, short, "right")
                         n = high - low
-                        met = np.unique(owner[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]) if n.sum() else []
+                        hits = np.bincount(owner[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)], minlength=len(sizes))
+                        met = np.flatnonzero(hits >= np.minimum(SHARED, np.minimum(sizes, max(1, len(short))))).tolist()
                         found = [(shared.value[q][0], *got) for q in met if (got := align(shared.value[q][1], own))]
                         # the best, and the best of another id for recordings that are queries themselves
                         found.sort(key=lambda f: (f[3] / f[2], f[0], f[1]))
@@ -200,20 +205,21 @@ def nearest_query(prints: DataFrame, queries: Column) -> DataFrame:
 def tones(vectors: DataFrame, key: str, vector: str, rate: int = 4000, note: float = 0.125) -> DataFrame:
     """(id, audio): a recording for each vector, as the tables have none: each component is a note whose pitch follows its value."""
 
+    def one(v: list | None) -> bytes | None:
+        if not v:
+            return None
+        x = np.nan_to_num(np.array([0.0 if c is None else c for c in v]), posinf=0, neginf=0)
+        pitch = LOW * 2 ** (np.clip(np.round(x * 60 + 24), 0, 47) / 12)
+        phase = np.cumsum(np.repeat(pitch, int(rate * note))) * (2 * np.pi / rate)
+        return write_wav(0.6 * np.sin(phase) * np.repeat(x != 0, int(rate * note)), rate)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for v in batch.column(1).to_pylist():
-                if not v:
-                    out.append(None)
-                    continue
-                x = np.nan_to_num(np.array([0.0 if c is None else c for c in v]), posinf=0, neginf=0)
-                pitch = LOW * 2 ** (np.clip(np.round(x * 60 + 24), 0, 47) / 12)
-                phase = np.cumsum(np.repeat(pitch, int(rate * note))) * (2 * np.pi / rate)
-                out.append(write_wav(0.6 * np.sin(phase) * np.repeat(x != 0, int(rate * note)), rate))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "audio"])
-
-    return vectors.select(F.col(key).cast("long"), vector).mapInArrow(run, "id long, audio binary")
+            for a in range(0, len(batch), 64):  # a recording is far larger than its vector
+                part = batch.slice(a, 64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([one(v) for v in part.column(1).to_pylist()], pa.binary())], ["id", "audio"])
+
+    return vectors.select(F.col(key).cast("long"), vector).mapInArrow(released(run), "id long, audio binary")
 
 
 def query(spark, sf_dir):
