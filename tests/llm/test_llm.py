@@ -494,6 +494,37 @@ def test_alignment(spark):
     assert all(got[i].query_id is None and got[i]["items"] == [] for i in (3, 4, 5, 7))
 
 
+def altered(rng, items, share):
+    """The items with so many of their bits turned."""
+    return items ^ (rng.random((len(items), 32)) < share).astype(np.uint32) @ (np.uint32(1) << np.arange(32, dtype=np.uint32))
+
+
+def test_noisy_copies_are_candidates(spark):
+    rng = np.random.default_rng(4)
+    q = rng.integers(0, 1 << 32, 500, np.uint32)
+    noisy = {i: altered(rng, q[30:], 0.2) for i in range(1, 21)}
+    top = np.uint32(1 << 31)
+    one = altered(rng, q[100:150], 0.15) & ~top | ~q[100:150] & top
+    one[20] = q[120] ^ np.uint32(1)  # the only value in common
+    assert len(np.intersect1d(one >> 12, q >> 12)) == 1
+    rows = [(i, v.tolist()) for i, v in {100: q, 21: one, **noisy}.items()]
+    got = {r.id: r for r in chroma.nearest_query(spark.createDataFrame(rows, "id long, items array<long>"), col("id") % 100 == 0).collect()}
+    assert (got[21].query_id, got[21].offset) == (100, 100)
+    assert sum((got[i].query_id, got[i].offset) == (100, 30) for i in noisy) >= 18
+
+
+@pytest.mark.parametrize("long", [chroma.LONG, 0])
+def test_block_gives_what_pairs_give(monkeypatch, long):
+    monkeypatch.setattr(chroma, "LONG", long)
+    rng = np.random.default_rng(5)
+    prints = [rng.integers(0, 9, int(n)).astype(np.uint32) << np.uint32(12) | rng.integers(0, 4096, int(n)).astype(np.uint32) for n in [1, 2, 40, 300, *rng.integers(1, 90, 30)]]
+    block = chroma.Block(prints)
+    for own in [*prints, np.full(50, 1 << 31, np.uint32), np.zeros(0, np.uint32)]:
+        want = [(q, *x) for q, v in enumerate(prints) if (x := chroma.align(v, own))]
+        assert list(zip(*(x.tolist() for x in block.align(own)), strict=True)) == want
+    assert all(len(x) == 0 for x in chroma.Block([]).align(prints[3]))
+
+
 def test_items_are_box_sums():
     frames = np.random.default_rng(3).random((40, 12))
     a = chroma.items(frames)

@@ -27,9 +27,10 @@ from .text import lists, released
 
 #: Frame length and step in seconds; pitches from 110 Hz over four octaves; frames under a filter.
 FRAME, STEP, LOW, OCTAVES, SPAN = 0.256, 0.064, 110.0, 4, 16
-KEY_BITS, QUERIES = 24, 1024
-#: Different values that two recordings must share before their offsets are counted (all, where one has fewer).
-SHARED = 4
+#: Leading bits that count as equal; most queries, and about most items of queries, in a block.
+KEY_BITS, QUERIES, ITEMS = 20, 1024, 1 << 18
+#: Recordings of more items are aligned with one query at a time.
+LONG = 1 << 13
 #: Sixteen filters by rule: kind, first pitch class, pitch classes, frames.
 FILTERS = [(i % 6, (5 * i) % 12, 12 if i % 3 == 0 else 2 + i % 4, SPAN if i % 2 else SPAN // 2) for i in range(16)]
 EDGES = np.array([-0.25, 0.0, 0.25])
@@ -140,6 +141,54 @@ def align(a: np.ndarray, b: np.ndarray, bits: int = KEY_BITS) -> tuple[int, int,
     return offset, k, int(np.bitwise_count(a[i : i + k] ^ b[j : j + k]).sum())
 
 
+class Block:
+    """Recordings that others are aligned with, all at once; the results are those of align()."""
+
+    def __init__(self, prints: list[np.ndarray]):
+        self.prints, self.sizes = prints, np.array([len(v) for v in prints], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.concatenate(prints) if prints else np.zeros(0, np.uint32)
+        keys = self.flat >> np.uint32(32 - KEY_BITS)
+        order = np.argsort(keys, kind="stable")
+        self.keys = keys[order]
+        self.at, self.owner = order, np.repeat(np.arange(len(prints)), self.sizes)[order]
+
+    def align(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Number of each of the recordings that own shares leading bits with, offset, overlap and bit errors."""
+        size = len(own)
+        if size > LONG:
+            got = [(q, *x) for q, v in enumerate(self.prints) if (x := align(v, own))]
+            return tuple(np.array(got, np.int64).reshape(-1, 4).T)
+        y = own >> np.uint32(32 - KEY_BITS)
+        low, high = np.searchsorted(self.keys, y, "left"), np.searchsorted(self.keys, y, "right")
+        n = high - low
+        cells = self.sizes + size
+        first = np.cumsum(cells) - cells  # a recording's offsets from -size on
+        ends, votes, s = np.cumsum(n), np.zeros(int(cells.sum()), np.int64), 0
+        while s < size:  # bounded hits at a time
+            e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + (1 << 20), "right")))
+            m = n[s:e]
+            hit = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(low[s:e], m)
+            # the place in the flat items plus a size for each earlier recording is the cell of that place's offset from item 0
+            votes += np.bincount(self.at[hit] + self.owner[hit] * size - np.repeat(np.arange(s, e), m) + size, minlength=len(votes))
+            s = e
+        if not len(votes):
+            return (np.zeros(0, np.int64),) * 4
+        most = np.maximum.reduceat(votes, first)
+        place = np.flatnonzero(votes == np.repeat(np.maximum(most, 1), cells))
+        of = np.searchsorted(first, place, "right") - 1
+        one = np.flatnonzero(np.diff(of, prepend=-1))  # the smallest of each recording's most voted offsets
+        met, offset = of[one], place[one] - first[of[one]] - size
+        if not len(met):
+            return (np.zeros(0, np.int64),) * 4
+        i, j = np.maximum(0, offset), np.maximum(0, -offset)
+        k = np.minimum(self.sizes[met] - i, size - j)
+        before = np.cumsum(k) - k
+        step = np.arange(k.sum()) - np.repeat(before, k)
+        wrong = np.bitwise_count(self.flat[step + np.repeat(self.starts[met] + i, k)] ^ own[step + np.repeat(j, k)])
+        return met, offset, k, np.add.reduceat(wrong, before, dtype=np.int64)
+
+
 def fingerprints(media: DataFrame, key: str, audio: str) -> DataFrame:
     """(id, items) of every recording; items as longs."""
 
@@ -152,14 +201,15 @@ def fingerprints(media: DataFrame, key: str, audio: str) -> DataFrame:
 
 
 def nearest_query(prints: DataFrame, queries: Column) -> DataFrame:
-    """For every recording (id, items) the query recording that it aligns with at the lowest rate of bit errors, among those
-    that share at least SHARED values' leading bits with it.
+    """For every recording (id, items) the query recording that it aligns with at the lowest rate of bit errors; one value
+    whose leading bits both have is enough for a pair to be aligned.
 
-    Queries go to every task in blocks of at most about QUERIES; equal recordings of a batch are aligned once. Adds query_id, offset,
+    Queries go to every task in blocks of at most about QUERIES, and of about ITEMS items; equal recordings of a batch are aligned once. Adds query_id, offset,
     overlap and bit_errors, null where nothing agrees.
     """
     asked = prints.where(queries & (F.size("items") > 0)).dropDuplicates(["id", "items"])
-    blocks = max(1, -(-asked.count() // QUERIES))
+    number, total = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("items").cast("long")), F.lit(0))).first()
+    blocks = max(1, -(-number // QUERIES), -(-total // ITEMS))
     out = prints.withColumns({"query_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("int"), "overlap": F.lit(None).cast("int"), "bit_errors": F.lit(None).cast("int")})
     for block in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).orderBy("id", "items").toArrow()
@@ -167,12 +217,7 @@ def nearest_query(prints: DataFrame, queries: Column) -> DataFrame:
         shared = prints.sparkSession.sparkContext.broadcast(sent)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            drop = np.uint32(32 - KEY_BITS)
-            keys = np.concatenate([np.unique(v >> drop) for _, v in shared.value] or [np.zeros(0, np.uint32)])
-            sizes = np.array([len(np.unique(v >> drop)) for _, v in shared.value])
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            order = np.argsort(keys, kind="stable")
-            keys, owner = keys[order], owner[order]
+            block = Block([v for _, v in shared.value])
             for batch in batches:
                 done: dict[bytes, list] = {}
                 results = [[], [], [], []]
@@ -182,12 +227,7 @@ def nearest_query(prints: DataFrame, queries: Column) -> DataFrame:
                 for i, (id_, *best) in enumerate(zip(*columns, strict=True)):
                     own = flat[ends[i] : ends[i + 1]]
                     if own.tobytes() not in done:
-                        short = np.unique(own >> drop)
-                        low, high = np.searchsorted(keys, short, "left"), np.searchsorted(keys, short, "right")
-                        n = high - low
-                        hits = np.bincount(owner[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)], minlength=len(sizes))
-                        met = np.flatnonzero(hits >= np.minimum(SHARED, np.minimum(sizes, max(1, len(short))))).tolist()
-                        found = [(shared.value[q][0], *got) for q in met if (got := align(shared.value[q][1], own))]
+                        found = [(shared.value[q][0], *got) for q, *got in zip(*(x.tolist() for x in block.align(own)), strict=True)]
                         # the best, and the best of another id for recordings that are queries themselves
                         found.sort(key=lambda f: (f[3] / f[2], f[0], f[1]))
                         done[own.tobytes()] = found[:1] + [f for f in found if f[0] != found[0][0]][:1] if found else []
