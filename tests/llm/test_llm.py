@@ -390,6 +390,38 @@ def test_gradients():
             assert abs((up - down) / (2 * e) - g[k][at]) < 1e-5, (k, at)
 
 
+def test_training_takes_all_tokens_in_order(monkeypatch):
+    lex = gru_lm.Lexicon(100, 10, 1, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(65536, np.int32), np.ones(gru_lm.ENDINGS), np.array([0, 0, 0, 1, 1]), np.array([0, 3, 5]), np.zeros(2 + gru_lm.ENDINGS), np.zeros(5))
+    net, rng = gru_lm.Gru(lex, hidden=3), np.random.default_rng(2)
+    monkeypatch.setattr(gru_lm, "BATCH", 4)
+    done = []
+    start, name = gru_lm.WORDS + gru_lm.ENDINGS, iter(range(1, 10**6))
+    docs = [np.concatenate(([start], rng.integers(0, 5, n))).astype(np.int16) for n in (1, 31, 32, 33, 64, 65, 700, 3000, 7, 1)]
+    runs = {}  # what a state has seen, by the state
+
+    def window(inputs, targets, mask, h):
+        out = np.zeros_like(h)
+        for i in range(len(h)):
+            on = mask[:, i] > 0
+            before = runs.pop(h[i, 0], None) if h[i, 0] else [start]
+            assert before[-1] == inputs[0, i] and (inputs[1:, i][on[1:]] == targets[:-1, i][on[1:]]).all()
+            out[i, 0] = next(name)
+            runs[out[i, 0]] = before + targets[on, i].tolist()
+            done.append(runs[out[i, 0]])
+        return 0.0, {k: np.zeros_like(v) for k, v in net.p.items()}, out
+
+    monkeypatch.setattr(net, "window", window)
+    assert net.train(docs, 0.01, 1) == sum(len(d) - 1 for d in docs)
+    assert all(d.tolist() in done for d in docs)
+
+
+def test_all_tokens_are_kept_for_training(spark):
+    d = docs(spark).select("doc_id", "text")
+    lex = gru_lm.lexicon(gru_lm.counts(d).cache())
+    rows = gru_lm.sequences(d, spark.sparkContext.broadcast(lex), "text").collect()
+    assert sorted(len(r.units) // 2 - 2 for r in rows) == sorted(len(split(t)) for _, t in AWKWARD)
+
+
 @pytest.mark.parametrize("head", [gru_lm.HEAD, 300])
 def test_language_model(spark, head):
     d = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text")

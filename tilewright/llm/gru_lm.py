@@ -3,8 +3,9 @@
 Tokens are lower-cased words and one end per document. Their counts over all training documents give the base and
 the model's classes: the most frequent words are cut into classes of about equal mass, with a softmax within the class; all
 other words fall into classes by how they end, within which their counts decide. The network predicts the class,
-then the word; it is trained by back-propagation truncated to windows, in numpy, on spans of every training
-document, each Spark task on its own spans, and parameters are averaged between rounds. Scoring runs whole documents
+then the word; it is trained by back-propagation truncated to windows, in numpy, on all tokens of every training
+document in order, with the state carried from window to window, each Spark task on its own documents, and parameters are averaged
+between rounds. Scoring runs whole documents
 side by side and carries the state from window to window.
 
 Words with at least 1/HEAD of all tokens, so at most HEAD, are sent to every task; the counts of rarer ones are joined
@@ -16,6 +17,7 @@ training document. Without training documents every score is that of the smoothe
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,13 +28,13 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 from .quality_crf import fold
-from .text import _LOWER, U64, lists, mix, released, slices, word_hashes, words
+from .text import _LOWER, U64, lists, released, slices, word_hashes, words
 
 HEAD = 1 << 23
 #: Words with a softmax of their own, in so many classes; classes of the rest.
 WORDS, GROUPS, MOST, ENDINGS, HIDDEN = 1024, 24, 128, 40, 16
-#: Steps of back-propagation; a span is SPAN windows; one span starts in every STRIDE tokens.
-WINDOW, SPAN, STRIDE, BATCH = 32, 2, 1024, 256
+#: Steps of back-propagation; documents side by side; tokens that a task holds at a time.
+WINDOW, BATCH, POOL = 32, 256, 1 << 22
 END = U64(0xE0D0F0A0)
 
 
@@ -255,30 +257,48 @@ class Gru:
         g["x"][ids[order][edge]] = np.add.reduceat(flat[order], edge)
         return loss, g, h
 
-    def train(self, spans: np.ndarray, rate: float, seed: int) -> int:
-        """One pass of Adam over spans (n, steps + 1) of units, -1 after a document's end. Returns the number of tokens."""
+    def train(self, docs: list[np.ndarray], rate: float, seed: int) -> int:
+        """One pass of Adam over whole documents of units, each after the unit that starts one: BATCH lanes side by side, a lane's documents one
+        after the other, the state carried from window to window and cleared between documents. Where fewer lanes are left than BATCH,
+        steps are smaller. Returns the number of tokens."""
         rng = np.random.default_rng(seed)
+        n = np.array([-(-(len(d) - 1) // WINDOW) for d in docs], np.int64)
+        first = np.cumsum(n) - n
+        inputs_, targets_ = np.full((2, int(n.sum()), WINDOW), -1, np.int16)
+        for a, d in zip((first * WINDOW).tolist(), docs, strict=True):
+            inputs_.reshape(-1)[a : a + len(d) - 1], targets_.reshape(-1)[a : a + len(d) - 1] = d[:-1], d[1:]
+        starts = np.zeros(len(inputs_), bool)
+        starts[first[n > 0]] = True
+        lanes: list[list[int]] = [[] for _ in range(min(BATCH, len(docs)))]
+        load = [(0, i) for i in range(len(lanes))]
+        order = rng.permutation(len(docs))
+        for i in order[np.argsort(-n[order], kind="stable")].tolist():  # the longest first, each to the lane with the least
+            has, lane = load[0]
+            lanes[lane].append(i)
+            heapq.heapreplace(load, (has + int(n[i]), lane))
+        rows = [np.concatenate([np.arange(first[i], first[i] + n[i]) for i in rng.permutation(lane)]) for lane in lanes]
+        rows.sort(key=len, reverse=True)
+        sizes = np.array([len(r) for r in rows])
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
         step = seen = 0
-        order = rng.permutation(len(spans))
-        for a in range(0, len(spans), BATCH):
-            part = spans[order[a : a + BATCH]].T
-            h = np.zeros((part.shape[1], self.hidden), np.float32)
-            for b in range(0, part.shape[0] - 1, WINDOW):
-                inputs, targets = part[b : b + WINDOW], part[b + 1 : b + WINDOW + 1]
-                mask = ((inputs >= 0) & (targets >= 0)).astype(np.float32)
-                n = float(mask.sum())
-                if not n:
-                    break
-                _, g, h = self.window(np.maximum(inputs, 0), np.maximum(targets, 0), mask, h)
-                seen += int(n)
-                step += 1
-                for k, x in g.items():
-                    x = x / n
-                    m[k] += 0.1 * (x - m[k])
-                    v[k] += 0.01 * (x * x - v[k])
-                    self.p[k] -= (rate / (1 - 0.9**step)) * m[k] / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)
+        h = np.zeros((len(rows), self.hidden), np.float32)
+        for t in range(int(sizes[0]) if len(rows) else 0):
+            k = int(np.searchsorted(-sizes, -t, "left"))
+            at = np.array([r[t] for r in rows[:k]])
+            inputs, targets = inputs_[at].T, targets_[at].T
+            mask = (targets >= 0).astype(np.float32)
+            h = np.where(starts[at][:, None], np.float32(0), h[:k])
+            n = float(mask.sum())
+            _, g, h = self.window(np.maximum(inputs, 0), np.maximum(targets, 0), mask, h)
+            seen += int(n)
+            step += 1
+            pace = rate * min(1.0, k / len(rows)) ** 0.5
+            for k, x in g.items():
+                x = x / n
+                m[k] += 0.1 * (x - m[k])
+                v[k] += 0.01 * (x * x - v[k])
+                self.p[k] -= (pace / (1 - 0.9**step)) * m[k] / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)
         return seen
 
     def score(self, bounds: np.ndarray, unit: np.ndarray) -> np.ndarray:
@@ -315,29 +335,18 @@ class Gru:
 # ---------------------------------------------------------------- Spark
 
 
-def spans(docs: DataFrame, lex, text: str) -> DataFrame:
-    """Spans of units of every document: one in each STRIDE tokens, from a place that follows from the text; a span at the start
-    of a document begins with the unit that starts one."""
-    size = WINDOW * SPAN + 1
+def sequences(docs: DataFrame, lex, text: str) -> DataFrame:
+    """The units of all tokens of every document, after the unit that starts one, as 16-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, bounds, h, form in tokens(batch.column(0)):
                 _, unit = lex.value.look_up(h, form)
-                parts = []
-                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                    mark = int(mix(h[a : a + 1] + U64(b - a))[0])
-                    at = a if mark & 1 else a + (mark >> 1) % max(1, min(b - a - size, STRIDE))
-                    for i in range(at, b, STRIDE):
-                        part = np.full(size, -1, np.int16)
-                        if i == a:
-                            part[0] = WORDS + ENDINGS
-                        piece = unit[i : min(b, i + size - (i == a))]
-                        part[i == a : (i == a) + len(piece)] = piece
-                        parts.append(part)
-                yield pa.RecordBatch.from_arrays([pa.array([p.tobytes() for p in parts], pa.binary())], ["span"])
-
-    return docs.select(text).mapInArrow(released(run), "span binary")
+                units = np.insert(unit.astype("<i2"), bounds[:-1], WORDS + ENDINGS)
+                ends = (bounds + np.arange(len(bounds))).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([units[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["units"])
+
+    return docs.select(text).mapInArrow(released(run), "units binary")
 
 
 def _pack(p: dict[str, np.ndarray]) -> bytes:
@@ -353,15 +362,14 @@ def _unpack(blob: bytes, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 
 def fit(docs: DataFrame, lex: Lexicon, shared, text: str = "text", rate: float = 0.01, rounds: int = 4, least: int = 4_000_000) -> Gru:
-    """Train on spans of all docs: each round every task goes once over its share of the spans from the common parameters, which are then
+    """Train on all tokens of docs: each round every task goes once over its share of the documents from the common parameters, which are then
     averaged by tokens. Small corpora are gone over again until about `least` tokens were seen."""
     net = Gru(lex)
-    rows = stored(spans(docs, shared, text), "spans")
-    number = rows.count()
-    if not number:
+    if not lex.total:
         return net
-    # a task's steps must suffice to learn: at least some hundred batches in all, a few hundred spans a task
-    passes = min(40, max(1, -(-least // (number * WINDOW * SPAN))))
+    rows = stored(sequences(docs, shared, text), "sequences")
+    # a task's steps must suffice to learn: at least some hundred batches in all
+    passes = min(40, max(1, -(-least // lex.total)))
     rounds = rounds if passes == 1 else min(12, rounds * passes)
     repeat = -(-passes * 4 // rounds) if passes > 1 else 1
     pieces = rounds if passes == 1 else 4
@@ -370,18 +378,19 @@ def fit(docs: DataFrame, lex: Lexicon, shared, text: str = "text", rate: float =
         pace = rate * (1 - 0.8 * i / rounds)
 
         def run(batches: Iterator[pa.RecordBatch], start=start, pace=pace, i=i) -> Iterator[pa.RecordBatch]:
-            own, got, seen = Gru(shared.value), [], 0
+            own, got, size, seen = Gru(shared.value), [], 0, 0
             own.p = _unpack(start.value, own.p)
 
             def go() -> int:
-                x = np.frombuffer(b"".join(got), np.int16).reshape(-1, WINDOW * SPAN + 1)
-                return sum(own.train(x, pace, 97 * i + r) for r in range(repeat))
+                return sum(own.train(got, pace, 97 * i + r) for r in range(repeat))
 
             for batch in batches:
-                got += batch.column(0).to_pylist()
-                if len(got) >= 1 << 16:
-                    seen += go()
-                    got = []
+                for blob in batch.column(0).to_pylist():
+                    got.append(np.frombuffer(blob, "<i2"))
+                    size += len(got[-1])
+                    if size >= POOL:
+                        seen += go()
+                        got, size = [], 0
             seen += go() if got else 0
             yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([_pack(own.p)], pa.binary())], ["n", "p"])
 
@@ -395,7 +404,7 @@ def fit(docs: DataFrame, lex: Lexicon, shared, text: str = "text", rate: float =
             if total:
                 yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([(sums / total).astype("<f4").tobytes()], pa.binary())], ["n", "p"])
 
-        own = rows.where(F.pmod(F.xxhash64("span"), F.lit(pieces)) == i % pieces)
+        own = rows.where(F.pmod(F.xxhash64("units"), F.lit(pieces)) == i % pieces)
         trained = own.mapInArrow(released(run), "n long, p binary").repartition(8).mapInArrow(average, "n long, p binary").collect()
         total = sum(r["n"] for r in trained)
         if total:
