@@ -557,6 +557,30 @@ def test_block_gives_what_pairs_give(monkeypatch, long):
     assert all(len(x) == 0 for x in chroma.Block([]).align(prints[3]))
 
 
+def test_every_alignment_is_kept(spark, monkeypatch):
+    monkeypatch.setattr(chroma, "QUERIES", 2)
+    rng = np.random.default_rng(6)
+    a, b, c = (rng.integers(0, 1 << 32, 200, np.uint32) for _ in range(3))
+    c[:3] = b[-3:]  # a few items without an error, by chance
+    items = {100: a, 200: b, 300: c, 400: a, 500: a, 1: np.concatenate((a[50:150], altered(rng, b[20:], 0.03))), 2: altered(rng, b, 0.03), 3: rng.integers(0, 1 << 32, 90, np.uint32), 4: a}
+    found = chroma.nearest_query(spark.createDataFrame([(i, v.tolist()) for i, v in items.items()], "id long, items array<long>"), col("id") % 100 == 0).cache()
+    same = {(q, i) for q in (100, 400, 500) for i in (100, 400, 500, 4) if q != i}
+    got = chroma.pairs(found, col("id") % 100 == 0).collect()
+    assert len(got) == len(same) + 5
+    assert {(r.query_id, r.id) for r in got} == same | {(100, 1), (400, 1), (500, 1), (200, 1), (200, 2)}
+    best = {r.id: r for r in found.collect()}
+    assert len(best) == found.count() == 9 and [best[i].query_id for i in (100, 400, 500, 4, 2, 3, 300)] == [400, 100, 100, 100, 200, None, None]
+    assert best[2].overlap == 200
+
+
+def test_alignments_of_repeated_ids(spark):
+    rng = np.random.default_rng(7)
+    a, b = (rng.integers(0, 1 << 32, 60, np.uint32).tolist() for _ in range(2))
+    found = chroma.nearest_query(spark.createDataFrame([(100, a), (100, b), (200, b), (1, a)], "id long, items array<long>"), col("id") % 100 == 0)
+    assert sorted((r.query_id, r.id) for r in chroma.pairs(found, col("id") % 100 == 0).collect()) == [(100, 1), (100, 200), (200, 100)]
+    assert found.count() == 4
+
+
 def test_items_are_box_sums():
     frames = np.random.default_rng(3).random((40, 12))
     a = chroma.items(frames)

@@ -29,6 +29,8 @@ from .text import lists, released
 FRAME, STEP, LOW, OCTAVES, SPAN = 0.256, 0.064, 110.0, 4, 16
 #: Leading bits that count as equal; most queries, and about most items of queries, in a block.
 KEY_BITS, QUERIES, ITEMS = 20, 1024, 1 << 18
+#: An alignment has at most this share of wrong bits over at least so many items (about two seconds).
+RATE, OVERLAP = 0.25, 32
 #: Recordings of more items are aligned with one query at a time.
 LONG = 1 << 13
 #: Sixteen filters by rule: kind, first pitch class, pitch classes, frames.
@@ -117,10 +119,11 @@ def fingerprint(data: bytes | None) -> np.ndarray:
     return items(chroma(*read_wav(data)))
 
 
-def align(a: np.ndarray, b: np.ndarray, bits: int = KEY_BITS) -> tuple[int, int, int] | None:
+def align(a: np.ndarray, b: np.ndarray, bits: int = KEY_BITS, least: int = 1) -> tuple[int, int, int] | None:
     """Offset of b's items in a's time, overlap and bit errors; None if no leading bits agree anywhere.
 
-    Every value's places in one are subtracted from its places in the other; the offset that occurs most wins.
+    Every value's places in one are subtracted from its places in the other; of the offsets with at least `least` items of overlap,
+    the one that occurs most wins.
     """
     drop = np.uint32(32 - bits)
     x, y = a >> drop, b >> drop
@@ -135,6 +138,10 @@ def align(a: np.ndarray, b: np.ndarray, bits: int = KEY_BITS) -> tuple[int, int,
         m = n[s : s + most]
         flat = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(low[s : s + most], m)
         votes += np.bincount(order[flat] - np.repeat(np.arange(s, s + len(m)), m) + len(b), minlength=len(votes))
+    at = np.arange(len(votes)) - len(b)
+    votes[np.minimum(len(a) - np.maximum(0, at), len(b) - np.maximum(0, -at)) < least] = 0
+    if not votes.any():
+        return None
     offset = int(votes.argmax()) - len(b)
     i, j = max(0, offset), max(0, -offset)
     k = min(len(a) - i, len(b) - j)
@@ -148,16 +155,17 @@ class Block:
         self.prints, self.sizes = prints, np.array([len(v) for v in prints], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.flat = np.concatenate(prints) if prints else np.zeros(0, np.uint32)
+        self.shape, self.few = None, None
         keys = self.flat >> np.uint32(32 - KEY_BITS)
         order = np.argsort(keys, kind="stable")
         self.keys = keys[order]
         self.at, self.owner = order, np.repeat(np.arange(len(prints)), self.sizes)[order]
 
-    def align(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def align(self, own: np.ndarray, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Number of each of the recordings that own shares leading bits with, offset, overlap and bit errors."""
         size = len(own)
         if size > LONG:
-            got = [(q, *x) for q, v in enumerate(self.prints) if (x := align(v, own))]
+            got = [(q, *x) for q, v in enumerate(self.prints) if (x := align(v, own, least=least))]
             return tuple(np.array(got, np.int64).reshape(-1, 4).T)
         y = own >> np.uint32(32 - KEY_BITS)
         low, high = np.searchsorted(self.keys, y, "left"), np.searchsorted(self.keys, y, "right")
@@ -174,6 +182,10 @@ class Block:
             s = e
         if not len(votes):
             return (np.zeros(0, np.int64),) * 4
+        if self.shape != (size, least):  # recordings are often of one length
+            at = np.arange(len(votes)) - np.repeat(first, cells) - size
+            self.shape, self.few = (size, least), np.minimum(np.repeat(self.sizes, cells) - np.maximum(0, at), size - np.maximum(0, -at)) < least
+        votes[self.few] = 0
         most = np.maximum.reduceat(votes, first)
         place = np.flatnonzero(votes == np.repeat(np.maximum(most, 1), cells))
         of = np.searchsorted(first, place, "right") - 1
@@ -200,46 +212,62 @@ def fingerprints(media: DataFrame, key: str, audio: str) -> DataFrame:
     return media.select(F.col(key).cast("long"), audio).mapInArrow(released(run), "id long, items array<long>")
 
 
-def nearest_query(prints: DataFrame, queries: Column) -> DataFrame:
-    """For every recording (id, items) the query recording that it aligns with at the lowest rate of bit errors; one value
-    whose leading bits both have is enough for a pair to be aligned.
+ALIGNED = "array<struct<query_class: bigint, query_id: bigint, offset: int, overlap: int, bit_errors: int>>"
+
 
-    Queries go to every task in blocks of at most about QUERIES, and of about ITEMS items; equal recordings of a batch are aligned once. Adds query_id, offset,
-    overlap and bit_errors, null where nothing agrees.
+def nearest_query(prints: DataFrame, queries: Column, rate: float = RATE, overlap: int = OVERLAP) -> DataFrame:
+    """For every recording (id, items) all query recordings that it aligns with at a rate of bit errors of at most `rate` over at
+    least `overlap` items, and the one of the lowest rate among them; one value whose leading bits both have is enough for a pair to be tried.
+
+    Equal queries are one class, named by a 64-bit hash of its items: `query_class` is that of a recording whose items a query has, and
+    `alignments` has an entry for each class with another id than the recording's, its query_id the least such id; pairs() gives them query by query.
+    Queries go to every task in blocks of at most about QUERIES, and of about ITEMS items; equal recordings of a batch are
+    aligned once. query_id, offset, overlap and bit_errors are those of the best, null where there is none.
     """
-    asked = prints.where(queries & (F.size("items") > 0)).dropDuplicates(["id", "items"])
+    asked = prints.where(queries & (F.size("items") > 0)).groupBy("items").agg(F.slice(F.array_sort(F.collect_set("id")), 1, 2).alias("ids")).where(F.size("ids") > 0).withColumn("class", F.xxhash64("items"))
     number, total = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("items").cast("long")), F.lit(0))).first()
     blocks = max(1, -(-number // QUERIES), -(-total // ITEMS))
-    out = prints.withColumns({"query_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("int"), "overlap": F.lit(None).cast("int"), "bit_errors": F.lit(None).cast("int")})
+    out = prints.withColumns({"query_class": F.lit(None).cast("long"), "alignments": F.array().cast(ALIGNED)})
+    kind = pa.list_(pa.struct([("query_class", pa.int64()), ("query_id", pa.int64()), ("offset", pa.int32()), ("overlap", pa.int32()), ("bit_errors", pa.int32())]))
     for block in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).orderBy("id", "items").toArrow()
-        sent = [(i, np.array(v, np.uint32)) for i, v in zip(rows["id"].to_pylist(), rows["items"].to_pylist(), strict=True)]
-        shared = prints.sparkSession.sparkContext.broadcast(sent)
+        rows = asked.where(F.pmod(F.col("class"), F.lit(blocks)) == block).orderBy("ids", "class").toArrow()
+        shared = prints.sparkSession.sparkContext.broadcast([(i, c, np.array(v, np.uint32)) for i, c, v in zip(rows["ids"].to_pylist(), rows["class"].to_pylist(), rows["items"].to_pylist(), strict=True)])
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            block = Block([v for _, v in shared.value])
+            block = Block([v for _, _, v in shared.value])
+            classes = {v.tobytes(): c for _, c, v in shared.value}
             for batch in batches:
                 done: dict[bytes, list] = {}
-                results = [[], [], [], []]
-                columns = [batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5)]
+                named, results = [], []
                 ends = batch.column(1).offsets.to_numpy()
                 flat = batch.column(1).values.to_numpy().astype(np.uint32)
-                for i, (id_, *best) in enumerate(zip(*columns, strict=True)):
+                for i, (id_, name, old) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), strict=True)):
                     own = flat[ends[i] : ends[i + 1]]
-                    if own.tobytes() not in done:
-                        found = [(shared.value[q][0], *got) for q, *got in zip(*(x.tolist() for x in block.align(own)), strict=True)]
-                        # the best, and the best of another id for recordings that are queries themselves
-                        found.sort(key=lambda f: (f[3] / f[2], f[0], f[1]))
-                        done[own.tobytes()] = found[:1] + [f for f in found if f[0] != found[0][0]][:1] if found else []
-                    other = [f for f in done[own.tobytes()] if f[0] != id_]
-                    old = [tuple(best)] if best[0] is not None else []
-                    pick = min([*old, *other[:1]], key=lambda f: (f[3] / f[2], f[0], f[1]), default=(None,) * 4)
-                    for r, v in zip(results, pick, strict=True):
-                        r.append(v)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(results[0], pa.int64()), *(pa.array(r, pa.int32()) for r in results[1:])], ["id", "items", "query_id", "offset", "overlap", "bit_errors"])
-
-        out = out.mapInArrow(run, "id long, items array<long>, query_id long, offset int, overlap int, bit_errors int")
-    return out
+                    key = own.tobytes()
+                    if key not in done:
+                        met, offset, k, wrong = block.align(own, overlap)
+                        good = wrong <= rate * 32 * k
+                        done[key] = list(zip(*(x[good].tolist() for x in (met, offset, k, wrong)), strict=True))
+                    named.append(classes.get(key, name))
+                    for q, o, k, e in done[key]:
+                        ids, class_, _ = shared.value[q]
+                        other = next((x for x in ids if x != id_), None)
+                        if other is not None:
+                            old.append({"query_class": class_, "query_id": other, "offset": o, "overlap": k, "bit_errors": e})
+                    results.append(old)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(named, pa.int64()), pa.array(results, kind)], ["id", "items", "query_class", "alignments"])
+
+        out = out.mapInArrow(run, f"id long, items array<long>, query_class long, alignments {ALIGNED}")
+    ranked = F.transform("alignments", lambda x: F.struct((x["bit_errors"] / x["overlap"]).alias("r"), *[x[c].alias(c) for c in ("query_id", "offset", "overlap", "bit_errors")]))
+    best = out.withColumn("_best", F.array_min(ranked))
+    return best.select("id", "items", *[F.col(f"_best.{c}").alias(c) for c in ("query_id", "offset", "overlap", "bit_errors")], "query_class", "alignments")
+
+
+def pairs(found: DataFrame, queries: Column) -> DataFrame:
+    """(query_id, id, offset, overlap, bit_errors) of every query and recording that align, from what nearest_query() gave."""
+    members = found.where(queries & F.col("query_class").isNotNull()).select(F.col("query_class").alias("_class"), F.col("id").alias("query_id")).distinct()
+    rows = found.select("id", F.explode("alignments").alias("_a")).select("id", F.col("_a.query_class").alias("_of"), "_a.offset", "_a.overlap", "_a.bit_errors")
+    return rows.join(members, F.col("_of") == F.col("_class")).where(~F.col("query_id").eqNullSafe(F.col("id"))).select("query_id", "id", "offset", "overlap", "bit_errors")
 
 
 def tones(vectors: DataFrame, key: str, vector: str, rate: int = 4000, note: float = 0.125) -> DataFrame:
@@ -266,4 +294,4 @@ def query(spark, sf_dir):
     media = tones(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     found = nearest_query(stored(fingerprints(media, "id", "audio"), "prints"), F.col("id") % 100 == 0)
     crc = F.crc32(F.concat_ws(",", F.transform("items", lambda x: x.cast("string"))).cast("binary"))
-    return found.select(F.col("id").alias("vec_id"), F.size("items").cast("long").alias("n_items"), crc.alias("items_crc32"), "query_id", "offset", "overlap", "bit_errors")
+    return found.select(F.col("id").alias("vec_id"), F.size("items").cast("long").alias("n_items"), crc.alias("items_crc32"), "query_id", "offset", "overlap", "bit_errors", "query_class", "alignments")
