@@ -27,25 +27,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while (name := f"_{name}").lower() in taken:
+            pass
+        taken.add(name)
+        out.append(name)
+    return out
+
+
+def plain(column: str) -> str:
+    """A column's name as it is, whatever signs are in it."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def seeded(seed: int, *columns: str) -> Column:
     """A hash that orders rows as if at random but always alike."""
     return F.xxhash64(F.lit(seed), *[F.col(c) for c in columns])
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str], seed: int, name: str, buckets: int = 512) -> DataFrame:
+#: Rows of a bucket that are numbered together, about.
+BUCKET = 1 << 16
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[str], seed: int, name: str, buckets: int | None = None) -> DataFrame:
     """Number the rows of each key from 1 in a seeded order, in column `name`.
 
-    A key's rows are dealt over hash buckets; a rank is the rank within the bucket plus the counts of the
+    A key's rows are dealt over hash buckets, as many as the number of all rows asks for; a rank is the rank within the bucket plus the counts of the
     buckets before it, so no task holds a whole key however many rows it has. Rows equal in all of `order`
-    take neighbouring numbers.
+    take neighbouring numbers. df is read three times: store it first.
     """
-    h, b = "_rank_hash", "_rank_bucket"
+    buckets = buckets or max(16, -(-df.count() // BUCKET))
+    h, b, n, ahead, own, at, *right = fresh(df, "hash", "bucket", "n", "before", "within", "at", *[f"key{i}" for i in range(len(keys))])
     rows = df.withColumn(h, seeded(seed, *order)).withColumn(b, F.pmod(F.col(h), F.lit(buckets)).cast("int"))
-    counts = rows.groupBy(*keys, b).agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*keys).orderBy(b)) - F.col("_n")).drop("_n")
-    within = rows.withColumn("_within", F.row_number().over(Window.partitionBy(*keys, b).orderBy(h, *order)))
-    right = before.select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.col(b).alias("_r_b"), "_before")
-    on = F.col(b) == F.col("_r_b")
-    for k in keys:
-        on &= F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    return within.join(right, on, "left").withColumn(name, F.col("_before") + F.col("_within")).drop(h, b, "_within", "_before", "_r_b", *[f"_r_{k}" for k in keys])
+    counts = rows.groupBy(*keys, b).agg(F.count("*").alias(n))
+    before = counts.withColumn(ahead, F.sum(n).over(Window.partitionBy(*keys).orderBy(b)) - F.col(n))
+    within = rows.withColumn(own, F.row_number().over(Window.partitionBy(*keys, b).orderBy(h, *order)))
+    before = before.select(*[F.col(k).alias(r) for k, r in zip(keys, right, strict=True)], F.col(b).alias(at), ahead)
+    on = F.col(b) == F.col(at)
+    for k, r in zip(keys, right, strict=True):
+        on &= F.col(k).eqNullSafe(F.col(r))
+    return within.join(before, on, "left").withColumn(name, F.col(ahead) + F.col(own)).drop(h, b, own, ahead, at, *right)
