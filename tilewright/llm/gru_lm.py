@@ -18,6 +18,7 @@ training document. Without training documents every score is that of the smoothe
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +34,8 @@ from .text import _LOWER, U64, lists, released, slices, word_hashes, words
 HEAD = 1 << 23
 #: Words with a softmax of their own, in so many classes; classes of the rest.
 WORDS, GROUPS, MOST, ENDINGS, HIDDEN = 1024, 24, 128, 40, 16
+#: The unit that starts a document and clears the state.
+START = WORDS + ENDINGS
 #: Steps of back-propagation; documents side by side; tokens that a task holds at a time.
 WINDOW, BATCH, POOL = 32, 256, 1 << 22
 END = U64(0xE0D0F0A0)
@@ -153,122 +156,161 @@ def lexicon(table_: DataFrame, head: int = HEAD) -> Lexicon:
 # ---------------------------------------------------------------- network
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
 class Gru:
     """Parameters by name. Inputs are units, so the input matrix is a table of rows."""
 
     def __init__(self, lex: Lexicon, seed: int = 42, hidden: int = HIDDEN):
         rng = np.random.default_rng(seed)
-        units, classes = WORDS + ENDINGS + 1, lex.groups + ENDINGS  # the last unit starts a document
+        units, classes = START + 1, lex.groups + ENDINGS
         small = lambda *shape: (rng.normal(size=shape) * 0.1).astype(np.float32)
         self.p = {"x": small(units, 3 * hidden), "h": small(hidden, 3 * hidden), "b": np.zeros(3 * hidden, np.float32), "c": small(hidden, classes), "cb": lex.prior.astype(np.float32), "w": small(WORDS, hidden), "wb": np.zeros(WORDS, np.float32)}
         self.p["wb"][: len(lex.first)] = lex.first
         self.lex, self.hidden = lex, hidden
         self.of = np.concatenate((lex.group, np.zeros(WORDS - len(lex.group), np.int32), lex.groups + np.arange(ENDINGS, dtype=np.int32))).astype(np.int32)
 
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """x: the inputs' rows (b, 3 hidden). Gates z, r, candidate n and the new state."""
+    def scaled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of the inputs with the bias, and the state's matrices of gates and candidate; gates are halved, as a sigmoid is a tanh of the half."""
         d, p = self.hidden, self.p
-        zr = _sigmoid(x[:, : 2 * d] + h @ p["h"][:, : 2 * d])
-        z, r = zr[:, :d], zr[:, d:]
-        rh = r * h
-        n = np.tanh(x[:, 2 * d :] + rh @ p["h"][:, 2 * d :])
-        return z, r, rh, n, h + z * (n - h)
+        rows = p["x"] + p["b"]
+        rows[:, : 2 * d] *= 0.5
+        return rows, p["h"][:, : 2 * d] * rows.dtype.type(0.5), np.ascontiguousarray(p["h"][:, 2 * d :])
+
+    def step(self, x: np.ndarray, h: np.ndarray, gates: np.ndarray, candidate: np.ndarray) -> tuple[np.ndarray, ...]:
+        """x: scaled rows (b, 3 hidden). Gates z and r side by side, r * h, the candidate n and the new state."""
+        d = self.hidden
+        zr = h @ gates
+        zr += x[:, : 2 * d]
+        np.tanh(zr, out=zr)
+        zr += 1
+        zr *= 0.5
+        rh = zr[:, d:] * h
+        n = rh @ candidate
+        n += x[:, 2 * d :]
+        np.tanh(n, out=n)
+        new = n - h
+        new *= zr[:, :d]
+        new += h
+        return zr, rh, n, new
+
+    @staticmethod
+    def _softmax(s: np.ndarray, calm: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Exponentials, in place, and their sums; `calm`: too small to overflow as they are."""
+        if not calm:
+            s -= s.max(1, keepdims=True)
+        np.exp(s, out=s)
+        return s, s.sum(1)
+
+    def _calm(self, weights: str, bias: str, axis: int) -> bool:
+        """Whether no output can be beyond 60 in size: states are within -1 and 1."""
+        return bool((np.abs(self.p[weights]).sum(axis) + np.abs(self.p[bias])).max(initial=0) < 60)
 
     def log_p(self, states: np.ndarray, unit: np.ndarray) -> np.ndarray:
         """Natural log of class and, for frequent words, word given class."""
         p, of = self.p, self.of[unit]
-        s = states @ p["c"] + p["cb"]
-        s -= s.max(1, keepdims=True)
-        out = s[np.arange(len(s)), of] - np.log(np.exp(s).sum(1))
+        s = states @ p["c"]
+        s += p["cb"]
+        calm = self._calm("c", "cb", 0)
+        if not calm:
+            s -= s.max(1, keepdims=True)
+        out = s[np.arange(len(s)), of].astype(np.float64)
+        out -= np.log(self._softmax(s, True)[1])
+        calm = self._calm("w", "wb", 1)
         for g, at in self._by_group(unit, of):
             a, b = self.lex.start[g], self.lex.start[g + 1]
-            s = states[at] @ p["w"][a:b].T + p["wb"][a:b]
-            s -= s.max(1, keepdims=True)
-            out[at] += s[np.arange(len(at)), unit[at] - a] - np.log(np.exp(s).sum(1))
+            s = states[at] @ p["w"][a:b].T
+            s += p["wb"][a:b]
+            if not calm:
+                s -= s.max(1, keepdims=True)
+            own = s[np.arange(len(at)), unit[at] - a].astype(np.float64)
+            out[at] += own - np.log(self._softmax(s, True)[1])
         return out
 
     def _by_group(self, unit: np.ndarray, of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Classes of several frequent words, and where their words are."""
         at = np.flatnonzero(unit < WORDS)
         at = at[np.argsort(of[at], kind="stable")]
         edge = np.searchsorted(of[at], np.arange(self.lex.groups + 1))
         for g in range(self.lex.groups):
-            if edge[g + 1] > edge[g]:
+            if edge[g + 1] > edge[g] and self.lex.start[g + 1] - self.lex.start[g] > 1:
                 yield g, at[edge[g] : edge[g + 1]]
 
     def window(self, inputs: np.ndarray, targets: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[float, dict, np.ndarray]:
-        """Loss, gradients and last state of (steps, batch) units; gradients stop at the window's start."""
+        """Loss, gradients and last state of (steps, batch) units. Gradients stop at the window's start, and like the state at the unit START."""
         p, d = self.p, self.hidden
         steps, size = inputs.shape
-        xs = p["x"][inputs] + p["b"]
-        kept, hs = [], [h]
+        rows, gates, candidate = self.scaled()
+        xs = rows[inputs]
+        alive = (inputs != START)[:, :, None].astype(xs.dtype)
+        zr, rh, ns, before = np.empty((steps, size, 2 * d), xs.dtype), np.empty((steps, size, d), xs.dtype), np.empty((steps, size, d), xs.dtype), np.empty((steps, size, d), xs.dtype)
+        states = np.empty((steps, size, d), xs.dtype)
         for t in range(steps):
-            z, r, rh, n, h = self.step(xs[t], h)
-            kept.append((z, r, rh, n))
-            hs.append(h)
-        states = np.concatenate(hs[1:]).reshape(steps * size, d)
-        unit, on = targets.reshape(-1), mask.reshape(-1)
+            before[t] = h * alive[t]
+            zr[t], rh[t], ns[t], h = self.step(xs[t], before[t], gates, candidate)
+            states[t] = h
+        on = np.flatnonzero(mask.reshape(-1))
+        flat, unit = states.reshape(-1, d)[on], targets.reshape(-1)[on]
         of = self.of[unit]
         g = {k: np.zeros_like(v) for k, v in p.items()}
-        s = states @ p["c"] + p["cb"]
-        s -= s.max(1, keepdims=True)
-        e = np.exp(s)
-        e /= e.sum(1, keepdims=True)
-        loss = -float((np.log(e[np.arange(len(e)), of] + 1e-30) * on).sum())
-        e[np.arange(len(e)), of] -= 1
-        e *= on[:, None]
-        g["c"], g["cb"] = states.T @ e, e.sum(0)
+        s = flat @ p["c"]
+        s += p["cb"]
+        e, total = self._softmax(s, self._calm("c", "cb", 0))
+        e /= total[:, None]
+        here = np.arange(len(e))
+        loss = -float(np.log(e[here, of] + 1e-30).sum())
+        e[here, of] -= 1
+        g["c"], g["cb"] = flat.T @ e, e.sum(0)
         ds = e @ p["c"].T
-        for k, at in self._by_group(np.where(on > 0, unit, WORDS), of):
+        calm = self._calm("w", "wb", 1)
+        for k, at in self._by_group(unit, of):
             a, b = self.lex.start[k], self.lex.start[k + 1]
-            s = states[at] @ p["w"][a:b].T + p["wb"][a:b]
-            s -= s.max(1, keepdims=True)
-            e = np.exp(s)
-            e /= e.sum(1, keepdims=True)
-            loss -= float(np.log(e[np.arange(len(at)), unit[at] - a] + 1e-30).sum())
-            e[np.arange(len(at)), unit[at] - a] -= 1
-            g["w"][a:b], g["wb"][a:b] = e.T @ states[at], e.sum(0)
+            own = flat[at]
+            s = own @ p["w"][a:b].T
+            s += p["wb"][a:b]
+            e, total = self._softmax(s, calm)
+            e /= total[:, None]
+            here = np.arange(len(at))
+            loss -= float(np.log(e[here, unit[at] - a] + 1e-30).sum())
+            e[here, unit[at] - a] -= 1
+            g["w"][a:b], g["wb"][a:b] = e.T @ own, e.sum(0)
             ds[at] += e @ p["w"][a:b]
-        ds = ds.reshape(steps, size, d)
-        dh = np.zeros((size, d), np.float32)
+        every = np.zeros((steps * size, d), xs.dtype)
+        every[on] = ds
+        every = every.reshape(steps, size, d)
+        z, r = zr[:, :, :d], zr[:, :, d:]
+        by_n, stay = z * (1 - ns * ns), 1 - z
+        by_z, by_r = (ns - before) * z * stay, before * r * (1 - r)
+        dh = np.zeros((size, d), xs.dtype)
         dx = np.empty_like(xs)
-        u = p["h"]
+        to_gates, to_candidate = np.ascontiguousarray(p["h"][:, : 2 * d].T), np.ascontiguousarray(p["h"][:, 2 * d :].T)
         for t in range(steps - 1, -1, -1):
-            z, r, rh, n = kept[t]
-            dh = dh + ds[t]
-            before = hs[t]
-            dn = dh * z * (1 - n * n)
-            dz = dh * (n - before) * z * (1 - z)
-            drh = dn @ u[:, 2 * d :].T
-            dr = drh * before * r * (1 - r)
-            dzr = np.concatenate((dz, dr), 1)
-            g["h"][:, : 2 * d] += before.T @ dzr
-            g["h"][:, 2 * d :] += rh.T @ dn
-            dh = dh * (1 - z) + drh * r + dzr @ u[:, : 2 * d].T
-            dx[t, :, : 2 * d], dx[t, :, 2 * d :] = dzr, dn
-        flat = dx.reshape(-1, 3 * d)
-        g["b"] = flat.sum(0)
+            dh += every[t]
+            dn = dh * by_n[t]
+            drh = dn @ to_candidate
+            dx[t, :, 2 * d :] = dn
+            np.multiply(dh, by_z[t], out=dx[t, :, :d])
+            np.multiply(drh, by_r[t], out=dx[t, :, d : 2 * d])
+            dh *= stay[t]
+            drh *= r[t]
+            dh += drh
+            dh += dx[t, :, : 2 * d] @ to_gates
+            dh *= alive[t]
+        dx = dx.reshape(-1, 3 * d)
+        g["h"][:, : 2 * d] = before.reshape(-1, d).T @ dx[:, : 2 * d]
+        g["h"][:, 2 * d :] = rh.reshape(-1, d).T @ dx[:, 2 * d :]
+        g["b"] = dx.sum(0)
         ids = inputs.reshape(-1)
         order = np.argsort(ids, kind="stable")
-        edge = np.flatnonzero(np.concatenate(([True], ids[order][1:] != ids[order][:-1])))
-        g["x"][ids[order][edge]] = np.add.reduceat(flat[order], edge)
+        ids = ids[order]
+        edge = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+        g["x"][ids[edge]] = np.add.reduceat(dx[order], edge)
         return loss, g, h
 
     def train(self, docs: list[np.ndarray], rate: float, seed: int) -> int:
-        """One pass of Adam over whole documents of units, each after the unit that starts one: BATCH lanes side by side, a lane's documents one
-        after the other, the state carried from window to window and cleared between documents. Where fewer lanes are left than BATCH,
+        """One pass of Adam over whole documents of units, each after START: BATCH lanes side by side, a lane's documents one right
+        after the other, the state carried from window to window and cleared where a document starts. Where fewer lanes are left than BATCH,
         steps are smaller. Returns the number of tokens."""
         rng = np.random.default_rng(seed)
-        n = np.array([-(-(len(d) - 1) // WINDOW) for d in docs], np.int64)
-        first = np.cumsum(n) - n
-        inputs_, targets_ = np.full((2, int(n.sum()), WINDOW), -1, np.int16)
-        for a, d in zip((first * WINDOW).tolist(), docs, strict=True):
-            inputs_.reshape(-1)[a : a + len(d) - 1], targets_.reshape(-1)[a : a + len(d) - 1] = d[:-1], d[1:]
-        starts = np.zeros(len(inputs_), bool)
-        starts[first[n > 0]] = True
+        n = np.array([len(d) - 1 for d in docs], np.int64)
         lanes: list[list[int]] = [[] for _ in range(min(BATCH, len(docs)))]
         load = [(0, i) for i in range(len(lanes))]
         order = rng.permutation(len(docs))
@@ -276,24 +318,27 @@ class Gru:
             has, lane = load[0]
             lanes[lane].append(i)
             heapq.heapreplace(load, (has + int(n[i]), lane))
-        rows = [np.concatenate([np.arange(first[i], first[i] + n[i]) for i in rng.permutation(lane)]) for lane in lanes]
-        rows.sort(key=len, reverse=True)
-        sizes = np.array([len(r) for r in rows])
+        sizes = np.array([sum(int(n[i]) for i in lane) for lane in lanes], np.int64)
+        lanes = [lanes[i] for i in np.argsort(-sizes, kind="stable")]
+        sizes = -np.sort(-sizes)
+        steps = -(-int(sizes[0]) // WINDOW) * WINDOW if len(sizes) else 0
+        inputs_, targets_ = np.full((2, len(lanes), steps), -1, np.int16)
+        for row, lane in enumerate(lanes):
+            mixed = [docs[i] for i in rng.permutation(lane)]
+            inputs_[row, : sizes[row]], targets_[row, : sizes[row]] = np.concatenate([d[:-1] for d in mixed]), np.concatenate([d[1:] for d in mixed])
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
         step = seen = 0
-        h = np.zeros((len(rows), self.hidden), np.float32)
-        for t in range(int(sizes[0]) if len(rows) else 0):
+        h = np.zeros((len(lanes), self.hidden), np.float32)
+        for t in range(0, steps, WINDOW):
             k = int(np.searchsorted(-sizes, -t, "left"))
-            at = np.array([r[t] for r in rows[:k]])
-            inputs, targets = inputs_[at].T, targets_[at].T
-            mask = (targets >= 0).astype(np.float32)
-            h = np.where(starts[at][:, None], np.float32(0), h[:k])
-            n = float(mask.sum())
-            _, g, h = self.window(np.maximum(inputs, 0), np.maximum(targets, 0), mask, h)
-            seen += int(n)
+            inputs, targets = inputs_[:k, t : t + WINDOW].T, targets_[:k, t : t + WINDOW].T
+            mask = targets >= 0
+            n = int(mask.sum())
+            _, g, h = self.window(np.maximum(inputs, 0), np.maximum(targets, 0), mask, h[:k])
+            seen += n
             step += 1
-            pace = rate * min(1.0, k / len(rows)) ** 0.5
+            pace = rate * min(1.0, k / len(lanes)) ** 0.5
             for k, x in g.items():
                 x = x / n
                 m[k] += 0.1 * (x - m[k])
@@ -308,15 +353,15 @@ class Gru:
         order = np.argsort(-n, kind="stable")
         at, n = bounds[:-1][order], n[order]
         out, h = np.zeros(len(n)), np.zeros((len(n), self.hidden), np.float32)
-        before = np.full(len(n), WORDS + ENDINGS, np.int32)
-        table_ = self.p["x"] + self.p["b"]
+        before = np.full(len(n), START, np.int32)
+        table_, *matrices = self.scaled()
         for t in range(0, int(n[0]) if len(n) else 0, WINDOW):
             states, units, docs = [], [], []
             for s in range(t, t + WINDOW):
                 k = int(np.searchsorted(-n, -s, "left"))
                 if not k:
                     break
-                h[:k] = self.step(table_[before[:k]], h[:k])[-1]
+                h[:k] = self.step(table_[before[:k]], h[:k], *matrices)[-1]
                 now = unit[at[:k] + s]
                 states.append(h[:k].copy())
                 units.append(now)
@@ -335,18 +380,36 @@ class Gru:
 # ---------------------------------------------------------------- Spark
 
 
-def sequences(docs: DataFrame, lex, text: str) -> DataFrame:
-    """The units of all tokens of every document, after the unit that starts one, as 16-bit integers."""
+def encoded(docs: DataFrame, lex, key: str, text: str, learn: Column) -> DataFrame:
+    """Per document, tokenised once for training and scores: uid, key, learn, numbers of tokens and of known ones, sums of the logs of their counts and of those within their
+    class of endings, hashes of words outside the head, and the units of all tokens after START, as 16-bit integers."""
+    kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        own, uid = lex.value, TaskContext.get().partitionId() << 40
         for batch in batches:
-            for _, _, bounds, h, form in tokens(batch.column(0)):
-                _, unit = lex.value.look_up(h, form)
-                units = np.insert(unit.astype("<i2"), bounds[:-1], WORDS + ENDINGS)
+            for a, b, bounds, h, form in tokens(batch.column(1)):
+                n = np.diff(bounds)
+                c, unit = own.look_up(h, form)
+                add = lambda x: np.add.reduceat(x, bounds[:-1])
+                known = c > 0
+                logs = np.log10(c + 1.0)
+                rest = unit >= WORDS
+                inside = np.zeros(len(h))
+                inside[rest] = logs[rest] - np.log10(own.mass[unit[rest] - WORDS])
+                rare = np.flatnonzero(~known) if own.least > 1 else np.zeros(0, np.int64)
+                at = np.searchsorted(rare, bounds)
+                units = np.insert(unit.astype("<i2"), bounds[:-1], START)
                 ends = (bounds + np.arange(len(bounds))).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([units[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["units"])
+                blobs = pa.array([units[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+                cols = [pa.array(np.arange(uid, uid + b - a)), batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(n), pa.array(add(known.astype(np.int64))), pa.array(add(logs)), pa.array(add(inside)), lists([h[rare[i:j]] for i, j in zip(at[:-1], at[1:], strict=True)], pa.int64()), blobs]
+                uid += b - a
+                yield pa.RecordBatch.from_arrays(cols, ["uid", "key", "learn", "n", "known", "logs", "inside", "rare", "units"])
 
-    return docs.select(text).mapInArrow(released(run), "units binary")
+    rows = docs.select(key, text, F.coalesce(learn, F.lit(False)).alias("learn"))
+    return rows.mapInArrow(released(run), f"uid long, key {kind}, learn boolean, n long, known long, logs double, inside double, rare array<long>, units binary")
 
 
 def _pack(p: dict[str, np.ndarray]) -> bytes:
@@ -361,20 +424,19 @@ def _unpack(blob: bytes, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return out
 
 
-def fit(docs: DataFrame, lex: Lexicon, shared, text: str = "text", rate: float = 0.01, rounds: int = 4, least: int = 4_000_000) -> Gru:
-    """Train on all tokens of docs: each round every task goes once over its share of the documents from the common parameters, which are then
+def fit(rows: DataFrame, lex: Lexicon, shared, rate: float = 0.01, rounds: int = 4, least: int = 4_000_000) -> Gru:
+    """Train on all tokens of rows (units): each round every task goes once over its share of the documents from the common parameters, which are then
     averaged by tokens. Small corpora are gone over again until about `least` tokens were seen."""
     net = Gru(lex)
     if not lex.total:
         return net
-    rows = stored(sequences(docs, shared, text), "sequences")
     # a task's steps must suffice to learn: at least some hundred batches in all
     passes = min(40, max(1, -(-least // lex.total)))
     rounds = rounds if passes == 1 else min(12, rounds * passes)
     repeat = -(-passes * 4 // rounds) if passes > 1 else 1
     pieces = rounds if passes == 1 else 4
     for i in range(rounds):
-        start = docs.sparkSession.sparkContext.broadcast(_pack(net.p))
+        start = rows.sparkSession.sparkContext.broadcast(_pack(net.p))
         pace = rate * (1 - 0.8 * i / rounds)
 
         def run(batches: Iterator[pa.RecordBatch], start=start, pace=pace, i=i) -> Iterator[pa.RecordBatch]:
@@ -415,70 +477,53 @@ def fit(docs: DataFrame, lex: Lexicon, shared, text: str = "text", rate: float =
 def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", head: int = HEAD, **options) -> DataFrame:
     """(key, n_tokens, n_known, train_tokens, base_score, score) per document, learned from the rows where `train` holds."""
     context = docs.sparkSession.sparkContext
-    learn = docs.where(train)
-    seen = stored(counts(learn, text), "counts")
+    seen = stored(counts(docs.where(train), text), "counts")
     lex = lexicon(seen, head)
     shared = context.broadcast(lex)
-    net = fit(learn, lex, shared, text, **options)
+    rows = stored(encoded(docs, shared, key, text, train), "encoded")
+    net = fit(rows.where("learn").select("units"), lex, shared, **options)
     weights = context.broadcast(_pack(net.p))
-    kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        lex = shared.value
-        own = Gru(lex)
+        own = Gru(shared.value)
         own.p = _unpack(weights.value, own.p)
-        uid = TaskContext.get().partitionId() << 40
         held: list[tuple] = []
         size = 0
 
         def scored() -> pa.RecordBatch:
-            nonlocal uid
-            h = np.concatenate([x[2] for x in held])
-            form = np.concatenate([x[3] for x in held])
-            n = np.concatenate([np.diff(x[1]) for x in held])
-            bounds = np.concatenate(([0], np.cumsum(n)))
-            c, unit = lex.look_up(h, form)
-            out = own.score(bounds, unit.astype(np.int32)) / np.log(10)
-            add = lambda x: np.add.reduceat(x, bounds[:-1])
-            logs = np.log10(c + 1.0)
-            rest = unit >= WORDS
-            inside = np.zeros(len(h))
-            inside[rest] = logs[rest] - np.log10(lex.mass[unit[rest] - WORDS])
-            known = c > 0
-            rare = [h[a:b][~known[a:b]] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)] if lex.least > 1 else [np.zeros(0, U64)] * len(n)
-            ids = np.arange(uid, uid + len(n))
-            uid += len(n)
-            keys = pa.concat_arrays([x[0] for x in held])
-            base = add(logs) - n * np.log10(lex.total + lex.distinct + 1.0)
-            return pa.RecordBatch.from_arrays([pa.array(ids), keys, pa.array(n), pa.array(add(known.astype(np.int64))), pa.array(base), pa.array(out + add(inside)), lists(rare, pa.int64())], ["uid", "key", "n", "known", "base", "model", "rare"])
+            parts = [np.frombuffer(x, "<i2")[1:] for _, units in held for x in units]
+            bounds = np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+            out = own.score(bounds, np.concatenate(parts).astype(np.int32)) / np.log(10)
+            kept = pa.Table.from_batches([x for x, _ in held]).combine_chunks().to_batches()[0]
+            return pa.RecordBatch.from_arrays([*kept.columns, pa.array(out)], [*kept.schema.names, "model"])
 
         for batch in batches:
-            for a, b, bounds, h, form in tokens(batch.column(1)):
-                held.append((batch.column(0).slice(a, b - a), bounds, h, form))
-                size += len(h)
-                if size >= 1 << 22:
-                    yield scored()
-                    held, size = [], 0
+            if len(batch):
+                held.append((batch.select(names), batch["units"].to_pylist()))
+                size += sum(map(len, held[-1][1])) // 2
+            if size >= 1 << 22:
+                yield scored()
+                held, size = [], 0
         if held:
             yield scored()
 
-    rows = stored(docs.select(key, text).mapInArrow(released(run), f"uid long, key {kind}, n long, known long, base double, model double, rare array<long>"), "scored")
+    names = ["uid", "key", "n", "known", "logs", "inside"]
+    kind = docs.schema[key].dataType.simpleString()
+    whole = rows.select(*names, "units").mapInArrow(released(run), f"uid long, key {kind}, n long, known long, logs double, inside double, model double")
     if lex.least > 1:  # the counts of words outside the head: the same term in both scores
         rare = rows.select("uid", F.explode("rare").alias("h")).join(seen.where(F.col("c") < lex.least).select("h", "c"), "h")
         more = rare.groupBy(F.col("uid").alias("_uid")).agg(F.count("*").alias("_known"), F.sum(F.log10(F.col("c") + 1.0)).alias("_logs"))
-        rows = rows.join(more, F.col("uid") == F.col("_uid"), "left")
+        rows = whole.join(more, F.col("uid") == F.col("_uid"), "left")
     else:
-        rows = rows.withColumns({"_known": F.lit(0), "_logs": F.lit(0.0)})
+        rows = whole.withColumns({"_known": F.lit(0), "_logs": F.lit(0.0)})
     plus = F.coalesce("_logs", F.lit(0.0))
     return rows.select(
         F.col("key").alias(key),
         F.col("n").alias("n_tokens"),
         (F.col("known") + F.coalesce("_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(lex.total).cast("long").alias("train_tokens"),
-        (F.col("base") + plus).alias("base_score"),
-        (F.col("model") + plus).alias("score"),
+        (F.col("logs") + plus - F.col("n") * math.log10(lex.total + lex.distinct + 1)).alias("base_score"),
+        (F.col("model") + F.col("inside") + plus).alias("score"),
     )
 
 
