@@ -1,16 +1,17 @@
 """Approximate nearest neighbours by a hash-prefix forest.
 
 Each of many trees gives a vector a long hash string: the signs of random projections after centring. A tree is
-the sorted array of these strings; every stored part of the vectors holds its own sorted arrays. A query descends every
+the sorted array of these strings; the forest is stored in parts of bounded size, each with its own sorted arrays. A query descends every
 tree to its longest matching prefix; then all trees ascend together, one bit at a time, until the rows that share so long a prefix with the
 query, counted over trees and parts, reach a wanted number. Those are ranked by their exact distance.
 
 How many rows must be visited for a recall depends on the data: vectors without any structure need a large share of
 all rows (`share`), clustered ones few (`least`). Queries are taken in blocks of bounded size against all rows.
 
-Vectors that are null, of another length than most, all zero, or hold null or non-finite components take no part;
-neither do rows without an id. A query's own id is never its neighbour, however often it is repeated. Equal distances go
-to the smaller id. Queries with fewer candidates than k get them all. An empty table gives an empty result.
+Vectors that are null, all zero, or hold null or non-finite components take no part; neither do rows without an id. Only vectors
+of one length have a distance: each length has a forest of its own. A query's own id is never its neighbour, however often it is repeated; a repeated id asks once, with
+its shortest, then least vector. Equal distances go to the smaller id. Queries with fewer candidates than k get them all. Columns of other names are not looked at. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,17 +26,16 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 TREES, BITS = 128, 24
-QUERIES, CHUNK = 2048, 8192
+#: Queries of a block, and of those that a task takes at once; rows of a part.
+QUERIES, SOME, CHUNK = 8192, 1024, 4096
+RESULT = "query_id long, id long, score double"
 
 
-def usable(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, int]:
-    """(id, v) of the vectors that take part, as doubles, and their length."""
+def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """(id, v) of the vectors that take part, as doubles."""
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = rows.where(finite & F.exists("v", lambda x: x != 0))
-    most = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    d = most["d"] if most else 0
-    return rows.where(F.size("v") == d), d
+    return rows.where(finite & F.exists("v", lambda x: x != 0))
 
 
 def _matrix(batch: pa.RecordBatch, i: int) -> np.ndarray:
@@ -71,28 +71,38 @@ class Hashes:
 
 
 def index(rows: DataFrame, d: int, seed: int = 42) -> tuple[DataFrame, Hashes]:
-    """The stored forest: every row with its strings."""
+    """The stored forest of vectors of length d: a row for each part, with ids, vectors, and for every tree the sorted strings and whose they are."""
     hashes = Hashes(_mean(rows, d), seed)
     mean = hashes.mean
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Hashes(mean, seed)
+        ids, x = np.zeros(0, np.int64), np.zeros((0, d))
+
+        def part(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+            strings = np.concatenate([own(x[a : a + 2048]) for a in range(0, len(x), 2048)]).T.astype("<i4")
+            order = np.argsort(strings, axis=1, kind="stable").astype("<u2")
+            blobs = (ids.astype("<i8"), x.astype("<f8"), np.take_along_axis(strings, order.astype(np.int64), 1), order)
+            return pa.RecordBatch.from_arrays([pa.array([len(ids)]), *(pa.array([b.tobytes()], pa.binary()) for b in blobs)], ["n", "ids", "v", "strings", "owner"])
+
         for batch in batches:
-            for a in range(0, len(batch), 2048):
-                part = batch.slice(a, 2048)
-                h = own(_matrix(part, 1))
-                strings = pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1) * h.shape[1], pa.int32()), pa.array(h.ravel().astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), strings], ["id", "v", "strings"])
+            if len(batch):
+                ids, x = np.concatenate((ids, batch.column(0).to_numpy())), np.concatenate((x, _matrix(batch, 1)))
+            while len(ids) >= CHUNK:
+                yield part(ids[:CHUNK], x[:CHUNK])
+                ids, x = ids[CHUNK:], x[CHUNK:]
+        if len(ids):
+            yield part(ids, x)
 
-    return stored(rows.mapInArrow(run, "id long, v array<double>, strings array<int>"), "forest"), hashes
+    return stored(rows.mapInArrow(run, "n long, ids binary, v binary, strings binary, owner binary"), "forest"), hashes
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _parts(batches: Iterator[pa.RecordBatch], d: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, vectors, sorted strings and owners of each part."""
     for batch in batches:
-        for a in range(0, len(batch), CHUNK):
-            part = batch.slice(a, CHUNK)
-            if len(part):
-                yield part.column(0).to_numpy(), _matrix(part, 1), _matrix(part, 2)
+        for i, n in enumerate(batch.column(0).to_pylist()):
+            blob = lambda c, kind: np.frombuffer(batch.column(c)[i].as_buffer(), kind)  # noqa: E731, B023
+            yield blob(1, "<i8"), blob(2, "<f8").reshape(n, d), blob(3, "<i4").reshape(-1, n), blob(4, "<u2").reshape(-1, n)
 
 
 def _range(sorted_: np.ndarray, q: np.ndarray, drop: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,31 +111,26 @@ def _range(sorted_: np.ndarray, q: np.ndarray, drop: np.ndarray | int) -> tuple[
     return np.searchsorted(sorted_, low, "left"), np.searchsorted(sorted_, low + (1 << np.asarray(drop)), "left")
 
 
-def search(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = 10, share: float = 0.4, least: int = 2000, seed: int = 42) -> DataFrame:
-    """(query_id, rank, key, score): the k nearest found of each row for which `queries` holds (a condition on the column id)."""
-    spark = vectors.sparkSession
-    rows, d = usable(vectors, key, vector)
+def _search(rows: DataFrame, asked: DataFrame, d: int, k: int, share: float, least: int, seed: int) -> list[DataFrame]:
+    """RESULT rows, with each query's k nearest of every part among them, of vectors of length d."""
+    spark = rows.sparkSession
     forest, hashes = index(rows, d, seed)
-    total = forest.count()
-    wanted = max(least, int(share * total))
-    asked = forest.where(queries).dropDuplicates(["id"])
-    number = asked.count()
-    blocks = max(1, -(-number // QUERIES))
+    wanted = max(least, int(share * (forest.agg(F.sum("n")).first()[0] or 0)))
+    blocks = max(1, -(-asked.count() // QUERIES))
     results = []
     for block in range(blocks):
         # about QUERIES rows by a hash of the id: a bounded part of the query set
         got = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).orderBy("id").toArrow()
         if not len(got):
             continue
-        ids, v, h = got["id"].to_numpy(), got["v"].combine_chunks().flatten().to_numpy().reshape(len(got), -1), got["strings"].combine_chunks().flatten().to_numpy().reshape(len(got), -1)
-        sent = spark.sparkContext.broadcast((ids, v, h))
+        ids, v = got["id"].to_numpy(), got["v"].combine_chunks().flatten().to_numpy().reshape(len(got), -1)
+        sent = spark.sparkContext.broadcast((ids, v, hashes(v).astype(np.int64)))
 
         def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             _, _, qh = sent.value
             seen = np.zeros((len(qh), BITS + 1), np.int64)
-            for _, _, strings in _parts(batches):
-                for t in range(strings.shape[1]):
-                    s = np.sort(strings[:, t])
+            for _, _, strings, _ in _parts(batches, d):
+                for t, s in enumerate(strings):
                     for drop in range(BITS + 1):
                         a, b = _range(s, qh[:, t], drop)
                         seen[:, BITS - drop] += b - a
@@ -135,7 +140,7 @@ def search(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str
             q, level = np.nonzero(seen)
             yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(level), pa.array(seen[q, level])], ["q", "level", "n"])
 
-        sums = forest.select("id", "v", "strings").mapInArrow(count, "q long, level long, n long").groupBy("q", "level").agg(F.sum("n").alias("n")).where(F.col("n") >= wanted).groupBy("q").agg(F.max("level").alias("level")).toArrow()
+        sums = forest.mapInArrow(count, "q long, level long, n long").groupBy("q", "level").agg(F.sum("n").alias("n")).where(F.col("n") >= wanted).groupBy("q").agg(F.max("level").alias("level")).toArrow()
         level = np.zeros(len(ids), np.int64)  # without enough anywhere, up to the roots
         level[sums["q"].to_numpy()] = sums["level"].to_numpy()
         stop = spark.sparkContext.broadcast(level)
@@ -143,35 +148,42 @@ def search(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str
         def nearest(batches: Iterator[pa.RecordBatch], sent=sent, stop=stop) -> Iterator[pa.RecordBatch]:
             qid, qv, qh = sent.value
             drop = BITS - stop.value
-            for own, x, strings in _parts(batches):
-                may = np.zeros((len(qid), len(own)), bool)
-                for t in range(strings.shape[1]):
-                    order = np.argsort(strings[:, t], kind="stable")
-                    a, b = _range(strings[order, t], qh[:, t], drop)
-                    n = b - a
-                    flat = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
-                    may[np.repeat(np.arange(len(n)), n), order[flat]] = True
-                out = []
-                for i in range(len(qid)):
-                    at = np.flatnonzero(may[i] & (own != qid[i]))
-                    if not len(at):
-                        continue
-                    score = np.sqrt(((x[at] - qv[i]) ** 2).sum(1))
-                    if len(at) > k:
-                        edge = np.partition(score, k - 1)[k - 1]
-                        near = np.flatnonzero(score <= edge)
-                        at, score = at[near], score[near]
-                    best = np.lexsort((own[at], score))[:k]
-                    out.append((np.full(len(best), qid[i]), own[at[best]], score[best]))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "id", "score"])
-
-        results.append(forest.select("id", "v", "strings").mapInArrow(nearest, "query_id long, id long, score double"))
-    if not results:
-        return spark.createDataFrame([], f"query_id long, rank int, `{key}` long, score double")
-    found = results[0]
-    for more in results[1:]:
-        found = found.union(more)
+            for own, x, strings, owner in _parts(batches, d):
+                for q in range(0, len(qid), SOME):
+                    some = slice(q, q + SOME)
+                    may = np.zeros((len(qid[some]), len(own)), bool)
+                    for t, s in enumerate(strings):
+                        a, b = _range(s, qh[some, t], drop[some])
+                        n = b - a
+                        flat = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
+                        may[np.repeat(np.arange(len(n)), n), owner[t, flat]] = True
+                    out = []
+                    for i, (id_, one) in enumerate(zip(qid[some], qv[some], strict=True)):
+                        at = np.flatnonzero(may[i] & (own != id_))
+                        if not len(at):
+                            continue
+                        score = np.sqrt(((x[at] - one) ** 2).sum(1))
+                        if len(at) > k:
+                            edge = np.partition(score, k - 1)[k - 1]
+                            near = np.flatnonzero(score <= edge)
+                            at, score = at[near], score[near]
+                        best = np.lexsort((own[at], score))[:k]
+                        out.append((np.full(len(best), id_), own[at[best]], score[best]))
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "id", "score"])
+
+        results.append(forest.mapInArrow(nearest, RESULT))
+    return results
+
+
+def search(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = 10, share: float = 0.4, least: int = 2000, seed: int = 42) -> DataFrame:
+    """(query_id, rank, key, score): the k nearest found of each row for which `queries` holds (a condition on the column id)."""
+    rows = usable(vectors, key, vector)
+    asked = rows.where(queries).groupBy("id").agg(F.min(F.struct(F.size("v").alias("d"), "v")).alias("q")).select("id", "q.d", "q.v")
+    found = vectors.sparkSession.createDataFrame([], RESULT)
+    for d, in asked.select("d").distinct().orderBy("d").collect():  # nearly always one length
+        for more in _search(rows.where(F.size("v") == d), asked.where(F.col("d") == d), d, k, share, least, seed):
+            found = found.union(more)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(key), "score")
 

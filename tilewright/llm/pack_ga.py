@@ -3,13 +3,14 @@
 Documents are encoded and cut into pieces of at most `capacity` tokens. Only how many pieces there are of each
 length decides the packing, so a chromosome is a multiset of bins: how often each bin pattern (length, times) occurs.
 Crossover injects whole well-filled bins of one parent into the other, takes away bins that then hold too many
-pieces of a length, and puts displaced pieces back by best fit, longest first. Islands evolve in Spark tasks
-and pass their elites round between epochs; all stop once the number of bins is the least possible. What an
-island holds is bounded by the capacity (lengths and patterns), whatever the number of documents. Pieces then
-find their places by their rank within their length.
+pieces of a length, and puts displaced pieces back by best fit, longest first. Islands evolve in Spark tasks from packings in
+random orders, and pass their elites round between epochs; each breeds, and elites migrate, at least once before the search may stop
+at the least possible number of bins. What an island holds is bounded by the capacity (lengths and patterns), whatever the number
+of documents. Pieces then find their places by their rank within their length.
 
 Null and empty texts are documents of one token, the separator. Repeated rows are packed as documents of their
-own. An empty table gives an empty result. Longer documents are cut; their last piece may be shorter.
+own. An empty table gives an empty result. Longer documents are cut; their last piece may be shorter. Pieces of one length, ties for a
+place, take their places in the order of a seeded hash of their keys, so reruns agree. Columns sequence_id and offset of the input are replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ranked, stored, table
+from .common import fresh, ranked, stored, table
 from .text import released
 from .tokens import encoder
 
@@ -148,42 +149,44 @@ def crossover(one: Bins, other: Bins, counts: dict[int, int], capacity: int, rng
 
 
 def evolve(counts: dict[int, int], capacity: int, elites: list[Bins], seed: int, population: int, generations: int, least: int) -> list[Bins]:
-    """One island's epoch: the two best chromosomes."""
+    """One island's epoch: the two best chromosomes. An island without elites starts from packings of all pieces, longest first, and in random orders, the more at
+    random the later; one generation at least is bred."""
     rng = random.Random(seed)
-    herd = [*elites, packed(counts, capacity)]
+    herd = list(elites)
     best = lambda: sorted(herd, key=lambda b: fitness(b, capacity), reverse=True)
-    herd = best()
-    while len(herd) < population and sum(herd[0].values()) > least:
-        spread = rng.uniform(0.02, 0.4)
+    while len(herd) < population:
+        spread = 0.5 * len(herd) / population
         herd.append(packed(counts, capacity, sorted(counts, key=lambda k: -k * rng.uniform(1 - spread, 1 + spread))))
     for _ in range(generations):
         herd = best()[:population]
-        if sum(herd[0].values()) <= least or len(herd) < 2:
-            break
         pick = lambda: herd[min(rng.randrange(len(herd)), rng.randrange(len(herd)))]
         herd += [crossover(pick(), pick(), counts, capacity, rng) for _ in range(population // 2)]
+        if -max(fitness(b, capacity)[0] for b in herd) <= least:
+            break
     return best()[:2]
 
 
 def plan(spark: SparkSession, counts: dict[int, int], capacity: int = CAPACITY, islands: int = 6, epochs: int = 3, population: int = 8, generations: int = 4, seed: int = 42) -> Bins:
     """The best packing of the length counts that the islands find."""
+    if not counts:
+        return {}
     least = max(1, -(-sum(k * n for k, n in counts.items()) // capacity))
     elites: list[list[Bins]] = [[] for _ in range(islands)]
     best: Bins = {}
-    for epoch in range(epochs):
-        sent = [[[list(b.items()) for b in e]] for e in elites]
+    for epoch in range(max(2, epochs)):
+        sent = [[list(b.items()) for b in e] for e in elites]
 
         def run(batches, epoch=epoch, sent=sent):
             for batch in batches:
                 for i in batch.column(0).to_pylist():
-                    came = [{tuple(map(tuple, p)): n for p, n in b} for b in sent[i][0]]
+                    came = [{tuple(map(tuple, p)): n for p, n in b} for b in sent[i]]
                     out = evolve(counts, capacity, came, seed + 1000 * epoch + i, population, generations, least)
                     yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([json.dumps([list(b.items()) for b in out])])], ["id", "elites"])
 
         rows = spark.range(0, islands, 1, islands).mapInArrow(run, "id long, elites string").collect()
         found = {r["id"]: [{tuple(map(tuple, p)): n for p, n in b} for b in json.loads(r["elites"])] for r in rows}
         best = max([*(b for e in found.values() for b in e), *([best] if best else [])], key=lambda b: fitness(b, capacity))
-        if sum(best.values()) <= least:
+        if epoch and sum(best.values()) <= least:
             break
         elites = [[*found[i], found[(i - 1) % islands][0]] for i in range(islands)]  # migration round the ring
     return best
@@ -205,27 +208,29 @@ def slots(bins: Bins) -> np.ndarray:
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, key: tuple[str, ...] = ("doc_id", "piece"), length: str = "length", seed: int = 42, **options) -> DataFrame:
-    """Add sequence_id and offset to items, which have a length from 1 to capacity."""
+    """Add sequence_id and offset to items, which have a length from 1 to capacity. items is read several times: store it first."""
     spark = items.sparkSession
-    counts = {r[0]: r[1] for r in items.groupBy(length).count().collect()}  # at most `capacity` rows
+    items = items.drop(*[c for c in items.columns if c.lower() in ("sequence_id", "offset")])
+    counts = {r[0]: r[1] for r in items.groupBy(F.col(length).cast("long")).count().collect()}  # at most `capacity` rows
     where = slots(plan(spark, counts, capacity, seed=seed, **options))
     table_ = spark.sparkContext.broadcast(where)
-    rows = ranked(items.withColumn("_length", F.col(length)), ["_length"], list(key), seed, "_rank").drop("_length")
+    size, rank = fresh(items, "size", "rank")
+    rows = ranked(items.withColumn(size, F.col(length).cast("long")), [size], list(key), seed, rank)
     names = items.columns
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = table_.value
         keys = (t[:, 0] << 44) + t[:, 1]
         for batch in batches:
-            size = batch.column(names.index(length)).to_numpy(zero_copy_only=False)
-            rank = batch.column(len(names)).to_numpy(zero_copy_only=False) - 1
+            size = batch.column(len(names)).to_numpy(zero_copy_only=False)
+            rank = batch.column(len(names) + 1).to_numpy(zero_copy_only=False) - 1
             at = np.searchsorted(keys, (size << 44) + rank, "right") - 1
             k = rank - t[at, 1]
             cols = [batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(t[at, 3] + k % t[at, 2]), pa.array(t[at, 4] + k // t[at, 2] * size)], [*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", sequence_id long, offset long"
-    return rows.select(*names, "_rank").mapInArrow(place, schema)
+    return rows.select(*names, size, rank).mapInArrow(place, schema)
 
 
 def query(spark, sf_dir):

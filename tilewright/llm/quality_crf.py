@@ -2,12 +2,13 @@
 
 Every line is good or bad. Node features are what its bytes and words look like, and the same of the lines before
 and after it; edges weigh the change of label from line to line. The field is fitted on a bounded sample of labelled
-documents, whose lines take the document's label; a document's score is the mean of its lines' forward-backward
+documents. Only documents have labels, so every line takes its document's: edges are fitted on pairs of equal labels alone, and learn how much a
+line's neighbours say about it. A document's score is the mean of its lines' forward-backward
 marginals, weighted by length.
 
 Null and empty texts are one empty line and get the score that the field gives to that. Texts of any length are scored whole, with all
 their lines. Without any labels every score is one half. Repeated rows are scored alike; labels that are null or
-neither 0 nor 1 are ignored.
+neither 0 nor 1 are ignored. Ties do not arise. A column of the name of the output is replaced, others stay.
 """
 
 from __future__ import annotations
@@ -19,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 from .text import lists, released, slices, word_hashes, words
 
-#: Labelled documents that the field is fitted on, at most.
-SAMPLE = 6000
+#: Labelled documents that the field is fitted on, and lines of them in all, at most.
+SAMPLE, LINES = 6000, 150_000
 _CLASS = np.zeros(256, np.uint8)  # 0: other symbols
 for _k, _chars in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\r\v\f", ".,;:?!", "|", "\n"), 1):
     _CLASS[[ord(c) for c in _chars]] = _k
@@ -172,20 +173,26 @@ class Field:
         return np.clip(np.add.reduceat(good, first[:-1]) / np.add.reduceat(weight, first[:-1]), 0, 1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Field:
-    """Fit on at most `sample` labelled documents, chosen by a hash of the key; their line features come to the driver."""
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, lines: int = LINES) -> Field:
+    """Fit on at most `sample` labelled documents, chosen by a hash of the key; of these, in that order, as many as have `lines` lines together, however
+    long single ones are. The line features of those come to the driver."""
     chosen = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label")).where("_key IS NOT NULL AND _label IN (0, 1)")
     chosen = chosen.orderBy(F.xxhash64("_key"), "_key", "_label").limit(sample)
-    rows = docs.select(F.col(key), F.col(text)).join(F.broadcast(chosen), F.col(key) == F.col("_key")).select("_key", text, "_label")
+    rows = docs.select(F.col(key).alias("_of"), F.col(text).alias("_text")).join(F.broadcast(chosen), F.col("_of") == F.col("_key")).select("_key", "_text", "_label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in slices(batch.column(1)):
                 x, _, first = line_features(data, offsets)
                 flat = [x[i:j].astype(np.float32).ravel() for i, j in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists(flat, pa.float32()), batch.column(2).slice(a, b - a)], ["id", "x", "label"])
-
-    got = rows.mapInArrow(released(run), f"id {labels.schema[key].dataType.simpleString()}, x array<float>, label int").toArrow().sort_by([("id", "ascending"), ("label", "ascending")]).slice(0, sample)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(first)), lists(flat, pa.float32()), batch.column(2).slice(a, b - a)], ["id", "n", "x", "label"])
+
+    made = stored(rows.mapInArrow(released(run), f"id {labels.schema[key].dataType.simpleString()}, n long, x array<float>, label int"), "lines")
+    made = made.withColumn("at", F.xxhash64("id", "n", "label"))
+    sizes = made.orderBy("at").select("at", "n").limit(sample).toPandas()  # numbers of lines alone; rows of one `at` have one size
+    total = sizes["n"].cumsum()
+    last = sizes["at"][total <= lines]
+    got = made.where(F.col("at") <= int(last.max())).orderBy("at", "x").limit(sample).toArrow() if len(last) else []
     if not len(got):
         return Field.blank()
     n = np.array([len(v) // OWN for v in got["x"]])

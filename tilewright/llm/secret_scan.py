@@ -2,11 +2,12 @@
 
 Base spans are the leftmost non-overlapping matches of three patterns. Beside them, long runs of
 [A-Za-z0-9+/_=-] are encoded with a byte-pair vocabulary: natural text takes several characters a token,
-random strings under `ratio`. Runs that are known digests or identifiers (hex of a digest's length, UUIDs, numbers,
-slugs and names made of plain words) and those that touch a base span are left out.
+random strings under `ratio`. Known digests and identifiers (hex of a digest's length, UUIDs, numbers) and base spans are cut out of
+a run first; what is left and long enough is measured whole, and else its parts between the marks `/ _ = + -`. Words in capitals
+are measured in small letters too, as the vocabulary knows few capital ones. Nothing else is left out: slugs and names have to pass by their ratio.
 
 Offsets are code points, ends exclusive. Null and empty texts have no spans. Repeated rows are scanned one by
-one. Texts of any length are scanned whole.
+one. Texts of any length are scanned whole. Spans that start together come in the order of KINDS. A column of the name of the output is replaced.
 """
 
 from __future__ import annotations
@@ -30,8 +31,11 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 DIGESTS = {32, 40, 48, 56, 64, 96, 128}
-UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-PLAIN = re.compile(r"([A-Z]?[a-z]+|[A-Z]+|[0-9]+|)")
+UUID = r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
+#: A known identifier, or a digest or number that is a part of its own.
+KNOWN = re.compile(rf"(?<![A-Za-z0-9])(?:{UUID}|[0-9]+|[0-9a-f]+|[0-9A-F]+)(?![A-Za-z0-9])")
+PART = re.compile(r"[A-Za-z0-9]+")
+LEAST = 20
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 _RUN = np.zeros(256, bool)
 _RUN[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"]] = True
@@ -49,15 +53,13 @@ class Ratio:
         self.encoding = tiktoken.Encoding("scan", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, s: str) -> float:
-        return len(s) / max(1, len(self.encoding.encode_ordinary(s)))
+        ratio = len(s) / max(1, len(self.encoding.encode_ordinary(s)))
+        return ratio if s.upper() != s or s.isdigit() else max(ratio, len(s) / max(1, len(self.encoding.encode_ordinary(s.lower()))))
 
 
-def known(s: str) -> bool:
-    """Digests and identifiers."""
-    if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s) and (len(s) in DIGESTS or s.isdigit()):
-        return True
-    parts = re.split(r"[-_/+=]", s)
-    return bool(UUID.fullmatch(s)) or all(PLAIN.fullmatch(p) for p in parts)
+def known(s: str) -> list[tuple[int, int]]:
+    """Where digests and identifiers are in a run."""
+    return [m.span() for m in KNOWN.finditer(s) if "-" in m[0] or m[0].isdigit() or m.end() - m.start() in DIGESTS]
 
 
 def base_spans(text: str, run: bool = True) -> list[tuple[int, int, str]]:
@@ -74,11 +76,23 @@ def base_spans(text: str, run: bool = True) -> list[tuple[int, int, str]]:
 
 
 def token_spans(text: str, base: list[tuple[int, int, str]], ratio: Ratio, most: float) -> list[tuple[int, int, str]]:
-    out = []
+    out, at = [], 0
     for m in RUN.finditer(text):
-        a, b, s = m.start(), m.end(), m[0]
-        if not known(s) and all(b <= x or a >= y for x, y, _ in base) and ratio(s) < most:
-            out.append((a, b, "token"))
+        while at < len(base) and base[at][1] <= m.start():
+            at += 1
+        cuts = [(m.start() + a, m.start() + b) for a, b in known(m[0])]
+        i = at
+        while i < len(base) and base[i][0] < m.end():
+            cuts.append(base[i][:2])
+            i += 1
+        start = m.start()
+        for a, b in [*sorted(cuts), (m.end(), m.end())]:
+            if a - start >= LEAST:
+                if ratio(text[start:a]) < most:
+                    out.append((start, a, "token"))
+                else:
+                    out += [(p.start(), p.end(), "token") for p in PART.finditer(text, start, a) if LEAST <= p.end() - p.start() < a - start and ratio(p[0]) < most]
+            start = max(start, b)
     return out
 
 
@@ -93,7 +107,7 @@ def _rows_with_runs(column: pa.Array, least: int) -> np.ndarray:
 
 def _found(texts: pa.Array, measure: Ratio, most: float) -> Iterator[tuple[str | None, list[tuple[int, int, str]]]]:
     """Text and spans of each row."""
-    for i, long in enumerate(_rows_with_runs(texts, 20).tolist()):
+    for i, long in enumerate(_rows_with_runs(texts, LEAST).tolist()):
         s = texts[i].as_py()
         spans = base_spans(s or "", long)
         if long:

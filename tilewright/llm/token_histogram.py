@@ -4,7 +4,7 @@ Documents are counted by encoded length: one row a distinct length. Suffix sums
 limit, how many documents are longer, and how many tokens stay when each document is cut at the limit; totals and quantiles
 come from the same rows. The suffix sums are taken within bands of lengths and over the bands, so no task holds all lengths.
 
-Null and empty texts have length 0 and count. Repeated rows count each. An empty table gives an empty histogram.
+Null and empty texts have length 0 and count. Repeated rows count each. Ties are one row. A column of the name of the output is replaced, others stay. An empty table gives an empty histogram.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 from .text import released
 from .tokens import encoder
 
@@ -39,8 +39,8 @@ def lengths(docs: DataFrame, text: str = "text", out: str = "length", tokenizer:
 
 def histogram(docs: DataFrame, length: str = "length", band: int = BAND) -> DataFrame:
     """Per distinct length: documents and tokens of it; documents and tokens of it or longer; tokens kept when every document
-    is cut at it; the share of documents at most so long."""
-    rows = docs.groupBy(F.col(length).cast("long").alias("length")).agg(F.count("*").alias("documents")).where("length IS NOT NULL")
+    is cut at it; the share of documents at most so long. The counts by length are stored first, as two sums are taken of them."""
+    rows = stored(docs.groupBy(F.col(length).cast("long").alias("length")).agg(F.count("*").alias("documents")).where("length IS NOT NULL"), "lengths")
     rows = rows.withColumn("tokens", F.col("documents") * F.col("length")).withColumn("_band", F.floor(F.col("length") / band))
     within = Window.partitionBy("_band").orderBy(F.desc("length"))
     over = Window.orderBy(F.desc("_band")).rowsBetween(Window.unboundedPreceding, -1)

@@ -3,11 +3,12 @@
 Only DataFrame functions run here. Outcomes (a host, bad 0 or 1) are counted by host; a host's bad rate is
 shrunk to its registered domain's, that to its suffix's, that to the overall rate. Each level's prior is a
 beta distribution around the parent's posterior mean whose strength is fitted by moments to that level's own
-spread. A page goes when the lower posterior bound of its host's bad rate exceeds a limit.
+spread. A page goes when the lower posterior bound of its host's bad rate exceeds a limit; the bound is the posterior's mean less
+`z` standard deviations, not a quantile of the beta distribution, for which Spark has no function.
 
 Null urls, and those without "://", have empty host and path, fit no rule and get the verdict of the empty
-host. Repeated rows are judged and counted one by one. Empty tables give empty results; without outcomes the
-bad rate is one half with little certainty, so pages stay.
+host. Repeated rows are judged and counted one by one. Rules of one length are ties: the greater text wins. Empty tables give empty results; without outcomes the
+bad rate is one half with little certainty, so pages stay. Columns host, path, rule, verdict and reputation of the input are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -17,12 +18,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, fresh, plain
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The rules of the query: verdict, host, path.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-#: Suffixes of two labels; give the full public list where it matters.
+#: Suffixes of two labels; `judge` takes the full public list where it matters.
 SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "co.nz", "com.br", "co.in", "co.kr", "com.cn", "com.mx", "co.za")
 MOST_RULES = 500
 
@@ -83,22 +84,25 @@ def reputations(hosts: DataFrame, suffixes: Sequence[str] = SUFFIXES, z: float =
     return hosts.select("host", (a / (a + b)).alias("rate"), (a / (a + b) - z * spread).alias("bound"))
 
 
-def judge(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, outcome: Column | None = None, limit: float = 0.5, z: float = 1.64) -> DataFrame:
+def judge(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, outcome: Column | None = None, limit: float = 0.5, z: float = 1.64, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """Add host, path, rule, verdict and reputation to pages.
 
-    `outcome` says whether a page is known bad (1), known good (0) or not labelled (null); by default the pages
+    `outcome`, an expression of the columns of pages, says whether a page is known bad (1), known good (0) or not labelled (null); by default the pages
     that a rule decides are the labelled ones.
     """
-    host, path = url_parts(F.col(url))
-    rows = pages.withColumns({"host": host, "path": path})
-    rule, by_rule = fitting_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": rule, "_by_rule": by_rule})
-    known = outcome if outcome is not None else F.when(F.col("_by_rule") == "block", 1).when(F.col("_by_rule") == "allow", 0)
-    hosts = rows.select("host", known.alias("k")).groupBy("host").agg(F.count("k").alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("x"))
-    rate = reputations(hosts, z=z).select(F.col("host").alias("_host"), F.col("rate").alias("reputation"), "bound")
-    out = rows.join(rate, F.col("host") == F.col("_host"), "left")
-    verdict = F.coalesce(F.col("_by_rule"), F.when(F.col("bound") > limit, "block").otherwise("allow"))
-    return out.withColumns({"verdict": verdict, "reputation": F.round("reputation", 6)}).drop("_by_rule", "_host", "bound")
+    host, path, rule, verdict, known, of, rate, bound = fresh(pages, "host", "path", "rule", "verdict", "known", "of", "rate", "bound")
+    parts = url_parts(F.col(url))
+    rows = pages.withColumns({host: parts[0], path: parts[1]} | ({known: outcome} if outcome is not None else {}))
+    found = fitting_rule(F.col(host), F.col(path), rules)
+    rows = rows.withColumns({rule: found[0], verdict: found[1]})
+    if outcome is None:
+        rows = rows.withColumn(known, F.when(F.col(verdict) == "block", 1).when(F.col(verdict) == "allow", 0))
+    hosts = rows.select(F.col(host).alias("host"), F.col(known).alias("k")).groupBy("host").agg(F.count("k").alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("x"))
+    rates = reputations(hosts, suffixes, z).select(F.col("host").alias(of), F.col("rate").alias(rate), F.col("bound").alias(bound))
+    out = rows.join(rates, F.col(host) == F.col(of), "left")
+    decided = F.coalesce(F.col(verdict), F.when(F.col(bound) > limit, "block").otherwise("allow"))
+    new = {"host": F.col(host), "path": F.col(path), "rule": F.col(rule), "verdict": decided, "reputation": F.round(rate, 6)}
+    return out.select(*[F.col(plain(c)) for c in pages.columns if c.lower() not in new], *[v.alias(k) for k, v in new.items()])
 
 
 def query(spark, sf_dir):
