@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.llm import mix_budget, ngram_join, pack_ga, quality_crf, secret_scan
-from tilewright.llm.common import stored, table
+from tilewright.llm.common import fresh, plain, stored, table
 
 #: Stages beyond SQL: the fit of a field, a search over bytes, a vocabulary test and a packing.
 ORACLE_SQL = None
@@ -38,10 +38,19 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    sizes = stored(docs.select("doc_id", "source", mix_budget.word_count(F.col("text")).alias("size")), "sizes")
-    taken = mix_budget.mix(sizes).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    """Rows are told apart by all their columns, not by doc_id, which may be null or repeated; rows alike in every column stand for each other."""
+    one, two, copies, rows = fresh(docs, "one", "two", "copies", "rows")
+    named = docs.withColumns({c: F.xxhash64(F.lit(i), *[F.col(plain(n)) for n in docs.columns]) for i, c in enumerate((one, two))})
+    sizes = stored(named.select(F.col(one).alias("one"), F.col(two).alias("two"), "source", mix_budget.word_count(F.col("text")).alias("size")), "sizes")
+    taken = mix_budget.mix(sizes, key=("one", "two")).groupBy("one", "two").agg(F.sum("copies").alias(copies), F.count("*").alias(rows))
+    taken = stored(taken.where(F.col(copies) > 0).select(F.col("one").alias(f"{one}_"), F.col("two").alias(f"{two}_"), copies, rows), "taken")
+    full = named.join(taken, (F.col(one) == F.col(f"{one}_")) & (F.col(two) == F.col(f"{two}_")))
+    each = F.floor(F.col(copies) / F.col(rows)).cast("int")
+    times = lambda d, n: d.withColumn(copies, F.explode(F.array_repeat(F.lit(0), n))).select(docs.columns)
+    if taken.where(F.col(rows) > 1).isEmpty():
+        return times(full, F.col(copies).cast("int"))
+    rest = full.where(F.col(copies) % F.col(rows) > 0).dropDuplicates([one, two])
+    return times(full, each).union(times(rest, (F.col(copies) % F.col(rows)).cast("int")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
