@@ -31,6 +31,122 @@ def test_command(spark, tmp_path):
     tiles = json.loads(text)["cell_masks"]
     assert len(tiles) >= 9 and any(t["masks"] for t in tiles)
     assert "n_tiles: null" in (tmp_path / "out" / "config.yaml").read_text()
+    assert "ERROR c: open failed" in (tmp_path / "out" / "run.log").read_text()
+
+
+def known_discs(path, side, mpp, radius):
+    """A slide with dark discs on tissue in the middle of an empty background; the discs' centres in pixels of its finest level."""
+    rng = np.random.default_rng(int(side + 100 * mpp))
+    px = np.full((side, side, 3), 240, np.uint8)
+    low, high = side // 5, side - side // 6
+    px[low:high, low:high] = (200, 150, 180)
+    y, x = np.mgrid[-radius : radius + 1, -radius : radius + 1]
+    disc, centres = x * x + y * y <= radius * radius, []
+    step = 4 * radius
+    for cy in range(low + step, high - step, step):
+        for cx in range(low + step, high - step, step):
+            if rng.random() < 0.5:
+                cy_, cx_ = cy + int(rng.integers(-radius // 2, radius // 2 + 1)), cx + int(rng.integers(-radius // 2, radius // 2 + 1))
+                px[cy_ - radius : cy_ + radius + 1, cx_ - radius : cx_ + radius + 1][disc] = (90, 60, 140)
+                centres.append((cx_, cy_))
+    np.save(path, px)
+    (path.parent / f"{path.name}.json").write_text(json.dumps({"openslide.mpp-x": mpp}))
+    return centres
+
+
+def dark_discs(mpp, tile):
+    """A model that reads pixels: what is dark is a cell. Local, so that tasks get it by value."""
+
+    class Dark:
+        name, overlap, classes, reads = "dark", 64, {0: "none", 1: "cell"}, True
+
+        def __init__(self, mpp, tile):
+            self.mpp, self.tile = mpp, tile
+
+        def transform(self, pixels):
+            return pixels.astype(np.float32) / 255
+
+        def predict(self, keys, pixels):
+            from tilewright.functions import raster
+
+            assert pixels.shape == (len(keys), self.tile, self.tile, 3) and pixels.max() <= 1
+            out = []
+            for px in pixels:
+                mask = (px[..., 0] > 0.2) & (px[..., 0] < 0.55)
+                labels = raster.label(mask)
+                n = np.maximum(np.bincount(labels.ravel()), 1)
+                y, x = np.mgrid[: self.tile, : self.tile]
+                cx, cy = (np.bincount(labels.ravel(), c.ravel()) / n for c in (x, y))
+                r = np.sqrt(n / np.pi)
+                out.append({"np": mask * 0.95, "tp": mask.astype(int), "hv_h": (x - cx[labels]) / r[labels] * mask, "hv_v": (y - cy[labels]) / r[labels] * mask})
+            return out
+
+    return Dark(mpp, tile)
+
+
+@pytest.mark.parametrize(("mpp", "tile", "window"), [(0.5, 224, 784), (0.5, 448, 512), (0.25, 448, 784)])
+def test_known_discs(spark, tmp_path, mpp, tile, window):
+    """Each disc is found once, at its place, whatever the sizes of tiles and windows and the slide's resolution."""
+    from tilewright.plans.extract import extract
+
+    side = int(1500 * 0.5 / mpp)
+    centres = known_discs(tmp_path / "d.npy", side, mpp, int(5 * 0.5 / mpp))
+    docs, status = extract(spark, [str(tmp_path / "*.npy")], None, [dark_discs(0.25, window), dark_discs(0.5, window)], tile=tile, maps_at=str(tmp_path / "maps"))
+    assert [(r.slide_id, r.status) for r in status.collect()] == [("d", "ok")]
+    doc = docs.first()
+    assert doc.inference_mpp == mpp and {(t.width, t.height) for t in doc.cell_masks} == {(tile, tile)}
+    levels = int(np.ceil(np.log2(side))) + 1
+    assert {t.level for t in doc.cell_masks} == {levels - 1 - (1 if mpp == 0.25 else 0)}
+    tiles = {(int(t.x), int(t.y)) for t in doc.cell_masks}
+    found = [(t.x * tile + c.centroid[0], t.y * tile + c.centroid[1]) for t in doc.cell_masks for c in t.masks]
+    assert all(0 <= v < tile for t in doc.cell_masks for c in t.masks for v in c.centroid)
+    scale = mpp / 0.5
+    want = [(x * scale, y * scale) for x, y in centres if (int(x * scale // tile), int(y * scale // tile)) in tiles]
+    assert len(want) > 50 and len(found) == len(want)
+    left = np.array(found)
+    for x, y in want:
+        assert np.abs(left - (x, y)).max(1).min() <= 1
+    assert maps.stored_maps(spark, str(tmp_path / "maps" / f"mpp={mpp}")).count() > 1
+
+
+def test_resolutions_that_are_not_there(spark, tmp_path):
+    from tilewright.plans.extract import extract
+
+    for name, mpp in (("far", 1.0), ("half", 0.5)):
+        slide(tmp_path / f"{name}.npy")
+        (tmp_path / f"{name}.npy.json").write_text(json.dumps({"openslide.mpp-x": mpp}))
+    _, status = extract(spark, [str(tmp_path / "*.npy")], None, [maps.Discs(784, 6, 0.25, 64), maps.Discs(784, 6, 0.5, 64)])
+    assert {r.slide_id: r.status for r in status.collect()} == {"far": "mpp_not_available", "half": "ok"}
+
+
+def test_spill_goes_on(spark, tmp_path):
+    """Only windows without maps are predicted; the maps of both runs are those of one."""
+    windows = spark.createDataFrame([("a", i, 0) for i in range(5)], "slide_id string, icol int, irow int")
+    at, provider = str(tmp_path / "maps"), maps.Discs(32, 1)
+    assert maps.spill(windows.where("icol < 2"), provider, at).count() == 2
+    before = {p.name for p in (tmp_path / "maps").glob("part-*")}
+    every = maps.spill(windows, provider, at)
+    assert sorted((r.icol, sum(r.tp)) for r in every.collect()) == sorted((r.icol, sum(r.tp)) for r in maps.predict(windows, provider).collect())
+    assert before < {p.name for p in (tmp_path / "maps").glob("part-*")}
+    maps.drop_spill(spark, at)
+    assert not (tmp_path / "maps").exists()
+
+
+def test_slide_source(spark, tmp_path):
+    from tilewright.sources.slides import Raw, SlideSource
+
+    px = np.random.default_rng(0).integers(0, 255, (70, 50, 3)).astype(np.uint8)
+    np.save(tmp_path / "s.npy", px)
+    spark.dataSource.register(SlideSource)
+    rows = spark.read.format("slides").options(tile=16, overlap=2).load(str(tmp_path / "s.npy")).collect()
+    assert len(rows) == 5 * 4
+    for r in rows:
+        part = px[max(0, r.row * 16 - 2) : r.row * 16 + 18, max(0, r.col * 16 - 2) : r.col * 16 + 18]
+        assert (r.height, r.width) == part.shape[:2] and bytes(r.pixels) == part.tobytes()
+    rows = spark.read.format("slides").options(tile=16, level=1).load(str(tmp_path / "s.npy")).collect()
+    assert len(rows) == 3 * 2 and all(r.level == 1 for r in rows)
+    h, w, data = Raw().open(f"file://{tmp_path}/s.npy").read(2, 0, 0, 100, 0)
+    assert (h, w) == (17, 12) and (np.frombuffer(data, np.uint8).reshape(h, w, 3) == px[:68, :48].reshape(17, 4, 12, 4, 3).mean((1, 3)).astype(np.uint8)).all()
 
 
 def test_parser():

@@ -58,7 +58,7 @@ def test_slide_source(spark, tmp_path):
 def test_run(spark, tmp_path):
     windows = spark.createDataFrame([("a", 1, 1), ("b", 0, 1)], "slide_id string, icol int, irow int")
     tiles = spark.createDataFrame([(s, i + 1, i % 4, i // 4) for s in "abc" for i in range(16)], "slide_id string, tile_seq long, col long, row long")
-    docs, status = run(windows, tiles, maps.Discs(), path=str(tmp_path / "docs"))
+    docs, status = run(windows, tiles, maps.Discs(overlap=8))
     assert {r.slide_id: r.status for r in status.collect()} == {"a": "ok", "b": "ok", "c": "ok"}
     counts = {r.slide: r.n for r in docs.select("slide", F.aggregate("cell_masks", F.lit(0), lambda n, t: n + F.size(t["masks"])).alias("n")).collect()}
     assert counts["c"] == 0 and counts["a"] > 0  # a slide without cells has a document

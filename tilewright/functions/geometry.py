@@ -84,12 +84,16 @@ def polygon_area(ring: np.ndarray) -> float:
     return intersection_area(ring, ring)
 
 
+def flat(ring: str) -> Column:
+    """A ring as one array x, y, x, y, ..., as tasks in Python take it fastest."""
+    return F.flatten(F.transform(ring, lambda p: F.array(p["x"], p["y"])))
+
+
 @F.pandas_udf(DoubleType())
 def _common(a: pd.Series, b: pd.Series) -> pd.Series:
-    ring = lambda points: np.array([(p["x"], p["y"]) for p in points], float).reshape(-1, 2)
-    return pd.Series([intersection_area(ring(x), ring(y)) if x is not None and y is not None else 0.0 for x, y in zip(a, b, strict=True)])
+    return pd.Series([intersection_area(x.reshape(-1, 2), y.reshape(-1, 2)) if x is not None and y is not None else 0.0 for x, y in zip(a, b, strict=True)])
 
 
-def with_common_area(pairs: DataFrame, a: str = "contour_a", b: str = "contour_b", out: str = "inter") -> DataFrame:
-    """Exact common area of two contour columns; only pairs whose boxes overlap should come here."""
+def with_common_area(pairs: DataFrame, a: str = "ring_a", b: str = "ring_b", out: str = "inter") -> DataFrame:
+    """Exact common area of two columns of flat rings; only pairs whose boxes overlap should come here."""
     return pairs.withColumn(out, _common(F.col(a), F.col(b)))

@@ -12,27 +12,30 @@ import numpy as np
 
 
 def label(mask: np.ndarray) -> np.ndarray:
-    """Numbers from 1 in the order in which a component is met row by row; 0 outside."""
+    """Numbers from 1 in the order in which a component is met row by row; 0 outside. Runs of pixels are joined, not pixels."""
     h, w = mask.shape
-    parent = list(range(h * w))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    m = mask.astype(bool)
-    for a, b in ((np.flatnonzero((m[:, :-1] & m[:, 1:]).ravel()), 1), (np.flatnonzero((m[:-1] & m[1:]).ravel()), w)):
-        at = a + a // (w - 1) if b == 1 and w > 1 else a
-        for i in at.tolist():
-            x, y = find(i), find(i + b)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-    out, names = np.zeros(h * w, np.int32), {}
-    for i in np.flatnonzero(m.ravel()).tolist():
-        out[i] = names.setdefault(find(i), len(names) + 1)
-    return out.reshape(h, w)
+    wide = w + 2
+    step = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))).ravel())
+    starts, ends = np.flatnonzero(step == 1) + 1, np.flatnonzero(step == -1) + 1
+    # the runs one row below that a run touches
+    low, high = np.searchsorted(ends, starts + wide, "right"), np.searchsorted(starts, ends + wide, "left")
+    n = np.maximum(high - low, 0)
+    a = np.repeat(np.arange(len(starts)), n)
+    b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+    root = np.arange(len(starts))
+    while len(a):
+        least = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], least)
+        np.minimum.at(root, root[b], least)
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    names = np.unique(root, return_inverse=True)[1] + 1 if len(root) else root
+    out = np.zeros(h * wide + 1, np.int32)
+    out[starts] = names
+    np.subtract.at(out, ends, names)
+    return np.cumsum(out[:-1], dtype=np.int32).reshape(h, wide)[:, 1:-1]
 
 
 def without_small(labels: np.ndarray, least: int) -> np.ndarray:
@@ -50,26 +53,32 @@ def minmax(x: np.ndarray) -> np.ndarray:
 
 
 def _along(x: np.ndarray, k: np.ndarray, axis: int) -> np.ndarray:
-    r = len(k) // 2
-    pad = [(0, 0), (0, 0)]
-    pad[axis] = (r, r)
-    n = x.shape[axis]
+    """Correlation along an axis of the last two (1: x); leading axes number rasters."""
+    r, at = len(k) // 2, x.ndim - 2 + axis
+    pad = [(0, 0)] * x.ndim
+    pad[at] = (r, r)
+    n = x.shape[at]
     p = np.pad(x, pad, mode="reflect") if n > r else np.pad(x, pad, mode="edge")
     out = np.zeros_like(x, dtype=np.float64)
     for i, c in enumerate(k):
-        out += c * (p[:, i : i + n] if axis == 1 else p[i : i + n])
+        out += c * (p[..., i : i + n] if axis == 1 else p[..., i : i + n, :])
     return out
 
 
-def sobel(x: np.ndarray, size: int, axis: int) -> np.ndarray:
-    """First derivative along an axis (1: x), smoothed: binomial kernels of that odd size, not normalised."""
-    smooth = np.array([1.0])
+def kernels(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Binomial weights of that odd size, and those of the first derivative."""
+    smooth, slope = np.array([1.0]), np.array([1.0])
     for _ in range(size - 1):
         smooth = np.convolve(smooth, [1, 1])
-    slope = np.array([1.0])
     for _ in range(size - 2):
         slope = np.convolve(slope, [1, 1])
-    return _along(_along(x.astype(np.float64), np.convolve(slope, [1, -1])[::-1], axis), smooth, 1 - axis)
+    return smooth, np.convolve(slope, [1, -1])[::-1]
+
+
+def sobel(x: np.ndarray, size: int, axis: int) -> np.ndarray:
+    """First derivative along an axis (1: x), smoothed across it, not normalised."""
+    smooth, slope = kernels(size)
+    return _along(_along(x.astype(np.float64), slope, axis), smooth, 1 - axis)
 
 
 def gauss3(x: np.ndarray) -> np.ndarray:
@@ -89,9 +98,9 @@ DISC = np.array([[0, 0, 1, 0, 0], [1, 1, 1, 1, 1], [1, 1, 1, 1, 1], [1, 1, 1, 1,
 
 def _morph(mask: np.ndarray, shape: np.ndarray, erode: bool) -> np.ndarray:
     r = shape.shape[0] // 2
-    p = np.pad(mask, r, constant_values=erode)  # beyond the border nothing counts
-    h, w = mask.shape
-    parts = [p[dy : dy + h, dx : dx + w] for dy, dx in zip(*np.nonzero(shape), strict=True)]
+    p = np.pad(mask, [(0, 0)] * (mask.ndim - 2) + [(r, r)] * 2, constant_values=erode)  # beyond the border nothing counts
+    h, w = mask.shape[-2:]
+    parts = [p[..., dy : dy + h, dx : dx + w] for dy, dx in zip(*np.nonzero(shape), strict=True)]
     return np.logical_and.reduce(parts) if erode else np.logical_or.reduce(parts)
 
 

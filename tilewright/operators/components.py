@@ -2,32 +2,82 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..sources.shared import checkpointed
 
+#: Edges that a task joins at a time before the rounds.
+HELD = 1 << 20
+
+
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges of some nodes as stars: every node but the least of its group, and that least one."""
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while len(a):
+        least = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], least)
+        np.minimum.at(root, root[b], least)
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    other = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[other], nodes[root[other]]
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Stars in place of the edges that a task holds: at most one edge for each of their nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def joined() -> pa.RecordBatch:
+            u, v = stars(*(np.concatenate([x[i] for x in held]) for i in (0, 1)))
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            size += len(batch)
+            if size >= HELD:
+                yield joined()
+                held, size = [], 0
+        if size:
+            yield joined()
+
+    return edges.mapInArrow(run, "u long, v long")
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node that has an edge; root is the least node of its component.
 
-    Alternates large-star and small-star steps: each moves edges to the least neighbour, so a component becomes a
-    star in about the logarithm of its size in rounds. Every round is checkpointed; two numbers reach the driver.
+    Tasks first join the edges they hold. Then large-star and small-star steps alternate: each moves edges to the least neighbour, so a component becomes a
+    star in about the logarithm of its size in rounds. Every round is checkpointed; two numbers, observed while it is written, reach the driver.
     """
-    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    e = checkpointed(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before = mark(e)
+
+    def kept(e: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        e = checkpointed(e.distinct().observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")))
+        return e, (seen.get["n"], seen.get["s"])
+
+    e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
+    e, before = kept(_contracted(e))
     while before[0]:
+        # e holds each edge from the greater node to the lesser
         both = e.union(e.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
         small = large.join(down, F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = checkpointed(small.union(down.select("k", "m")).distinct())
-        after = mark(e)
+        e, after = kept(small.union(down.select("k", "m")))
         if after == before:
             break
         before = after
-    stars = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return stars.union(stars.select(F.col("root").alias("node"), "root")).distinct()
+    stars_ = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return stars_.union(stars_.select(F.col("root").alias("node"), "root").distinct())

@@ -52,8 +52,10 @@ def overlap_edges(pairs: DataFrame, area: str = "box_area", least_share: float =
 
 
 def largest_of_each(cells: DataFrame, edges: DataFrame, slide: str = "slide") -> DataFrame:
-    """Of every group of overlapping cells the one of largest area; ties: safe first, then least seq. Adds root."""
-    roots = components(edges.select(F.col("seq_a").alias("a"), F.col("seq_b").alias("b")))
-    rows = cells.join(roots, F.col("seq") == F.col("node"), "left").withColumn("root", F.coalesce("root", "seq")).drop("node")
-    at = Window.partitionBy(slide, "root").orderBy(F.desc("area"), F.desc("safe"), "seq")
-    return rows.withColumn("_n", F.row_number().over(at)).where("_n = 1").drop("_n")
+    """Of every group of overlapping cells the one of largest area; ties: safe first, then least seq. Adds root, the least seq of the group. Cells are
+    told apart by uid, a number of their own over all slides."""
+    roots = components(edges.select(F.col("uid_a").alias("a"), F.col("uid_b").alias("b")))
+    rows = cells.join(roots.select("node", F.col("root").alias("_root")), F.col("uid") == F.col("node"), "left").drop("node")
+    group = Window.partitionBy(slide, F.coalesce("_root", "uid"))
+    rows = rows.withColumns({"root": F.min("seq").over(group), "_n": F.row_number().over(group.orderBy(F.desc("area"), F.desc("safe"), "seq"))})
+    return rows.where("_n = 1").drop("_n", "_root", "uid")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Microns in the units that a resolution may be given in.
+# Microns in the units that a resolution may be given in.
 MICRONS = {"cm": 10000.0, "mm": 1000.0, "centimeter": 10000.0, "millimeter": 1000.0, "inch": 25400.0}
-#: Smallest object and size of the derivative kernel by working resolution.
+# Smallest object and size of the derivative kernel by working resolution.
 PARAMETERS = {0.5: (5, 11), 0.25: (10, 21)}
 
 

@@ -32,14 +32,14 @@ def thumbnail(pixels: DataFrame, factor: int, values: tuple[str, ...] = ("r", "g
     return pixels.groupBy(*keys, *at).agg(*[F.avg(v).alias(v) for v in values])
 
 
-def blocks(pixels: DataFrame, size: int, height: int | Column, width: int | Column, value: str = "bright", keys: tuple[str, ...] = ("vec_id",)) -> DataFrame:
-    """Mean of whole blocks; pixels beyond the last whole block are left out. Height and width may be columns."""
+def blocks(pixels: DataFrame, size: int | Column, height: int | Column, width: int | Column, value: str = "bright", keys: tuple[str, ...] = ("vec_id",)) -> DataFrame:
+    """Mean of whole blocks; pixels beyond the last whole block are left out. Size, height and width may be columns."""
     end = lambda n: F.floor((F.lit(n) if isinstance(n, int) else n) / size) * size
     whole = pixels.where((F.col("y") < end(height)) & (F.col("x") < end(width)))
     return whole.groupBy(*keys, F.floor(F.col("y") / size).alias("row"), F.floor(F.col("x") / size).alias("col")).agg(F.avg(value).alias("share"))
 
 
-def tissue_tiles(pixels: DataFrame, size: int, height: int | Column, width: int | Column, most: float = 0.2, value: str = "q", keys: tuple[str, ...] = ("vec_id",)) -> DataFrame:
+def tissue_tiles(pixels: DataFrame, size: int | Column, height: int | Column, width: int | Column, most: float = 0.2, value: str = "q", keys: tuple[str, ...] = ("vec_id",)) -> DataFrame:
     """Tiles whose share of bright pixels is below `most`."""
     lit = bright(pixels, otsu(pixels, value, keys), value, keys)
     return blocks(lit, size, height, width, "bright", keys).where(F.col("share") < most)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import col
@@ -12,7 +15,7 @@ from ..operators.project import project
 from ..sources import documents, files, maps
 from . import fixtures as fx
 from .chain import fix_borders as chain
-from .chain import unique_cells
+from .chain import overlaps, unique_cells
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -82,7 +85,7 @@ def slide_summary(spark, sf_dir):
 
 @query(f"WITH {fx.GRID} SELECT DISTINCT slide, floor(col * 224 / 328.0)::bigint col, floor(row_ * 224 / 328.0)::bigint AS row FROM grid")
 def retile_windows(spark, sf_dir):
-    return tiling.retile(fx.grid(spark, sf_dir), 224, tiling.core_size(), 16, 17).orderBy("slide", "col", "row")
+    return tiling.retile(fx.grid(spark, sf_dir), 224, tiling.core_size(), 16, 17)
 
 
 @query(f"WITH {fx.GRID} SELECT slide, col, row_ AS row, tile_seq FROM grid WHERE tile_seq <= 100")
@@ -152,7 +155,7 @@ def tissue_blocks(spark, sf_dir):
 
 @query(f"WITH {fx.RAS}, {_OTSU}, {_BLOCKS} SELECT vec_id, col, row FROM blocks WHERE share < 0.2")
 def tissue_detect(spark, sf_dir):
-    return tissue.tissue_tiles(fx.pixels(spark, sf_dir), 4, 8, 8).select("vec_id", "col", "row").orderBy("vec_id", "row", "col")
+    return tissue.tissue_tiles(fx.pixels(spark, sf_dir), 4, 8, 8).select("vec_id", "col", "row")
 
 
 @query(f"WITH {fx.RAS} SELECT vec_id, y // 2 AS y, x // 2 AS x, avg(q) q FROM pix GROUP BY vec_id, y // 2, x // 2")
@@ -194,19 +197,64 @@ named AS (SELECT vec_id, a pos, min(b) inst FROM reach GROUP BY ALL),
 inst AS (SELECT f.*, inst FROM fg f JOIN named USING (vec_id, pos))"""
 
 
-def _instances(spark, sf_dir):
-    """Foreground pixels with the least position of their component: labelled tile by tile in numpy."""
-    import numpy as np
+def _stacked(column: pd.Series) -> np.ndarray:
+    """A batch of packed 8 x 8 rasters as (n, 8, 8)."""
+    return np.concatenate(column.to_list()).reshape(-1, 8, 8) if len(column) else np.zeros((0, 8, 8), int)
+
+
+def _kernel_rows(size: int) -> str:
+    smooth, slope = raster.kernels(size)
+    return ", ".join(f"({i - size // 2}, {int(a)}, {int(b)})" for i, (a, b) in enumerate(zip(smooth, slope, strict=True)))
+
+
+_MIRROR = "CASE WHEN {0} < 0 THEN -({0}) WHEN {0} > 7 THEN 14 - ({0}) ELSE {0} END"
+
+
+@query(f"""WITH {fx.RAS}, k(d, smooth, slope) AS (VALUES {_kernel_rows(11)}),
+rows_ AS (SELECT a.vec_id, a.y, a.x, sum(p.q * smooth)::bigint s, sum(p.q * slope)::bigint g FROM pix a, k JOIN pix p ON p.vec_id = a.vec_id AND p.y = a.y AND p.x = {_MIRROR.format('(a.x + d)')} GROUP BY ALL)
+SELECT a.vec_id, (a.y * 8 + a.x)::int pos, sum(p.g * smooth)::bigint gx, sum(p.s * slope)::bigint gy FROM rows_ a, k JOIN rows_ p ON p.vec_id = a.vec_id AND p.x = a.x AND p.y = {_MIRROR.format('(a.y + d)')} GROUP BY ALL""")
+def sobel11(spark, sf_dir):
+    """The derivative kernel of the coarser working resolution, all rasters of a batch at once."""
+
+    def run(batches):
+        for batch in batches:
+            x = _stacked(batch.column(1).to_pandas())
+            both = [np.rint(raster.sobel(x, 11, axis)).astype(np.int64).ravel() for axis in (1, 0)]
+            ids, pos = np.repeat(batch.column(0).to_numpy(), 64), np.tile(np.arange(64, dtype=np.int32), len(x))
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ids, pos, *both)], ["vec_id", "pos", "gx", "gy"])
+
+    return _packed(spark, sf_dir).select("vec_id", "q").mapInArrow(run, "vec_id long, pos int, gx long, gy long")
+
+
+_DISC = ", ".join(f"({y - 2}, {x - 2})" for y, x in zip(*np.nonzero(raster.DISC), strict=True))
 
+
+@query(f"""WITH {fx.RAS}, disc(dy, dx) AS (VALUES {_DISC}), on_ AS (SELECT vec_id, y, x, (q >= 128)::int m FROM pix),
+eroded AS (SELECT a.vec_id, a.y, a.x, min(p.m) m FROM on_ a, disc JOIN on_ p ON p.vec_id = a.vec_id AND p.y = a.y + dy AND p.x = a.x + dx GROUP BY ALL)
+SELECT a.vec_id, (a.y * 8 + a.x)::int pos, max(p.m)::int opened FROM eroded a, disc JOIN eroded p ON p.vec_id = a.vec_id AND p.y = a.y + dy AND p.x = a.x + dx GROUP BY ALL""")
+def opening5(spark, sf_dir):
     @F.pandas_udf("array<int>")
-    def labelled(q):
-        def one(values):
-            labels = raster.label(np.asarray(values).reshape(8, 8) >= 128).ravel()
-            _, first = np.unique(labels, return_index=True)
-            names = dict(zip(labels[first].tolist(), first.tolist(), strict=True))
-            return [names[k] if k else -1 for k in labels.tolist()]
+    def opened(q: pd.Series) -> pd.Series:
+        x = _stacked(q)
+        return pd.Series(list(raster.opening(x >= 128).astype(np.int32).reshape(len(x), 64)))
+
+    return _packed(spark, sf_dir).select("vec_id", F.posexplode(opened("q")).alias("pos", "opened"))
+
 
-        return q.map(one)
+def _instances(spark, sf_dir):
+    """Foreground pixels with the least position of their component: labelled tile by tile in numpy."""
+    @F.pandas_udf("array<int>")
+    def labelled(q: pd.Series) -> pd.Series:
+        at = _stacked(q) >= 128
+        n = len(at)
+        labels = raster.label(np.pad(at, ((0, 0), (0, 1), (0, 0))).reshape(9 * n, 8)).reshape(n, 9, 8)[:, :8].reshape(-1)  # an empty row between rasters
+        _, first = np.unique(labels, return_index=True)
+        if not labels.all():
+            first[0] = -1
+        else:
+            first = np.concatenate(([-1], first))
+        out = np.where(first[labels] < 0, -1, first[labels] % 64).reshape(n, 64).astype(np.int32)
+        return pd.Series(list(out))
 
     rows = _packed(spark, sf_dir).select("vec_id", F.posexplode(F.arrays_zip("q", labelled("q").alias("inst"))).alias("pos", "p"))
     rows = rows.select("vec_id", "pos", col("p.inst").alias("inst"), (col("p.q") % 4).alias("cls")).where("inst >= 0")
@@ -295,8 +343,7 @@ def keep_first(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    cells = dedup.keep_first(dedup.retain_border(project(fx.det(spark, sf_dir))))
-    return cells, dedup.overlap_edges(dedup.box_pairs(cells.select("slide", "seq", "area", "y0", "y1", "x0", "x1")))
+    return overlaps(project(fx.det(spark, sf_dir)))
 
 
 @query(f"WITH {','.join((fx.DET, fx.FLAGGED, fx.RETAINED, fx.FIRST, fx.EDGES))} SELECT slide, seq_a, seq_b, inter, round(inter / area_a::double, 6) ratio_a, round(inter / area_b::double, 6) ratio_b FROM edges")
@@ -305,17 +352,35 @@ def overlap_edges(spark, sf_dir):
     return edges.select(col("slide_a").alias("slide"), "seq_a", "seq_b", col("box_area").alias("inter"), r6("ratio_a").alias("ratio_a"), r6("ratio_b").alias("ratio_b"))
 
 
-@query()
+#: Octagons as half-planes nx * X + ny * Y <= d, relative to the corner of cell a's box. The common area of two is that of the points where two of their sixteen
+#: lines cross within all of them, taken in the order of their angle.
+_POLY = """
+meets AS (SELECT DISTINCT a.slide, a.seq sa, b.seq sb, a.x0 ox, a.y0 oy FROM bucketed a JOIN bucketed b ON a.slide = b.slide AND a.bx = b.bx AND a.by_ = b.by_ AND a.seq < b.seq AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1),
+sides AS (SELECT sa, sb, s, (x0 - ox)::double x0, (x1 - ox)::double x1, (y0 - oy)::double y0, (y1 - oy)::double y1, (x1 - x0) / 4::double a, (y1 - y0) / 4::double b
+  FROM (SELECT *, sa seq, 0 s FROM meets UNION ALL SELECT *, sb, 8 FROM meets) JOIN firsts f USING (seq)),
+planes AS (SELECT sa, sb, s + k k, [-1, 1, 0, 0, -b, b, b, -b][k] nx, [0, 0, -1, 1, -a, -a, a, a][k] ny,
+  [-x0, x1, -y0, y1, -(b * x0 + a * y0 + a * b), b * x1 - a * y0 - a * b, b * x1 + a * y1 - a * b, -b * x0 + a * y1 - a * b][k] d FROM sides, unnest(range(1, 9)) t(k)),
+crossed AS (SELECT l.sa, l.sb, (l.d * m.ny - m.d * l.ny) / (l.nx * m.ny - m.nx * l.ny) px, (l.nx * m.d - m.nx * l.d) / (l.nx * m.ny - m.nx * l.ny) py
+  FROM planes l JOIN planes m ON l.sa = m.sa AND l.sb = m.sb AND l.k < m.k WHERE l.nx * m.ny <> m.nx * l.ny),
+corners AS (SELECT DISTINCT sa, sb, round(px, 8) px, round(py, 8) py FROM (SELECT c.sa, c.sb, px, py FROM crossed c JOIN planes p ON c.sa = p.sa AND c.sb = p.sb GROUP BY ALL HAVING max(p.nx * px + p.ny * py - p.d) <= 1e-7)),
+turned AS (SELECT *, atan2(py - avg(py) OVER w, px - avg(px) OVER w) angle FROM corners WINDOW w AS (PARTITION BY sa, sb)),
+ring AS (SELECT *, coalesce(lead(px) OVER w, first_value(px) OVER w) qx, coalesce(lead(py) OVER w, first_value(py) OVER w) qy FROM turned WINDOW w AS (PARTITION BY sa, sb ORDER BY angle)),
+common AS (SELECT sa, sb, abs(sum(px * qy - qx * py)) / 2 inter FROM ring GROUP BY ALL)"""
+
+
+@query(f"""WITH {','.join((fx.DET, fx.FLAGGED, fx.RETAINED, fx.FIRST, fx.EDGES, _POLY))}
+SELECT m.slide, sa seq_a, sb seq_b, round(inter, 6) inter FROM meets m JOIN common USING (sa, sb) JOIN firsts a ON a.seq = sa JOIN firsts b ON b.seq = sb WHERE inter / (0.875 * least(a.area, b.area)) >= 0.01""")
 def overlap_edges_poly(spark, sf_dir):
     """The same with octagons in the boxes, verified on the polygons."""
-    cells = dedup.keep_first(dedup.retain_border(project(fx.det(spark, sf_dir))))
+    cells = project(fx.det(spark, sf_dir))
     a, b = (col("x1") - col("x0")) / 4, (col("y1") - col("y0")) / 4
     at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
     x0, x1, y0, y1 = (col(c) for c in ("x0", "x1", "y0", "y1"))
     ring = F.array(at(x0 + a, y0), at(x1 - a, y0), at(x1, y0 + b), at(x1, y1 - b), at(x1 - a, y1), at(x0 + a, y1), at(x0, y1 - b), at(x0, y0 + b))
-    cells = cells.withColumn("contour", ring).withColumn("area", geometry.shoelace(col("contour")))
-    pairs = geometry.with_common_area(dedup.box_pairs(cells.select("slide", "seq", "area", "contour", "y0", "y1", "x0", "x1")))
-    return dedup.overlap_edges(pairs, "inter").select(col("slide_a").alias("slide"), "seq_a", "seq_b", r6("inter").alias("inter"))
+    # a corner cut off an octagon has an eighth of a quarter of the box
+    cells = cells.withColumn("contour", ring).withColumn("area", col("area") * 0.875)
+    _, edges = overlaps(cells, polygons=True)
+    return edges.select(col("slide_a").alias("slide"), "seq_a", "seq_b", r6("inter").alias("inter"))
 
 
 @query(f"WITH RECURSIVE {fx.CHAIN} SELECT node seq, root FROM roots")
@@ -419,13 +484,34 @@ def file_hash(spark, sf_dir):
     return files.hashes(spark, f"{sf_dir}/region.parquet")
 
 
-@query()
+@query("""WITH keys AS (SELECT n_regionkey::varchar slide_id, (n_nationkey % 5)::int icol, (n_nationkey // 5)::int irow FROM nation),
+hashed AS (SELECT *, (ascii(slide_id) * 7919 + icol * 104729 + irow * 1299709 + i * 15485863) % 2147483647 h FROM keys, unnest(range(6)) t(i)),
+sized AS (SELECT *, 5 + h % 8 r FROM hashed),
+placed AS (SELECT *, i % 3 * 42 + r + 2 + h // 256 % (38 - 2 * r) x, i // 3 * 42 + r + 2 + h // 65536 % (38 - 2 * r) y FROM sized)
+SELECT slide_id, icol, irow, (y - r)::double top, (y + r + 1)::double down, (x - r)::double AS left, (x + r + 1)::double AS right, x::double cx, y::double cy, ['Round', 'Long', 'Small', 'Large'][1 + h // 16 % 4] cell_type, 1.0::double prob FROM placed""")
 def segment_tiles(spark, sf_dir):
-    """Synthetic maps of one window for each nation's region, segmented, outlined and classified."""
+    """Synthetic maps of one window for each nation's region, segmented, outlined and classified: every disc at its place."""
     keys = fx.table(spark, sf_dir, "nation").select(col("n_regionkey").cast("string").alias("slide_id"), (col("n_nationkey") % 5).cast("int").alias("icol"), F.floor(col("n_nationkey") / 5).cast("int").alias("irow"))
     provider = maps.Discs()
     cells = maps.detect(maps.predict(keys, provider), provider.classes, provider.mpp)
-    return cells.select("slide_id", "icol", "irow", "inst_id", "top", "down", "left", "right", r6("cx").alias("cx"), r6("cy").alias("cy"), "cell_type", r6("prob").alias("prob"), F.size("contour").alias("points"))
+    return cells.select("slide_id", "icol", "irow", "top", "down", "left", "right", r6("cx").alias("cx"), r6("cy").alias("cy"), "cell_type", r6("prob").alias("prob"))
+
+
+@query(f"""WITH {fx.GRID}, mixed AS (SELECT *, (row_ * 73856093 + col * 19349663 + 7 * 83492791) % 4294967291 m FROM grid)
+SELECT slide, col, row_ AS row FROM mixed QUALIFY row_number() OVER (PARTITION BY slide ORDER BY m, row_, col) <= 50""")
+def random_subset(spark, sf_dir):
+    return tiling.random_tiles(fx.grid(spark, sf_dir).drop("tile_seq"), 50, 7)
+
+
+@query("""WITH lines AS (SELECT l_orderkey, l_orderkey % 10 <> 0 ok, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) - 1 AS n, l_partkey, l_quantity::double l_quantity FROM lineitem)
+SELECT l_orderkey, ok, n::int AS position, l_partkey part, l_quantity quantity FROM lines WHERE ok UNION ALL SELECT DISTINCT l_orderkey, ok, NULL, NULL, NULL FROM lines WHERE NOT ok""")
+def zip_lists(spark, sf_dir):
+    """Lists of one order's lines side by side; orders whose lists differ in length are flagged."""
+    both = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", col("l_quantity").cast("double").alias("q"))))
+    rows = fx.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(both.alias("b"))
+    short = F.when(col("l_orderkey") % 10 == 0, F.size("b") - 1).otherwise(F.size("b"))
+    rows = rows.select("l_orderkey", F.transform("b", lambda x: x["l_partkey"]).alias("part"), F.transform(F.slice("b", F.lit(1), short), lambda x: x["q"]).alias("quantity"))
+    return documents.from_lists(rows, ("part", "quantity"))
 
 
 def flagship(spark, sf_dir) -> DataFrame:

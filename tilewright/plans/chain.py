@@ -5,26 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import shoelace, with_common_area
+from ..functions.geometry import flat, shoelace, with_common_area
 from ..functions.packed import gray
 from ..operators import assign, dedup, pyramid, tissue
-from ..operators.project import project
+from ..operators.project import OVERLAP, WINDOW, project
 from ..sources.shared import stored
 
 
-def unique_cells(cells: DataFrame, threshold: float = 0.01, polygons: bool = False, bucket: int = 64, slide: str = "slide") -> DataFrame:
+def unique_cells(cells: DataFrame, threshold: float = 0.01, polygons: bool = False, bucket: int = 64, slide: str = "slide", window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
     """From cells in window coordinates (with area) to those kept in slide coordinates.
 
-    Project, drop edge cells that a neighbour window sees whole, one cell for each centroid, one for each group of overlaps.
+    Project, drop edge cells that a neighbour window sees whole, one cell for each centroid, one for each group of overlaps. seq must be unique in a slide.
     polygons: verify overlaps on contours; else boxes are the outlines.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be above 0 and at most 1")
-    kept = stored(dedup.keep_first(dedup.retain_border(project(cells), slide), slide), "cells")
-    pairs = dedup.box_pairs(kept.select(slide, "seq", "area", "y0", "y1", "x0", "x1", *(["contour"] if polygons else [])), bucket, slide, threshold)
+    kept, edges = overlaps(project(cells, window, overlap), threshold, polygons, bucket, slide)
+    return dedup.largest_of_each(kept, edges, slide)
+
+
+def overlaps(cells: DataFrame, threshold: float = 0.01, polygons: bool = False, bucket: int = 64, slide: str = "slide") -> tuple[DataFrame, DataFrame]:
+    """From projected cells those left after the border rule and one for each centroid, stored, with a number `uid`, and the pairs of them that overlap.
+
+    Contours stay out of the join of boxes: they are fetched for the pairs whose boxes overlap.
+    """
+    kept = dedup.keep_first(dedup.retain_border(cells, slide), slide)
+    kept = stored(kept.withColumn("uid", F.monotonically_increasing_id()), "cells")
+    pairs = dedup.box_pairs(kept.select(slide, "uid", "seq", "area", "y0", "y1", "x0", "x1"), bucket, slide, threshold)
     if polygons:
-        pairs = with_common_area(pairs)
-    return dedup.largest_of_each(kept, dedup.overlap_edges(pairs, "inter" if polygons else "box_area", threshold), slide)
+        ring = kept.select(F.col("uid").alias("_of"), flat("contour").alias("_ring"))
+        for s in "ab":
+            pairs = pairs.join(ring.withColumnRenamed("_ring", f"ring_{s}"), F.col(f"uid_{s}") == F.col("_of")).drop("_of")
+        pairs = with_common_area(pairs, "ring_a", "ring_b").drop("ring_a", "ring_b")
+    return kept, dedup.overlap_edges(pairs, "inter" if polygons else "box_area", threshold)
 
 
 def fix_borders(cells: DataFrame, tiles: DataFrame, ratio: float = 1.0, tile: int = assign.TILE, slide: str = "slide", **options) -> DataFrame:
@@ -37,10 +50,10 @@ def with_area(cells: DataFrame) -> DataFrame:
     return cells.withColumn("area", shoelace(F.col("contour")))
 
 
-def detect_tissue(pixels: DataFrame, size: int, height: int | Column, width: int | Column, most: float = 0.2, keys: tuple[str, ...] = ("slide_id",)) -> DataFrame:
-    """Tiles with tissue in row-major order, from thumbnail pixels (keys, y, x, r, g, b)."""
+def detect_tissue(pixels: DataFrame, size: int | Column, height: int | Column, width: int | Column, most: float = 0.2, keys: tuple[str, ...] = ("slide_id",)) -> DataFrame:
+    """Tiles with tissue, from thumbnail pixels (keys, y, x, r, g, b). Their order is that of row and col; whoever numbers them sorts."""
     rows = pixels.withColumn("q", F.floor(gray(F.col("r"), F.col("g"), F.col("b"))))
-    return tissue.tissue_tiles(rows, size, height, width, most, "q", keys).orderBy(*keys, "row", "col")
+    return tissue.tissue_tiles(rows, size, height, width, most, "q", keys)
 
 
 def choose_levels(slides: DataFrame, targets: tuple[float, ...] = (0.25, 0.5)) -> DataFrame:
@@ -52,26 +65,26 @@ def choose_levels(slides: DataFrame, targets: tuple[float, ...] = (0.25, 0.5)) -
     return rows.withColumns({"min_size": least, "kernel": kernel})
 
 
-def run(windows: DataFrame, tiles: DataFrame, provider, ratio: float = 1.0, level: int = 0, path: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Windows (slide_id, icol, irow) through a provider to documents, one row a slide, and the status of each slide.
+def run(windows: DataFrame, tiles: DataFrame, provider, ratio: float = 1.0, tile: int = assign.TILE, maps_at: str | None = None, batch: int = 16, decoder: str = "tilewright.sources.slides:Raw") -> tuple[DataFrame, DataFrame]:
+    """Windows (slide_id, icol, irow, and path and level if the provider reads pixels) through a provider to documents, one row a slide, and the status of each slide. tiles
+    (slide_id, col, row, tile_seq, and level, else 0) are `tile` wide; ratio leads from the windows' pixels to theirs.
 
-    A slide that fails is one row of status; the others are not affected. A slide without cells or without tiles has a document all the same.
+    maps_at: keep raw maps there, and go on from those of a run that broke off. A slide that fails is one
+    row of status; the others are not affected. A slide without cells or without tiles has a document all the same.
     """
     from ..sources import documents, maps
 
-    cells = maps.numbered(maps.detect(maps.predict(windows, provider), provider.classes, provider.mpp))
-    # seq must be unique over slides: a slide's number goes in front
-    ids = windows.select("slide_id").distinct().withColumn("_no", F.xxhash64("slide_id"))
-    cells = cells.join(ids, "slide_id").withColumn("seq", F.xxhash64("_no", "seq")).drop("_no")
+    if "level" not in tiles.columns:
+        tiles = tiles.withColumn("level", F.lit(0))
+    found = maps.spill(windows, provider, maps_at, batch=batch, decoder=decoder) if maps_at else maps.predict(windows, provider, batch, decoder)
+    cells = maps.numbered(maps.detect(found, provider.classes, provider.mpp))
     cells = cells.withColumnsRenamed({"top": "y0", "down": "y1", "left": "x0", "right": "x1", "slide_id": "slide"})
-    done = fix_borders(with_area(stored(cells, "detections")), tiles.withColumnRenamed("slide_id", "slide"), ratio, polygons=True)
+    done = fix_borders(with_area(stored(cells, "detections")), tiles.withColumnRenamed("slide_id", "slide"), ratio, tile, polygons=True, window=provider.tile, overlap=provider.overlap)
     lists = done.withColumns({
         "coordinates": F.transform("contour", lambda p: F.array(p["x"], p["y"])), "centroid": F.array("cx", "cy"), "confidence": F.col("prob"),
-        "level": F.lit(level), "x": F.col("col"), "y": F.col("row"), "width": F.lit(assign.TILE), "height": F.lit(assign.TILE),
+        "x": F.col("col"), "y": F.col("row"), "width": F.lit(tile), "height": F.lit(tile),
     })
-    docs = documents.nest(lists, provider.name, provider.mpp)
-    if path:
-        documents.write(docs, path)
+    docs = stored(documents.nest(lists, provider.name, provider.mpp), "documents")
     found = docs.select(F.col("slide").alias("slide_id"), F.lit("ok").alias("_s"))
     status = tiles.select("slide_id").union(windows.select("slide_id")).distinct().join(found, "slide_id", "left")
     return docs, status.select("slide_id", F.lit("document").alias("stage"), F.coalesce("_s", F.lit("no_tiles")).alias("status"), F.lit(None).cast("string").alias("message"))

@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import pyramid, tiling
 from ..operators.assign import TILE
-from ..schema import STATUS
-from ..sources import files
+from ..sources import documents, files, maps
 from ..sources.shared import stored
 from ..sources.slides import load_decoder
 from .chain import detect_tissue, run
@@ -41,42 +40,73 @@ def opened(paths: DataFrame, decoder: str = RAW) -> DataFrame:
     return paths.select("path").mapInPandas(read, "slide_id string, path string, width long, height long, properties map<string,string>, error string")
 
 
-def thumbnails(slides: DataFrame, decoder: str = RAW, factor: int = int(COARSE / BASE), strip: int = 64) -> DataFrame:
-    """(slide_id, y, x, r, g, b): means of blocks, read in strips of `strip` blocks, one row of tasks' work a strip."""
+def thumbnails(slides: DataFrame, decoder: str = RAW, strip: int = 64) -> DataFrame:
+    """(slide_id, y, x, r, g, b) of slides (slide_id, path, height, factor): means of blocks of `factor` pixels of level 0, a power of two, read in strips of `strip` blocks,
+    one row of tasks' work a strip."""
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for t in frame.itertuples(index=False):
-                s, size = load_decoder(decoder).open(t.path.removeprefix("file:")), factor * strip
-                for col in range(-(-s.width // size)):
-                    h, w, data = s.read(0, col, t.strip, size, 0)
-                    px = np.frombuffer(data, np.uint8).reshape(h, w, 3)[: h // factor * factor, : w // factor * factor]
+                s, f = load_decoder(decoder).open(t.path.removeprefix("file:")), int(t.factor)
+                for col in range(-(-s.width // (f * strip))):
+                    h, w, data = s.read(0, col, t.strip, f * strip, 0)
+                    px = np.frombuffer(data, np.uint8).reshape(h, w, 3)[: h // f * f, : w // f * f]
                     if not px.size:
                         continue
-                    small = px.reshape(px.shape[0] // factor, factor, px.shape[1] // factor, factor, 3).mean((1, 3))
+                    small = px.reshape(px.shape[0] // f, f, px.shape[1] // f, f, 3).mean((1, 3))
                     y, x = np.mgrid[: small.shape[0], : small.shape[1]]
                     yield pd.DataFrame({"slide_id": t.slide_id, "y": y.ravel() + t.strip * strip, "x": x.ravel() + col * strip, "r": small[..., 0].ravel(), "g": small[..., 1].ravel(), "b": small[..., 2].ravel()})
 
-    strips = slides.withColumn("strip", F.explode(F.sequence(F.lit(0), F.ceil(F.col("height") / (factor * strip)).cast("int") - 1)))
-    return strips.select("slide_id", "path", "strip").repartition("slide_id", "strip").mapInPandas(read, "slide_id string, y long, x long, r double, g double, b double")
+    strips = slides.withColumn("strip", F.explode(F.sequence(F.lit(0), F.ceil(F.col("height") / (F.col("factor") * strip)).cast("int") - 1)))
+    return strips.select("slide_id", "path", "factor", "strip").repartition("slide_id", "strip").mapInPandas(read, "slide_id string, y long, x long, r double, g double, b double")
 
 
-def extract(spark: SparkSession, patterns: Sequence[str], export_dir: str | None, provider, decoder: str = RAW, tile: int = TILE, n_tiles: int | None = None, most: float = 0.2) -> tuple[DataFrame, DataFrame]:
-    """Documents of all slides, written as slide=NAME/ under export_dir if given, and a status of each slide."""
+def planned(slides: DataFrame, choices: Sequence[float]) -> DataFrame:
+    """Slides with the levels they are worked at, counted down from the finest (down_*), the level of the tiles in the slide's pyramid, the chosen resolution of
+    the windows, the factor of the thumbnail, and a status that says which resolution is not available."""
+    rows = slides.withColumn("mpp", pyramid.mpp_of(F.col("properties"))).withColumn("n_levels", pyramid.level_count(F.col("width"), F.col("height")))
+    target, level, chosen = pyramid.preferred(F.col("mpp"), F.col("n_levels"), tuple(sorted(choices)))
+    base, _, based = pyramid.nearest_level(F.col("mpp"), F.col("n_levels"), BASE)
+    coarse, _, seen = pyramid.nearest_level(F.col("mpp"), F.col("n_levels"), COARSE)
+    rows = rows.withColumns({"target_mpp": target, "_window": level, "_chosen": chosen, "level": base, "_based": based, "_coarse": coarse, "_seen": seen})
+    down = lambda c: F.col("n_levels") - 1 - F.col(c)
+    fits = F.when(F.col("_chosen") != "ok", F.col("_chosen")).when(F.col("_based") != "ok", F.col("_based")).otherwise(F.col("_seen"))
+    rows = rows.withColumns({"down_window": down("_window"), "down_base": down("level"), "factor": F.pow(F.lit(2), down("_coarse")).cast("int"), "fits": fits})
+    return rows.drop("_window", "_chosen", "_based", "_coarse", "_seen")
+
+
+def extract(spark: SparkSession, patterns: Sequence[str], export_dir: str | None, provider, decoder: str = RAW, tile: int = TILE, n_tiles: int | None = None, most: float = 0.2, batch: int = 16, maps_at: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Documents of all slides, written as slide=NAME/ under export_dir if given, and a status of each slide. `provider` is one model or several of different
+    resolutions: a slide gets that of the finest one it has. Raw maps are kept under maps_at, if given, until the documents are written."""
+    models = {p.mpp: p for p in (provider if isinstance(provider, (list, tuple)) else [provider])}
     slides = stored(opened(files.collect_paths(spark, patterns), decoder), "slides")
-    good = slides.where("error IS NULL").withColumn("mpp", pyramid.mpp_of(F.col("properties"))).withColumn("n_levels", pyramid.level_count(F.col("width"), F.col("height")))
-    _, _, fits = pyramid.nearest_level(F.col("mpp"), F.col("n_levels"), provider.mpp)
-    good = stored(good.withColumn("fits", fits), "levels")
+    good = stored(planned(slides.where("error IS NULL"), list(models)), "levels")
     usable = good.where("fits = 'ok'")
-    factor = int(COARSE / BASE)
-    pixels = thumbnails(usable, decoder, factor).join(usable.select("slide_id", F.floor(F.col("height") / factor).alias("_h"), F.floor(F.col("width") / factor).alias("_w")), "slide_id")
-    tiles = detect_tissue(pixels, tile // factor, F.col("_h"), F.col("_w"), most).select("slide_id", "col", "row")
-    tiles = stored(tiling.first_tiles(tiles, n_tiles, ("slide_id",)), "tiles")
-    steps = int(round(np.log2(BASE / provider.mpp)))  # levels between the tiles and the windows
-    windows = tiling.retile(tiles, tile, tiling.core_size(), 0, steps, ("slide_id",)).select("slide_id", F.col("col").cast("int").alias("icol"), F.col("row").cast("int").alias("irow"))
-    docs, done = run(windows, tiles, provider, provider.mpp / BASE, path=export_dir)
+    block = F.floor(tile * F.pow(F.lit(2.0), F.col("down_base")) / F.col("factor")).cast("int")  # a tile in pixels of the thumbnail
+    edges = usable.select("slide_id", block.alias("_block"), *[F.floor(F.col(c) / F.col("factor")).alias(f"_{c}") for c in ("height", "width")])
+    found = detect_tissue(thumbnails(usable, decoder).join(edges, "slide_id"), F.col("_block"), F.col("_height"), F.col("_width"), most).select("slide_id", "col", "row")
+    tiles = stored(tiling.first_tiles(found, n_tiles, ("slide_id",)).join(usable.select("slide_id", "path", "level", "target_mpp", "down_window"), "slide_id"), "tiles")
+    docs, status = [], []
+    for mpp, model in sorted(models.items()):
+        own = tiles.where(F.col("target_mpp") == mpp)
+        steps = int(round(np.log2(BASE / mpp)))  # levels between the tiles and the windows
+        core = tiling.core_size(model.tile, model.overlap)
+        windows = tiling.retile(own, tile, core, 0, steps, ("slide_id", "path", "down_window"), cover="full")
+        windows = windows.select("slide_id", "path", F.col("down_window").cast("int").alias("level"), F.col("col").cast("int").alias("icol"), F.col("row").cast("int").alias("irow"))
+        made, done = run(windows, own.drop("path", "target_mpp", "down_window"), model, mpp / BASE, tile, maps_at and f"{maps_at}/mpp={mpp}", batch, decoder)
+        docs.append(made)
+        status.append(done)
     failed = slides.where("error IS NOT NULL").select("slide_id", F.lit("open").alias("stage"), F.lit("failed").alias("status"), F.col("error").alias("message"))
     unfit = good.where("fits <> 'ok'").select("slide_id", F.lit("level").alias("stage"), F.col("fits").alias("status"), F.lit(None).cast("string").alias("message"))
     empty = usable.select("slide_id").join(tiles.select("slide_id").distinct(), "slide_id", "left_anti").select("slide_id", F.lit("tissue").alias("stage"), F.lit("no_tissue").alias("status"), F.lit(None).cast("string").alias("message"))
-    status = failed.union(unfit).union(empty).union(done.select("slide_id", "stage", "status", "message"))
-    return docs, spark.createDataFrame(status.toArrow().to_pylist(), STATUS) if export_dir else status  # a row a slide
+    every = failed.union(unfit).union(empty)
+    for done in status:
+        every = every.union(done.select("slide_id", "stage", "status", "message"))
+    out = docs[0]
+    for more in docs[1:]:
+        out = out.union(more)
+    if export_dir:
+        documents.write(out, export_dir)
+        if maps_at:
+            maps.drop_spill(spark, maps_at)
+    return out, stored(every, "status")

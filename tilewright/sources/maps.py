@@ -1,12 +1,12 @@
 """Raw maps of windows: an interface for models, a synthetic one, and the step from maps to cells.
 
-A provider has name, mpp, tile, classes (number to name, 0 background) and predict(keys) -> maps, one dict a window with np
-(nucleus probability), tp (class), hv_h and hv_v (distances across and down), each (tile, tile).
+A provider has name, mpp, tile (its window), overlap (the margin within it), classes (number to name, 0 background) and predict(keys, pixels) -> maps, one dict a window with np
+(nucleus probability), tp (class), hv_h and hv_v (distances across and down), each (tile, tile). keys are (slide_id, icol, irow). If its
+`reads` is true, pixels are what its transform makes of the windows' bytes, (windows, tile, tile, 3), else None.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator, Sequence
 from typing import Protocol
 
@@ -15,44 +15,65 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.packed import DEVIATION, MEAN
 from ..functions.raster import instances, segment
 from ..operators.pyramid import PARAMETERS
 from ..schema import DETECTIONS, RAW_MAPS
+from .slides import load_decoder, window
 
-#: Cell classes of the default model, in their fixed order.
+#: Classes of the synthetic provider.
 CLASSES = {0: "Background", 1: "Round", 2: "Long", 3: "Small", 4: "Large"}
+# Cell classes by number, the same for both working resolutions, and the image size that models of each were trained with.
+CELL_CLASSES = {
+    0: "Background", 1: "Cancer cell", 2: "Lymphocytes", 3: "Fibroblasts", 4: "Plasmocytes", 5: "Eosinophils", 6: "Neutrophils", 7: "Macrophages",
+    8: "Muscle Cell", 9: "Endothelial Cell", 10: "Red blood cell", 11: "Epithelial", 12: "Apoptotic Body", 13: "Mitotic Figures", 14: "Minor Stromal Cell",
+}
+TRAINED_AT = {0.25: 448, 0.5: 224}
 
 
 class Provider(Protocol):
     name: str
     mpp: float
     tile: int
+    overlap: int
     classes: dict[int, str]
+    reads: bool
 
-    def predict(self, keys: Sequence[tuple]) -> list[dict[str, np.ndarray]]: ...
+    def transform(self, pixels: np.ndarray) -> np.ndarray: ...
+
+    def predict(self, keys: Sequence[tuple], pixels: np.ndarray | None) -> list[dict[str, np.ndarray]]: ...
+
+
+def normalised(pixels: np.ndarray) -> np.ndarray:
+    """The usual transform: bytes to floats around 0, channel by channel."""
+    return (pixels.astype(np.float32) / 255 - np.array(MEAN, np.float32)) / np.array(DEVIATION, np.float32)
 
 
 class Discs:
     """Maps with discs at places that follow from the window's key: for tests and trial runs."""
 
-    name, classes = "discs", CLASSES
+    name, classes, reads = "discs", CLASSES, False
 
-    def __init__(self, tile: int = 128, discs: int = 6, mpp: float = 0.25):
-        self.tile, self.discs, self.mpp = tile, discs, mpp
+    def __init__(self, tile: int = 128, discs: int = 6, mpp: float = 0.25, overlap: int = 0):
+        self.tile, self.discs, self.mpp, self.overlap = tile, discs, mpp, overlap
+
+    def transform(self, pixels: np.ndarray) -> np.ndarray:
+        return pixels
 
     def places(self, key: tuple) -> list[tuple[int, int, int, int]]:
-        """x, y, radius and class; centres lie in cells of a grid, so discs don't touch."""
+        """x, y, radius and class; centres lie in cells of a grid, so discs don't touch. Whole-number arithmetic, so that SQL can say the same."""
+        slide, icol, irow = key
         side = int(np.ceil(np.sqrt(self.discs)))
         step = self.tile // side
         out = []
         for i in range(self.discs):
-            h = zlib.crc32(repr((*key, i)).encode())
+            h = (sum(map(ord, str(slide))) * 7919 + int(icol) * 104_729 + int(irow) * 1_299_709 + i * 15_485_863) % 2_147_483_647
             r = 5 + h % max(1, min(8, step // 2 - 7))
-            free = step - 2 * r - 4
-            out.append((i % side * step + r + 2 + (h >> 8) % max(1, free), i // side * step + r + 2 + (h >> 16) % max(1, free), r, 1 + (h >> 4) % (len(self.classes) - 1)))
+            free = max(1, step - 2 * r - 4)
+            out.append((i % side * step + r + 2 + h // 256 % free, i // side * step + r + 2 + h // 65536 % free, r, 1 + h // 16 % (len(self.classes) - 1)))
         return out
 
-    def predict(self, keys: Sequence[tuple]) -> list[dict[str, np.ndarray]]:
+    def predict(self, keys: Sequence[tuple], pixels: np.ndarray | None = None) -> list[dict[str, np.ndarray]]:
         out = []
         y, x = np.mgrid[: self.tile, : self.tile]
         for key in keys:
@@ -66,10 +87,27 @@ class Discs:
 
 
 def stored_maps(spark: SparkSession, path: str) -> DataFrame:
-    """Maps that were predicted before and written as Parquet."""
+    """Maps that were predicted before and written by spill()."""
     return spark.read.schema(RAW_MAPS).parquet(path)
 
 
+def spill(windows: DataFrame, provider: Provider, path: str, **options) -> DataFrame:
+    """Predict the windows whose maps are not under path yet and add them there; all maps under path. A run that broke off goes on where it was:
+    files appear whole or not at all, and a window belongs to its maps by key."""
+    spark, keys = windows.sparkSession, ["slide_id", "icol", "irow"]
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        windows = windows.join(stored_maps(spark, path).select(keys), keys, "left_anti")
+    predict(windows, provider, **options).write.mode("append").parquet(path)
+    return stored_maps(spark, path)
+
+
+def drop_spill(spark: SparkSession, path: str) -> None:
+    """Delete the maps under path, once what was made of them is written."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def unmatched(windows: DataFrame, maps_: DataFrame) -> DataFrame:
     """Status rows of windows whose maps are missing: maps belong to windows by key, never by position."""
     keys = ["slide_id", "icol", "irow"]
@@ -77,17 +115,26 @@ def unmatched(windows: DataFrame, maps_: DataFrame) -> DataFrame:
     return lost.groupBy("slide_id").agg(F.concat(F.count("*").cast("string"), F.lit(" windows without maps")).alias("message")).select("slide_id", F.lit("predict").alias("stage"), F.lit("missing_maps").alias("status"), "message")
 
 
-def predict(tiles: DataFrame, provider: Provider, batch: int = 16) -> DataFrame:
-    """Raw maps of the windows (slide_id, icol, irow); the provider is made once in each task."""
+def predict(windows: DataFrame, provider: Provider, batch: int = 16, decoder: str = "tilewright.sources.slides:Raw") -> DataFrame:
+    """Raw maps of the windows (slide_id, icol, irow, and path and level if the provider reads pixels); a task opens each of its slides once."""
+    side, core = provider.tile, provider.tile - 2 * provider.overlap
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        path, slide = None, None
         for frame in frames:
             for a in range(0, len(frame), batch):
-                part = frame.iloc[a : a + batch]
-                maps = provider.predict(list(part.itertuples(index=False, name=None)))
-                yield part.assign(h=provider.tile, w=provider.tile, np=[m["np"].ravel() for m in maps], tp=[m["tp"].astype(np.int16).ravel() for m in maps], hv_h=[m["hv_h"].ravel() for m in maps], hv_v=[m["hv_v"].ravel() for m in maps])
-
-    return tiles.select("slide_id", "icol", "irow").mapInPandas(run, RAW_MAPS)
+                part, pixels = frame.iloc[a : a + batch], None
+                if provider.reads:
+                    raw = np.empty((len(part), side, side, 3), np.uint8)
+                    for i, t in enumerate(part.itertuples(index=False)):
+                        if t.path != path:
+                            path, slide = t.path, load_decoder(decoder).open(t.path.removeprefix("file:"))
+                        raw[i] = window(slide, t.level, t.icol, t.irow, core, provider.overlap)
+                    pixels = provider.transform(raw)
+                maps = provider.predict(list(part[["slide_id", "icol", "irow"]].itertuples(index=False, name=None)), pixels)
+                yield part[["slide_id", "icol", "irow"]].assign(h=side, w=side, np=[m["np"].ravel() for m in maps], tp=[m["tp"].astype(np.int16).ravel() for m in maps], hv_h=[m["hv_h"].ravel() for m in maps], hv_v=[m["hv_v"].ravel() for m in maps])
+
+    return windows.select("slide_id", "icol", "irow", *(["path", "level"] if provider.reads else [])).mapInPandas(run, RAW_MAPS)
 
 
 def detect(maps: DataFrame, classes: dict[int, str], mpp: float) -> DataFrame:

@@ -1,15 +1,18 @@
 """Slides as a data source: one row a tile with its pixels, read by a decoder that the user supplies.
 
-A decoder is a class with open(path) -> object of properties, width, height and read(level, col, row, tile, overlap) -> bytes of RGB
-rows. It is named as "module:Class" so that tasks can import it; image libraries are not required by this package.
+A decoder is a class with open(path) -> object of properties, width, height (both of level 0, the finest) and
+read(level, col, row, tile, overlap) -> height, width and bytes of RGB rows, where a level has half the size of the one before. It is named as
+"module:Class" so that tasks can import it; image libraries are not required by this package.
 """
 
 from __future__ import annotations
 
 import importlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow.fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 TILES = "path string, level int, col int, row int, height int, width int, pixels binary"
@@ -21,21 +24,50 @@ def load_decoder(name: str):
 
 
 class Raw:
-    """The simplest slides: numpy .npy files of (height, width, 3) bytes, one level, 0.5 microns a pixel."""
+    """The simplest slides: numpy .npy files of (height, width, 3) bytes, on any file system that pyarrow knows; only the asked-for rows are read. Level n
+    holds means of 2 ** n pixels a side, rounded down. Properties come from a JSON file beside it, PATH.json; without one it has 0.5 microns a pixel."""
 
     def open(self, path: str):
-        self.pixels = np.load(path, mmap_mode="r")
-        self.height, self.width = self.pixels.shape[:2]
+        self.files, self.path = pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)
+        with self.files.open_input_file(self.path) as f:
+            version = np.lib.format.read_magic(f)
+            shape, fortran, kind = np.lib.format.read_array_header_1_0(f) if version == (1, 0) else np.lib.format.read_array_header_2_0(f)
+            self.start = f.tell()
+        if fortran or kind != np.uint8 or len(shape) != 3 or shape[2] != 3:
+            raise ValueError(f"not rows of RGB bytes: {shape} {kind}")
+        self.height, self.width = shape[:2]
         self.properties = {"openslide.mpp-x": "0.5"}
+        if self.files.get_file_info(f"{self.path}.json").type == pyarrow.fs.FileType.File:
+            with self.files.open_input_file(f"{self.path}.json") as f:
+                self.properties = {k: str(v) for k, v in json.loads(f.read()).items()}
         return self
 
     def read(self, level: int, col: int, row: int, tile: int, overlap: int) -> tuple[int, int, bytes]:
         """Height, width and bytes; at the slide's edges the part is smaller."""
-        y, x = max(0, row * tile - overlap), max(0, col * tile - overlap)
-        part = self.pixels[y : row * tile + tile + overlap, x : col * tile + tile + overlap]
+        size = 1 << level
+        y0, x0 = max(0, row * tile - overlap) * size, max(0, col * tile - overlap) * size
+        y1, x1 = min((row * tile + tile + overlap) * size, self.height // size * size), min((col * tile + tile + overlap) * size, self.width // size * size)
+        if y1 <= y0 or x1 <= x0:
+            return 0, 0, b""
+        with self.files.open_input_file(self.path) as f:
+            f.seek(self.start + y0 * self.width * 3)
+            part = np.frombuffer(f.read((y1 - y0) * self.width * 3), np.uint8).reshape(y1 - y0, self.width, 3)[:, x0:x1]
+        if level:
+            part = part.reshape((y1 - y0) // size, size, (x1 - x0) // size, size, 3).mean((1, 3)).astype(np.uint8)
         return part.shape[0], part.shape[1], np.ascontiguousarray(part).tobytes()
 
 
+def window(slide, level: int, col: int, row: int, core: int, overlap: int) -> np.ndarray:
+    """The pixels of a window, (core + 2 overlap) a side, whose core starts at col * core, row * core of its level; what lies beyond the slide is 0."""
+    h, w, data = slide.read(level, col, row, core, overlap)
+    side = core + 2 * overlap
+    out = np.zeros((side, side, 3), np.uint8)
+    top, left = max(0, overlap - row * core), max(0, overlap - col * core)
+    if h and w:
+        out[top : top + h, left : left + w] = np.frombuffer(data, np.uint8).reshape(h, w, 3)
+    return out
+
+
 class Rows(InputPartition):
     def __init__(self, path: str, first: int, last: int):
         self.path, self.first, self.last = path, first, last
@@ -44,7 +76,7 @@ class Rows(InputPartition):
 class SlideReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
-        self.tile, self.overlap = int(options.get("tile", 224)), int(options.get("overlap", 0))
+        self.tile, self.overlap, self.level = (int(options.get(k, v)) for k, v in (("tile", 224), ("overlap", 0), ("level", 0)))
 
     def _open(self, path: str):
         return load_decoder(self.options.get("decoder", "tilewright.sources.slides:Raw")).open(path)
@@ -52,20 +84,20 @@ class SlideReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         out, rows = [], int(self.options.get("rows", 8))
         for path in self.options["path"].split(","):
-            n = -(-self._open(path).height // self.tile)
+            n = -(-(self._open(path).height >> self.level) // self.tile)
             out += [Rows(path, a, min(n, a + rows)) for a in range(0, n, rows)]
         return out
 
     def read(self, partition: Rows) -> Iterator[tuple]:
         slide = self._open(partition.path)
         for row in range(partition.first, partition.last):
-            for col in range(-(-slide.width // self.tile)):
-                h, w, data = slide.read(0, col, row, self.tile, self.overlap)
-                yield partition.path, 0, col, row, h, w, data
+            for col in range(-(-(slide.width >> self.level) // self.tile)):
+                h, w, data = slide.read(self.level, col, row, self.tile, self.overlap)
+                yield partition.path, self.level, col, row, h, w, data
 
 
 class SlideSource(DataSource):
-    """spark.dataSource.register(SlideSource); spark.read.format("slides").option("decoder", ...).load(path)"""
+    """spark.dataSource.register(SlideSource); spark.read.format("slides").options(decoder=..., tile=..., overlap=..., level=...).load(path)"""
 
     @classmethod
     def name(cls) -> str:
