@@ -98,6 +98,9 @@ def test_quality(spark):
     assert np.allclose(field.weight, again.weight)
     odd = quality_crf.score(docs(spark), field, out="score").toPandas()
     assert len(odd) == len(AWKWARD) and odd.score.between(0, 1).all() and {"n", "key"} <= set(odd.columns)
+    few = quality_crf.fit(d, labels, lines=300)
+    assert quality_crf.score(docs(spark), quality_crf.fit(d, labels, lines=0)).where("score <> 0.5").count() == 0
+    assert few.weight.any() and not np.allclose(few.weight, field.weight)
     none = quality_crf.fit(d, labels.limit(0))
     assert quality_crf.score(docs(spark), none).where("score <> 0.5").count() == 0
     assert quality_crf.score(docs(spark, []), field).count() == 0
@@ -159,31 +162,74 @@ def test_near_duplicates(spark):
     assert found_groups(spark, []) == []
 
 
-def test_search_after_cut_rounds(spark, monkeypatch):
-    """Small blocks, one bound a round and no merging beforehand: the tree alone finds all links."""
-    monkeypatch.setattr(ngram_join, "BLOCK", 4)
-    monkeypatch.setattr(ngram_join, "ROUNDS", (1, 2, None))
-    monkeypatch.setattr(ngram_join, "STAR", 0)
+@pytest.mark.parametrize("star", [0, 4])
+def test_search_in_small_parts(spark, monkeypatch, star):
+    """Small blocks and chunks; without merging beforehand the tree alone finds all links."""
+    for name, most in (("BLOCK", 4), ("CHUNK", 3), ("ELEMENTS", 500), ("STAR", star), ("HELD", 1)):
+        monkeypatch.setattr(ngram_join, name, most)
     rows = edited(random.Random(6), [f"w{i}" for i in range(2000)])
     assert found_groups(spark, rows) == brute_groups(rows)
 
 
+def test_group_of_near_copies_at_the_threshold(spark):
+    """Many texts of which about half of all pairs are similar, and some that are similar to few: one root each leaves a task, never the pairs."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for _ in range(rng.randrange(1, 3 + 3 * (i % 10 == 0))):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    assert found_groups(spark, rows) == brute_groups(rows)
+
+
+def test_merged():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    sets = [np.unique(np.concatenate((base[: 300 - k], rng.integers(0, 1 << 63, k).astype(np.uint64)))) for k in (0, 10, 20, 33, 120, 5)] + [np.unique(rng.integers(0, 1 << 63, 290).astype(np.uint64))]
+    root = ngram_join.merged(sets, np.arange(7), 4, 5)
+    assert len({root[i] for i in (0, 1, 2, 3, 5)}) == 1 and len(set(root)) == 3
+    root = ngram_join.merged(sets, np.array([0, 1, 2, 3, 6, 5, 6]), 4, 5)
+    assert root[4] == root[6] != root[0]
+
+
 def test_one_of_each(spark):
     got = sorted((r.doc_id or 0) for r in ngram_join.one_of_each(docs(spark)).collect())
     assert got == [0, 1, 2, 3, 4, 5, 7, 8]
 
 
+def test_one_of_each_tells_rows_of_one_id_apart(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (2, b), (None, c), (None, c), (3, a + " end"), (4, c), (1, b), (None, "d e f"), (None, "d e f"), (5, None), (5, None), (5, "")]
+    d = spark.createDataFrame(rows, SCHEMA).withColumns({n: F.lit(7) for n in ("_may", "_sig", "sig", "key", "may", "_stays", "stays", "_row_key", "comp", "n")})
+    got = ngram_join.one_of_each(d)
+    assert got.columns == d.columns
+    assert sorted(((r.doc_id or 0), r.text or "") for r in got.collect()) == sorted([(1, a), (1, b), (4, c), (0, "d e f"), (5, ""), (5, ""), (5, "")])
+
+
 def test_tree_bounds():
     rng = np.random.default_rng(1)
     n = rng.integers(5, 60, 300)
     vec = np.stack([np.bincount(rng.integers(0, 16, k), minlength=16) for k in n]).astype(np.uint16)
-    route, comp = rng.integers(0, 5, 300).astype(np.uint64), rng.integers(0, 200, 300)
-    tree = ngram_join.Points(route, n, comp, np.arange(300), np.ones(300, bool), vec)
-    got = {tuple(sorted((int(tree.node[a]), int(tree.node[b])))) for x, y, _ in tree.pairs(1, 2) for a, b in zip(x, y, strict=True)}
-    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if route[i] == route[j] and comp[i] != comp[j] and n[i] * 2 >= n[j] and n[j] * 2 >= n[i] and 3 * int(np.minimum(vec[i], vec[j]).sum()) >= n[i] + n[j]}
+    route, comp, side = rng.integers(0, 5, 300).astype(np.uint64), rng.integers(0, 200, 300), rng.integers(-1, 2, 300)
+    side[route > 2] = -1
+    side[route <= 2] = np.abs(side[route <= 2])
+    tree = ngram_join.Points(route, n, comp, side, np.ones(300, bool), vec)
+    got = {tuple(sorted((int(tree.order[a]), int(tree.order[b])))) for x, y, _ in tree.pairs(1, 2) for a, b in zip(x, y, strict=True)}
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if route[i] == route[j] and comp[i] != comp[j] and (side[i] < 0 or side[i] != side[j]) and n[i] * 2 >= n[j] and n[j] * 2 >= n[i] and 3 * int(np.minimum(vec[i], vec[j]).sum()) >= n[i] + n[j]}
     assert got == want and want
 
 
+def test_points_add_up():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 1 << 63, k).astype(np.uint64)) for k in (0, 3, 255, 256, 1500, 9000)] + [np.arange(400, dtype=np.uint64)]
+    n = np.array([len(x) for x in sets])
+    got = ngram_join.points([ngram_join.point(x, ngram_join.dimensions(len(x))) for x in sets], n, 256)
+    assert (got.sum(1, dtype=int) == n).all() and (got[4] == np.bincount((sets[4] >> np.uint64(20)).astype(np.int64) & 255, minlength=256)).all()
+    assert got[6].max() == 400
+
+
 # ---------------------------------------------------------------- urls
 
 
@@ -197,6 +243,28 @@ def test_urls(spark):
     assert url_reputation.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_urls_against_sql(spark):
+    import duckdb
+
+    for folder in (DIR, "/root/testdata/sf0.01"):
+        duckdb.sql(f"CREATE OR REPLACE VIEW pages AS SELECT * FROM '{folder}/pages.parquet'")
+        want = duckdb.sql(url_reputation.SQL).df().sort_values("page_id").reset_index(drop=True)
+        got = url_reputation.query(spark, folder).toPandas()[list(want.columns)].sort_values("page_id").reset_index(drop=True)
+        assert len(got) == len(want) and got.drop(columns="reputation").fillna("").equals(want.drop(columns="reputation").fillna("")) and np.allclose(got.reputation, want.reputation)
+
+
+def test_urls_with_other_columns(spark):
+    names = ("host", "Path", "rule", "verdict", "reputation", "bound", "rate", "n", "x", "k", "_host", "_path", "_rule", "_verdict", "_known", "_of", "_rate", "_bound", "domain", "suffix", "a.b")
+    rows = [(1, "http://a.net/fr/"), (2, None), (3, "http://" + "long." * 40_000 + "com/" + "p/" * 40_000), (4, "http://x.co.uk/"), (4, "http://x.co.uk/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumns({n: F.lit(f"own {n}") for n in names})
+    got = url_reputation.judge(pages)
+    assert sorted(c.lower() for c in got.columns) == sorted(c.lower() for c in pages.columns)
+    by = {r.page_id: r for r in got.collect()}
+    assert len(by) == 4 and got.count() == 5 and by[1].host == "a.net" and by[1].verdict == "block" and by[1]["bound"] == "own bound" and by[1]["a.b"] == "own a.b" and by[3].rule == "com/"
+    bad = url_reputation.judge(spark.createDataFrame([(i, f"http://{h}.zz/") for i, h in enumerate(["a"] * 30 + ["b"] * 30)], "page_id long, url string"), outcome=F.when(col("page_id") < 20, 1).when(col("page_id") > 40, 0), suffixes=("zz",))
+    assert {(r.host, r.verdict) for r in bad.collect()} == {("a.zz", "block"), ("b.zz", "allow")}
+
+
 def test_shrinkage(spark):
     """Few outcomes stay near the parent; many speak for themselves."""
     rows = [("a.x.org", 200, 190), ("b.x.org", 1, 1), ("c.y.org", 300, 3), ("d.y.org", 1, 1), ("e.z.com", 0, 0), ("1.2.3.4", 5, 5), ("", 0, 0)]
@@ -234,10 +302,35 @@ def test_forest(spark):
     assert ann_forest.search(table.limit(0), col("id") % 100 == 0).count() == 0
 
 
-def test_forest_blocks(spark, monkeypatch):
-    monkeypatch.setattr(ann_forest, "QUERIES", 2)
-    t = spark.read.parquet(f"{DIR}/embeddings.parquet")
-    assert ann_forest.search(t, col("id") % 100 == 0).count() == 50
+def test_forest_in_small_parts(spark, monkeypatch):
+    t = spark.read.parquet(f"{DIR}/embeddings.parquet").withColumns({c: F.lit(1) for c in ("id", "v", "n", "d", "rank", "query_id", "strings")})
+    whole = ann_forest.search(t, col("id") % 50 == 0).orderBy("query_id", "rank").collect()
+    for name, most in (("QUERIES", 3), ("SOME", 2), ("CHUNK", 16)):
+        monkeypatch.setattr(ann_forest, name, most)
+    assert len(whole) == 100 and ann_forest.search(t, col("id") % 50 == 0).orderBy("query_id", "rank").collect() == whole
+
+
+def test_forest_of_several_lengths(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(1, 8)] + [(100 + i, [float(i), 1.0, 0.0]) for i in range(6)] + [(100, [5.0]), (300, [1.0, 1.0, 1.0, 1.0])]
+    got = ann_forest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), (col("id") % 100 == 0) | (col("id") == 1), k=2).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [(1, 1, 2, 1.0), (1, 2, 3, 2.0)]
+    one = spark.createDataFrame([r for r in rows if r[1] != [5.0]], "vec_id long, embedding array<double>")
+    assert sorted((r.query_id, r.vec_id) for r in ann_forest.search(one, col("id") % 100 == 0, k=2).collect()) == [(100, 101), (100, 102)]
+
+
+def test_recall_on_the_tables(spark):
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
+    ok = {i: np.array(v, float) for i, v in rows if v is not None and np.isfinite(np.array(v, float)).all() and any(v)}
+    ids, x = np.array(list(ok)), np.stack(list(ok.values()))
+    got = ann_forest.query(spark, "/root/testdata/sf0.01").toPandas()
+    hits = total = 0
+    for q in (i for i in ok if i % 100 == 0):
+        d = np.sqrt(((x - ok[q]) ** 2).sum(1))
+        want = [i for i in ids[np.lexsort((ids, d))] if i != q][:10]
+        mine = got[got.query_id == q].sort_values("rank")
+        assert np.allclose(mine.score, [np.sqrt(((ok[i] - ok[q]) ** 2).sum()) for i in mine.vec_id], atol=0)
+        hits, total = hits + len(set(want) & set(mine.vec_id)), total + len(want)
+    assert total and hits / total >= 0.9
 
 
 # ---------------------------------------------------------------- mixing
@@ -298,6 +391,45 @@ def test_mix(spark):
     assert [r[0] for r in one] == [0, 0, 2]
 
 
+def least_miss(sizes, target):
+    """How near whole rounds of the sizes, and some of them once more, can come to the target."""
+    reach, whole = 1, int(target // max(1, sum(sizes)))
+    for n in sizes:
+        reach |= reach << int(n)
+    return np.abs(np.flatnonzero(np.array(list(bin(reach)[:1:-1])) == "1") + whole * sum(sizes) - target).min()
+
+
+def test_mix_query_against_sql(spark):
+    """Sizes, sizes of sources and targets by SQL; whole documents taken, each source as near as its documents allow."""
+    import duckdb
+
+    sql = rf"""
+    WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint size FROM '{DIR}/documents.parquet'),
+    per AS (SELECT source, sum(size)::bigint source_size FROM sized GROUP BY source),
+    weighed AS (SELECT *, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3) + 1] w FROM per),
+    tried AS (SELECT t.w, t.source_size, t.source, 2.0 * t.source_size cap,
+      (SELECT (1.5 * sum(o.source_size) - coalesce(sum(2.0 * o.source_size) FILTER (2.0 * o.source_size / o.w < 2.0 * t.source_size / t.w), 0)) / sum(o.w) FILTER (2.0 * o.source_size / o.w >= 2.0 * t.source_size / t.w) FROM weighed o) level FROM weighed t),
+    best AS (SELECT max(level) level FROM tried)
+    SELECT doc_id, size, source_size, least(cap, (SELECT level FROM best) * w) target FROM sized JOIN tried USING (source)"""
+    want = duckdb.sql(sql).df().sort_values(["doc_id", "size"])
+    got = mix_budget.query(spark, DIR).toPandas()
+    mine = got[got.doc_id.isin(want.doc_id)].sort_values(["doc_id", "size"])
+    assert len(mine) == len(want) > 100 and (mine[["doc_id", "size", "source_size"]].values == want[["doc_id", "size", "source_size"]].values).all()
+    assert np.allclose(mine.target, want.target)
+    of = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "source").toPandas()
+    for _, g in got.merge(of, on="doc_id").groupby("source"):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= least_miss(g["size"], g.target.iloc[0]) + 1 and (g.taken <= 2 * g["size"]).all()
+
+
+def test_many_sources(spark):
+    rng = random.Random(3)
+    sizes = [(None if i == 0 else f"s{i:04}", rng.choice([0, 1, 7, 100, 5000])) for i in range(500)]
+    got = {r.source: r.target for r in mix_budget.targets(spark.createDataFrame(sizes, "source string, source_size long").repartition(7)).collect()}
+    names = sorted(s for s, _ in sizes if s) + [None]
+    want = water([dict(sizes)[s] for s in names], [(3, 1, 2)[i % 3] for i in range(500)])
+    assert all(abs(got[s] - w) < 1e-6 for s, w in zip(names, want, strict=True))
+
+
 # ---------------------------------------------------------------- packing
 
 
@@ -346,10 +478,30 @@ def test_crossover_keeps_every_piece():
 
 
 def test_genetics_find_a_packing_that_best_fit_misses():
-    counts = {7: 4, 6: 4, 5: 4, 4: 2, 3: 2, 2: 4}  # 2 x 43 tokens and 8 more
-    least = math.ceil(sum(k * n for k, n in counts.items()) / 18)
-    found = pack_ga.evolve(counts, 18, [], 1, 16, 40, least)[0]
-    assert sum(found.values()) <= sum(pack_ga.packed(counts, 18).values())
+    """Best fit, longest first, and best fit in many random orders need a bin more than the least; breeding finds the least."""
+    counts = {12: 3, 7: 3, 19: 3, 24: 2, 10: 2, 4: 6, 17: 1, 23: 1, 6: 1, 11: 1, 22: 1, 5: 1, 14: 1, 21: 1, 16: 1, 9: 1}
+    least = sum(k * n for k, n in counts.items()) // 50
+    size = lambda bins: sum(bins.values())
+    orders = [pack_ga.packed(counts, 50, sorted(counts, key=lambda k, r=random.Random(i): -k * r.uniform(0.5, 1.5))) for i in range(16)]
+    assert size(pack_ga.packed(counts, 50)) == min(map(size, orders)) == least + 1
+    assert all(size(pack_ga.evolve(counts, 50, [], seed, 16, 40, least)[0]) == least for seed in range(3))
+
+
+def test_islands_breed_and_migrate_before_they_stop(spark, monkeypatch):
+    """Even where the first packing has the least number of bins: two epochs, and the second one starts from elites of two islands."""
+    calls = spark.sparkContext.accumulator(0)
+    crossover = pack_ga.crossover
+
+    def counted(*args):
+        calls.add(1)
+        return crossover(*args)
+
+    monkeypatch.setattr(pack_ga, "crossover", counted)
+    seen = [pack_ga.evolve({5: 40}, 10, [], i, 4, 3, 20) for i in range(2)]
+    assert calls.value == 4 and all(sum(e[0].values()) == 20 for e in seen)
+    again = pack_ga.evolve({5: 40}, 10, [*seen[0], seen[1][0]], 7, 4, 3, 20)
+    assert calls.value == 6 and sum(again[0].values()) == 20
+    assert sum(pack_ga.plan(spark, {5: 40}, 10, islands=2, population=4).values()) == 20 and pack_ga.plan(spark, {}, 10) == {}
 
 
 def test_pieces(spark):
@@ -394,32 +546,54 @@ def test_training_takes_all_tokens_in_order(monkeypatch):
     lex = gru_lm.Lexicon(100, 10, 1, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(65536, np.int32), np.ones(gru_lm.ENDINGS), np.array([0, 0, 0, 1, 1]), np.array([0, 3, 5]), np.zeros(2 + gru_lm.ENDINGS), np.zeros(5))
     net, rng = gru_lm.Gru(lex, hidden=3), np.random.default_rng(2)
     monkeypatch.setattr(gru_lm, "BATCH", 4)
-    done = []
-    start, name = gru_lm.WORDS + gru_lm.ENDINGS, iter(range(1, 10**6))
-    docs = [np.concatenate(([start], rng.integers(0, 5, n))).astype(np.int16) for n in (1, 31, 32, 33, 64, 65, 700, 3000, 7, 1)]
-    runs = {}  # what a state has seen, by the state
+    docs = [np.concatenate(([gru_lm.START], rng.integers(0, 5, n))).astype(np.int16) for n in (1, 31, 32, 33, 64, 65, 700, 3000, 7, 1)]
+    lanes = {}  # what each state has seen, by the state
+    name = iter(range(1, 10**6))
 
     def window(inputs, targets, mask, h):
         out = np.zeros_like(h)
         for i in range(len(h)):
-            on = mask[:, i] > 0
-            before = runs.pop(h[i, 0], None) if h[i, 0] else [start]
-            assert before[-1] == inputs[0, i] and (inputs[1:, i][on[1:]] == targets[:-1, i][on[1:]]).all()
+            on = mask[:, i]
+            before = lanes.pop(h[i, 0], [])
             out[i, 0] = next(name)
-            runs[out[i, 0]] = before + targets[on, i].tolist()
-            done.append(runs[out[i, 0]])
+            lanes[out[i, 0]] = before + list(zip(inputs[on, i].tolist(), targets[on, i].tolist(), strict=True))
+        ended.extend(lanes.pop(x) for x in h[len(out) :, 0].tolist() if x in lanes)
         return 0.0, {k: np.zeros_like(v) for k, v in net.p.items()}, out
 
+    ended = []
     monkeypatch.setattr(net, "window", window)
     assert net.train(docs, 0.01, 1) == sum(len(d) - 1 for d in docs)
-    assert all(d.tolist() in done for d in docs)
+    seen = []
+    for lane in [*ended, *lanes.values()]:
+        for x, y in lane:
+            if x == gru_lm.START:
+                seen.append([x])
+            assert seen[-1][-1] == x
+            seen[-1].append(y)
+    assert sorted(seen) == sorted(d.tolist() for d in docs)
+
+
+def test_state_is_cleared_where_a_document_starts():
+    """A lane of two documents gives the loss, gradients and scores of the two on their own."""
+    lex = gru_lm.Lexicon(100, 10, 1, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(65536, np.int32), np.ones(gru_lm.ENDINGS), np.array([0, 0, 0, 1, 1]), np.array([0, 3, 5]), np.zeros(2 + gru_lm.ENDINGS), np.zeros(5))
+    net, rng = gru_lm.Gru(lex, hidden=3), np.random.default_rng(5)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    a, b = (np.concatenate(([gru_lm.START], rng.choice([0, 1, 2, 3, 4, gru_lm.WORDS + 3], n))) for n in (5, 9))
+    run = lambda x, y, h: net.window(x[:, None], y[:, None], np.ones((len(x), 1), bool), h)
+    none, odd = np.zeros((1, 3)), np.full((1, 3), 0.7)
+    one, two = run(a[:-1], a[1:], none), run(b[:-1], b[1:], none)
+    both = run(np.concatenate((a[:-1], b[:-1])), np.concatenate((a[1:], b[1:])), odd)
+    assert abs(both[0] - one[0] - two[0]) < 1e-9 and np.allclose(both[2], two[2])
+    assert all(np.allclose(both[1][k], one[1][k] + two[1][k]) for k in net.p)
+    parts = net.score(np.array([0, 5, 14]), np.concatenate((a[1:], b[1:])).astype(np.int32))
+    assert np.allclose(parts, [-one[0], -two[0]], atol=1e-5)
 
 
 def test_all_tokens_are_kept_for_training(spark):
     d = docs(spark).select("doc_id", "text")
     lex = gru_lm.lexicon(gru_lm.counts(d).cache())
-    rows = gru_lm.sequences(d, spark.sparkContext.broadcast(lex), "text").collect()
-    assert sorted(len(r.units) // 2 - 2 for r in rows) == sorted(len(split(t)) for _, t in AWKWARD)
+    rows = gru_lm.encoded(d, spark.sparkContext.broadcast(lex), "doc_id", "text", F.lit(True)).collect()
+    assert sorted(len(r.units) // 2 - 2 for r in rows) == sorted(len(split(t)) for _, t in AWKWARD) and len({r.uid for r in rows}) == len(rows)
 
 
 @pytest.mark.parametrize("head", [gru_lm.HEAD, 300])
@@ -496,6 +670,32 @@ def test_secrets(spark):
     assert secret_scan.scan(rows.limit(0)).count() == 0
 
 
+def test_random_strings_of_any_alphabet_are_found():
+    ratio, rng = secret_scan.Ratio(), random.Random(1)
+    for alphabet, n in (("abcdefghijklmnopqrstuvwxyz", 40), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 40), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 40)):
+        some = ["".join(rng.choice(alphabet) for _ in range(n)) for _ in range(200)]
+        assert sum(bool(secret_scan.token_spans(f"a {s} b", [], ratio, 2.0)) for s in some) >= 190
+    for s in ("MAX_CONNECTION_TIMEOUT_SECONDS_DEFAULT", "getElementByIdFromDocumentTree", "=" * 30, "id=550e8400-e29b-41d4-a716-446655440000", "sha=" + "0123456789abcdef" * 4, "path/to/some/long/page/12345678901234567890"):
+        assert secret_scan.token_spans(s, [], ratio, 2.0) == []
+
+
+def test_parts_of_a_run_are_measured():
+    ratio = secret_scan.Ratio()
+    words = "a_long_natural_name_of_some_setting_or_other_that_goes_on_and_on_for_long_enough"
+    text = f"{words}/{RANDOM}"
+    assert secret_scan.token_spans(text, [], ratio, 1.6) == [(len(words) + 1, len(text), "token")]
+    text = f"token=abcdef.{RANDOM}/{RANDOM} 550e8400-e29b-41d4-a716-446655440000={RANDOM}"
+    base = secret_scan.base_spans(text)
+    at = text.index("=q")
+    assert base[0][2] == "assign" and [x[:2] for x in secret_scan.token_spans(text, base, ratio, 2.0)] == [(at, at + 1 + len(RANDOM))]
+
+
+def test_false_positives(spark):
+    ratio = secret_scan.Ratio()
+    every = [(t, secret_scan.base_spans(t or "")) for t in texts(spark).values()]
+    assert sum(len(secret_scan.token_spans(t or "", b, ratio, 2.0)) for t, b in every) == 0
+
+
 def test_secret_query(spark):
     got = {r.doc_id: r for r in secret_scan.query(spark, DIR).collect()}
     for k, t in texts(spark).items():
@@ -581,6 +781,51 @@ def test_alignments_of_repeated_ids(spark):
     assert found.count() == 4
 
 
+def test_nearest_query_against_all_pairs(spark, monkeypatch):
+    """Every pair of a query and a recording aligned on its own, in any blocks."""
+    for name, value in (("QUERIES", 3), ("ITEMS", 400)):
+        monkeypatch.setattr(chroma, name, value)
+    rng = np.random.default_rng(8)
+    pool = [rng.integers(0, 1 << 32, 150, np.uint32) for _ in range(4)]
+    prints = {}
+    for i in range(60):
+        x = pool[rng.integers(4)]
+        a = int(rng.integers(0, 60))
+        prints[int(i * 20)] = altered(rng, x[a : a + int(rng.integers(20, 90))], rng.choice([0.0, 0.02, 0.1, 0.3]))
+    prints[7], prints[1100] = np.zeros(0, np.uint32), np.zeros(70, np.uint32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in prints.items()], "id long, items array<long>")
+    want = set()
+    for q in (i for i in prints if i % 100 == 0):
+        for i, v in prints.items():
+            if i != q and len(v) and len(prints[q]) and (x := chroma.align(prints[q], v, least=chroma.OVERLAP)) and x[2] <= chroma.RATE * 32 * x[1]:
+                want.add((q, i, *x))
+    found = chroma.nearest_query(table, col("id") % 100 == 0)
+    got = {tuple(r) for r in chroma.pairs(found, col("id") % 100 == 0).select("query_id", "id", "offset", "overlap", "bit_errors").collect()}
+    assert got == want and len(want) > 10
+    best = {r.id: r for r in found.collect()}
+    for i in prints:
+        mine = [(e / k, q, e, o) for q, j, o, k, e in want if j == i]
+        assert (best[i].query_id is None) == (not mine) and (not mine or (best[i].bit_errors / best[i].overlap, best[i].query_id) == min(mine)[:2])
+
+
+def test_stereo_long_and_empty_media(spark):
+    import io
+    import wave
+
+    x = tune(3)
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(2)
+        w.setsampwidth(2)
+        w.setframerate(4000)
+        w.writeframes(np.repeat((x * 32767).astype("<i2"), 2).tobytes())
+    assert (chroma.fingerprint(out.getvalue()) == chroma.fingerprint(chroma.write_wav(x, 4000))).all()
+    long = np.concatenate([tune(s) for s in range(40)])
+    assert len(chroma.fingerprint(chroma.write_wav(long, 4000))) == (len(long) - 1024) // 256 + 1 - chroma.SPAN + 1
+    none = chroma.fingerprints(spark.createDataFrame([], "id long, audio binary, items int"), "id", "audio")
+    assert chroma.nearest_query(none, col("id") % 100 == 0).count() == 0
+
+
 def test_items_are_box_sums():
     frames = np.random.default_rng(3).random((40, 12))
     a = chroma.items(frames)
@@ -606,20 +851,93 @@ def test_pipeline(spark):
     packed = p.pack(spark, mixed, DIR).toPandas()
     check_packing(packed, 2048)
     assert packed.groupby("doc_id").length.sum().sum() == sum(len(encoder()(r.text)) // 4 + 1 for r in mixed.collect())
-    assert p.run(spark, DIR).count() == len(packed)
+
+
+def test_run_takes_the_stages_in_turn(spark, monkeypatch):
+    import corpus_pipeline as p
+
+    assert [n for n, _ in p.STAGES] == ["quality", "duplicates", "secrets", "mix", "pack"]
+    some = lambda k: lambda spark, docs, sf_dir: docs.where(col("doc_id") % k == 0)
+    monkeypatch.setattr(p, "STAGES", [("two", some(2)), ("three", some(3)), ("count", lambda spark, docs, sf_dir: docs.agg(F.count("*").alias("n")))])
+    assert p.run(spark, DIR).first().n == sum(k % 6 == 0 for k in texts(spark))
 
 
 def test_pipeline_cases(spark, tmp_path):
+    """Null, empty and long texts, null and repeated ids, other columns with the names of inner ones."""
     import corpus_pipeline as p
 
-    rows = [(k, t, None, ["a", None][i % 2], None) for i, (k, t) in enumerate(AWKWARD)]
+    rows = [(k, t, None, ["a", None][i % 2], None) for i, (k, t) in enumerate(AWKWARD)] + [(50, "all of it but once", "en", "a", 3), (None, "five six seven eight nine ten", "en", "a", 3)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     spark.createDataFrame([(5, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    for table in (d, d.limit(0)):
-        out = table
-        for _, stage in p.STAGES:
-            out = stage(spark, out, str(tmp_path))
-        assert out.count() >= 0
+    good = p.quality(spark, d, str(tmp_path)).cache()
+    assert good.columns == d.columns and good.count() == len(rows)  # one good label: all are good
+    one = p.duplicates(spark, good, str(tmp_path)).cache()
+    near = {(r.doc_id or 0, r.text or "") for r in one.collect()}
+    assert one.columns == d.columns and near == {(k or 0, t or "") for k, t, *_ in rows} - {(6, LONG), (9, "one")}
+    safe = p.secrets(spark, one, str(tmp_path)).cache()
+    mixed = p.mix(spark, safe, str(tmp_path)).cache()
+    assert safe.count() == one.count() and mixed.columns == d.columns
+    sizes = {s: [len(split(r.text)) for r in one.collect() if r.source == s] for s in ("a", None)}
+    want = dict(zip(("a", None), water([sum(x) for x in sizes.values()], [3, 1]), strict=True))
+    for s in ("a", None):
+        assert abs(sum(len(split(r.text)) for r in mixed.collect() if r.source == s) - want[s]) <= least_miss(sizes[s], want[s]) + 1
+    assert {(r.doc_id, r.text) for r in mixed.collect()} <= {(r.doc_id, r.text) for r in safe.collect()}
+    packed = p.pack(spark, mixed, str(tmp_path)).toPandas()
+    check_packing(packed, 2048)
+    assert packed.length.sum() == sum(len(encoder()(r.text)) // 4 + 1 for r in mixed.collect())
+    out = d.limit(0)
+    for _, stage in p.STAGES:
+        out = stage(spark, out, str(tmp_path))
+        assert out.count() == 0
+
+
+def test_pipeline_mix_without_ids(spark):
+    """Rows without an id, and rows alike in every column: each source still comes to its target, and no row is taken more than twice."""
+    import corpus_pipeline as p
+
+    rng = random.Random(11)
+    rows = [(None if rng.random() < 0.5 else rng.randrange(50), " ".join(["w"] * rng.choice([1, 2, 5, 9, 17])), None, rng.choice("abc"), None) for _ in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({n: F.lit(1) for n in ("_one", "one", "copies", "_copies", "rows", "size", "_rows")})
+    got = p.mix(spark, d, DIR)
+    assert got.columns == d.columns
+    sizes = [sum(len(r[1].split()) for r in rows if r[3] == s) for s in "abc"]
+    taken, had = got.collect(), Counter((r[0], r[1], r[3]) for r in rows)
+    for s, want in zip("abc", water(sizes, [3, 1, 2]), strict=True):
+        assert abs(sum(len(r.text.split()) for r in taken if r.source == s) - want) <= 1
+    assert all(n <= 2 * had[k] for k, n in Counter((r.doc_id, r.text, r.source) for r in taken).items())
+
+
+INNER = ["n", "key", "id", "text_", "sig", "score", "size", "source_size", "target", "copies", "extra", "whole", "length", "_length", "_before", "_rank", "_size", "_source", "_hash", "_bucket", "_n", "_within", "_at", "sequence_id", "offset", "piece_", "_of", "of", "secrets_", "kind", "start_", "band", "_band", "documents", "tokens", "units", "learn", "uid", "_uid", "_known", "_logs", "h", "c", "_may", "_stays", "comp", "x", "label", "_label", "_key", "_text"]
+
+
+def test_columns_of_inner_names(spark):
+    """Other columns stay, whatever their names, and change nothing."""
+    base = spark.createDataFrame([(k, t, "a" if i % 2 else None, i, len(split(t)) + 1) for i, (k, t) in enumerate(AWKWARD)], "doc_id long, text string, source string, piece int, len long")
+    odd = base.withColumns({c: F.lit(f"own {c}") for c in INNER})
+
+    def same(f, *new):
+        a, b = f(base), f(odd)
+        shown = sorted(a.columns)
+        key = lambda df: sorted(map(str, df.select(shown).collect()))
+        assert key(a) == key(b.select(shown))
+        rest = [c for c in INNER if c in b.columns and c not in a.columns and c not in new]
+        assert all(r[c] == f"own {c}" for r in b.select(rest).distinct().collect() for c in rest)
+        return b
+
+    labels = spark.createDataFrame([(5, 1), (8, 0)], "doc_id long, quality int")
+    field = quality_crf.fit(odd, labels)
+    assert np.allclose(field.weight, quality_crf.fit(base, labels).weight)
+    same(lambda d: quality_crf.score(d, field), "score")
+    mixed = same(lambda d: mix_budget.mix(d.withColumn("words", col("len")), size="words", key=("doc_id", "piece")), "source_size", "target", "copies")
+    assert {"extra", "whole", "_rank", "_size", "_source"} <= set(mixed.columns)
+    packed = same(lambda d: pack_ga.pack(d.withColumn("len", F.least("len", F.lit(64))), capacity=64, length="len", islands=2), "sequence_id", "offset")
+    assert len(set(packed.columns)) == len(packed.columns) and {"_length", "_before"} <= set(packed.columns)
+    same(lambda d: pack_ga.pieces(d, capacity=64))
+    same(lambda d: token_histogram.lengths(d, out="long"))
+    same(lambda d: token_histogram.histogram(d, length="len"))
+    same(secret_scan.scan)
+    same(secret_scan.redact)
+    same(lambda d: gru_lm.score(d, F.lit(True), least=1).select("doc_id", "n_tokens", "n_known", F.round("base_score", 6)))
 
 
 def test_queries_give_rows(spark):
