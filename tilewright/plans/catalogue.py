@@ -13,6 +13,7 @@ from ..functions import geometry, packed, raster
 from ..operators import assign, dedup, pyramid, tiling, tissue
 from ..operators.project import project
 from ..sources import documents, files, maps
+from ..sources.shared import stored
 from . import fixtures as fx
 from .chain import fix_borders as chain
 from .chain import overlaps, unique_cells
@@ -362,7 +363,7 @@ planes AS (SELECT sa, sb, s + k k, [-1, 1, 0, 0, -b, b, b, -b][k] nx, [0, 0, -1,
   [-x0, x1, -y0, y1, -(b * x0 + a * y0 + a * b), b * x1 - a * y0 - a * b, b * x1 + a * y1 - a * b, -b * x0 + a * y1 - a * b][k] d FROM sides, unnest(range(1, 9)) t(k)),
 crossed AS (SELECT l.sa, l.sb, (l.d * m.ny - m.d * l.ny) / (l.nx * m.ny - m.nx * l.ny) px, (l.nx * m.d - m.nx * l.d) / (l.nx * m.ny - m.nx * l.ny) py
   FROM planes l JOIN planes m ON l.sa = m.sa AND l.sb = m.sb AND l.k < m.k WHERE l.nx * m.ny <> m.nx * l.ny),
-corners AS (SELECT DISTINCT sa, sb, round(px, 8) px, round(py, 8) py FROM (SELECT c.sa, c.sb, px, py FROM crossed c JOIN planes p ON c.sa = p.sa AND c.sb = p.sb GROUP BY ALL HAVING max(p.nx * px + p.ny * py - p.d) <= 1e-7)),
+corners AS (SELECT DISTINCT sa, sb, round(px, 11) px, round(py, 11) py FROM (SELECT c.sa, c.sb, px, py FROM crossed c JOIN planes p ON c.sa = p.sa AND c.sb = p.sb GROUP BY ALL HAVING max(p.nx * px + p.ny * py - p.d) <= 1e-9)),
 turned AS (SELECT *, atan2(py - avg(py) OVER w, px - avg(px) OVER w) angle FROM corners WINDOW w AS (PARTITION BY sa, sb)),
 ring AS (SELECT *, coalesce(lead(px) OVER w, first_value(px) OVER w) qx, coalesce(lead(py) OVER w, first_value(py) OVER w) qy FROM turned WINDOW w AS (PARTITION BY sa, sb ORDER BY angle)),
 common AS (SELECT sa, sb, abs(sum(px * qy - qx * py)) / 2 inter FROM ring GROUP BY ALL)"""
@@ -371,8 +372,9 @@ common AS (SELECT sa, sb, abs(sum(px * qy - qx * py)) / 2 inter FROM ring GROUP
 @query(f"""WITH {','.join((fx.DET, fx.FLAGGED, fx.RETAINED, fx.FIRST, fx.EDGES, _POLY))}
 SELECT m.slide, sa seq_a, sb seq_b, round(inter, 6) inter FROM meets m JOIN common USING (sa, sb) JOIN firsts a ON a.seq = sa JOIN firsts b ON b.seq = sb WHERE inter / (0.875 * least(a.area, b.area)) >= 0.01""")
 def overlap_edges_poly(spark, sf_dir):
-    """The same with octagons in the boxes, verified on the polygons."""
-    cells = project(fx.det(spark, sf_dir))
+    """The same with octagons in the boxes, verified on the polygons. The cells are stored first, as detections are: else every corner would repeat the expressions that
+    they come from."""
+    cells = project(stored(fx.det(spark, sf_dir), "detections"))
     a, b = (col("x1") - col("x0")) / 4, (col("y1") - col("y0")) / 4
     at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
     x0, x1, y0, y1 = (col(c) for c in ("x0", "x1", "y0", "y1"))
