@@ -328,9 +328,14 @@ def neighbour_tiles(spark, sf_dir):
     return rows.select("slide", "seq", "ordinal", F.concat_ws("_", "t.col", "t.row").alias("tile"))
 
 
+def _stored_cells(spark, sf_dir):
+    """The cells as a table of their own, as detections are: the chain reads them several times, and would repeat the expressions that they come from."""
+    return stored(fx.det(spark, sf_dir), "detections")
+
+
 @query(f"WITH {fx.DET}, {fx.FLAGGED}, {fx.RETAINED} SELECT slide, seq, safe, touching FROM retained")
 def border_retention(spark, sf_dir):
-    return dedup.retain_border(project(fx.det(spark, sf_dir))).select("slide", "seq", "safe", "touching")
+    return dedup.retain_border(project(_stored_cells(spark, sf_dir))).select("slide", "seq", "safe", "touching")
 
 
 _COPIES = f"doubled AS (SELECT * FROM retained UNION ALL SELECT * REPLACE (seq + {fx.COPY} AS seq, false AS safe) FROM retained WHERE seq % 10 = 0)"
@@ -338,13 +343,13 @@ _COPIES = f"doubled AS (SELECT * FROM retained UNION ALL SELECT * REPLACE (seq +
 
 @query(f"WITH {fx.DET}, {fx.FLAGGED}, {fx.RETAINED}, {_COPIES} SELECT slide, seq, safe FROM doubled QUALIFY row_number() OVER (PARTITION BY slide, trunc(cx), trunc(cy) ORDER BY safe DESC, seq) = 1")
 def keep_first(spark, sf_dir):
-    rows = dedup.retain_border(project(fx.det(spark, sf_dir)))
+    rows = dedup.retain_border(project(_stored_cells(spark, sf_dir)))
     copies = rows.where("seq % 10 = 0").withColumns({"seq": col("seq") + fx.COPY, "safe": F.lit(False)})
     return dedup.keep_first(rows.unionByName(copies)).select("slide", "seq", "safe")
 
 
 def _pairs(spark, sf_dir):
-    return overlaps(project(fx.det(spark, sf_dir)))
+    return overlaps(project(_stored_cells(spark, sf_dir)))
 
 
 @query(f"WITH {','.join((fx.DET, fx.FLAGGED, fx.RETAINED, fx.FIRST, fx.EDGES))} SELECT slide, seq_a, seq_b, inter, round(inter / area_a::double, 6) ratio_a, round(inter / area_b::double, 6) ratio_b FROM edges")
@@ -372,9 +377,8 @@ common AS (SELECT sa, sb, abs(sum(px * qy - qx * py)) / 2 inter FROM ring GROUP
 @query(f"""WITH {','.join((fx.DET, fx.FLAGGED, fx.RETAINED, fx.FIRST, fx.EDGES, _POLY))}
 SELECT m.slide, sa seq_a, sb seq_b, round(inter, 6) inter FROM meets m JOIN common USING (sa, sb) JOIN firsts a ON a.seq = sa JOIN firsts b ON b.seq = sb WHERE inter / (0.875 * least(a.area, b.area)) >= 0.01""")
 def overlap_edges_poly(spark, sf_dir):
-    """The same with octagons in the boxes, verified on the polygons. The cells are stored first, as detections are: else every corner would repeat the expressions that
-    they come from."""
-    cells = project(stored(fx.det(spark, sf_dir), "detections"))
+    """The same with octagons in the boxes, verified on the polygons."""
+    cells = project(_stored_cells(spark, sf_dir))
     a, b = (col("x1") - col("x0")) / 4, (col("y1") - col("y0")) / 4
     at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
     x0, x1, y0, y1 = (col(c) for c in ("x0", "x1", "y0", "y1"))
@@ -404,7 +408,7 @@ def component_members(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {fx.CHAIN} SELECT slide, root, seq, area FROM largest")
 def max_area_cell(spark, sf_dir):
-    return unique_cells(fx.det(spark, sf_dir)).select("slide", "root", "seq", "area")
+    return unique_cells(_stored_cells(spark, sf_dir)).select("slide", "root", "seq", "area")
 
 
 @query(f"WITH {fx.DET}, {fx.FLAGGED} SELECT slide, seq, y0 * 0.5 y0, y1 * 0.5 y1, x0 * 0.5 x0, x1 * 0.5 x1, cx * 0.5 cx, cy * 0.5 cy FROM projected".replace("0.5", "0.5::double"))
@@ -463,7 +467,7 @@ def json_round_trip(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {fx.CHAIN}, {fx.GRID}, {_HALF.format(source='largest')}, {_TILED} SELECT slide, tile_seq, col, row_ AS row, seq, CASE WHEN seq IS NOT NULL THEN k END::int cell_id, cell_type, {_LOCAL} FROM tiled")
 def fix_borders(spark, sf_dir):
-    rows = chain(fx.det(spark, sf_dir), fx.grid(spark, sf_dir), ratio=0.5)
+    rows = chain(_stored_cells(spark, sf_dir), fx.grid(spark, sf_dir), ratio=0.5)
     return rows.select("slide", "tile_seq", "col", "row", "seq", "cell_id", "cell_type", "y0", "y1", "x0", "x1", "cx", "cy")
 
 
