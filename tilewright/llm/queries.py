@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann_forest, chroma, gru_lm, mix_budget, ngram_join, pack_ga, periodic_runs, quality_crf, secret_scan, token_histogram, url_reputation
+from . import ann_forest, chroma, gru_lm, mix_budget, ngram_join, pack_ga, periodic_runs, quality_crf, quality_votes, secret_scan, source_divergence, token_histogram, url_reputation
 
 QUERIES = {
     "op1_quality_crf": quality_crf.query,
@@ -16,5 +16,7 @@ QUERIES = {
     "op9_secret_scan": secret_scan.query,
     "op10_chroma": chroma.query,
     "op11_periodic_runs": periodic_runs.query,
+    "op12_quality_votes": quality_votes.query,
+    "op13_source_divergence": source_divergence.query,
 }
-SQL = {"op2_ngram_join": ngram_join.SQL, "op3_url_reputation": url_reputation.SQL}
+SQL = {"op2_ngram_join": ngram_join.SQL, "op3_url_reputation": url_reputation.SQL, "op12_quality_votes": quality_votes.SQL, "op13_source_divergence": source_divergence.SQL}
