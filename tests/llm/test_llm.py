@@ -99,8 +99,13 @@ def test_quality(spark):
     odd = quality_crf.score(docs(spark), field, out="score").toPandas()
     assert len(odd) == len(AWKWARD) and odd.score.between(0, 1).all() and {"n", "key"} <= set(odd.columns)
     few = quality_crf.fit(d, labels, lines=300)
-    assert quality_crf.score(docs(spark), quality_crf.fit(d, labels, lines=0)).where("score <> 0.5").count() == 0
     assert few.weight.any() and not np.allclose(few.weight, field.weight)
+    # documents over the bound are left out one by one; where all are, the shortest is fitted on
+    long = spark.createDataFrame([(1, "x\n" * 500), (2, "good line here.\n" * 3), (3, "### !! $$$\n" * 4), (4, "y\n" * 900)], SCHEMA)
+    marks = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (4, 0)], "doc_id long, quality int")
+    assert np.allclose(quality_crf.fit(long, marks, lines=20).weight, quality_crf.fit(long.where("doc_id IN (2, 3)"), marks).weight)
+    least = quality_crf.fit(long, marks, lines=1)
+    assert quality_crf.score(long, least).where("score <> 0.5").count() == 4
     none = quality_crf.fit(d, labels.limit(0))
     assert quality_crf.score(docs(spark), none).where("score <> 0.5").count() == 0
     assert quality_crf.score(docs(spark, []), field).count() == 0
@@ -910,10 +915,37 @@ def test_pipeline_mix_without_ids(spark):
 INNER = ["n", "key", "id", "text_", "sig", "score", "size", "source_size", "target", "copies", "extra", "whole", "length", "_length", "_before", "_rank", "_size", "_source", "_hash", "_bucket", "_n", "_within", "_at", "sequence_id", "offset", "piece_", "_of", "of", "secrets_", "kind", "start_", "band", "_band", "documents", "tokens", "units", "learn", "uid", "_uid", "_known", "_logs", "h", "c", "_may", "_stays", "comp", "x", "label", "_label", "_key", "_text"]
 
 
+#: Names with signs that SQL texts would have to quote.
+SIGNS = ["a`b", "a.b", "a b,c"]
+
+
+def test_names_in_another_case(spark):
+    """Outputs replace columns of their name in any case; the pipeline's stages keep all others."""
+    import corpus_pipeline as p
+
+    names = [c.upper() for c in INNER if c != "n"] + SIGNS
+    d = docs(spark).select("doc_id", "text").withColumns({c: F.lit(f"own {c}") for c in names})
+    labels = spark.createDataFrame([(5, 1), (8, 0)], "doc_id long, quality int")
+    scored = quality_crf.score(d, quality_crf.fit(d, labels))
+    assert "SCORE" not in scored.columns and scored.columns[-1] == "score" and scored.where("score BETWEEN 0 AND 1").count() == len(AWKWARD)
+    d = d.withColumn("Secrets", F.lit(1))
+    assert secret_scan.scan(d).where("size(secrets) >= 0").count() == len(AWKWARD)
+    assert secret_scan.redact(d).columns == d.columns and secret_scan.redact(d).drop("text").distinct().count() == len(AWKWARD) - 1
+    assert token_histogram.lengths(d).where("length >= 0").count() == len(AWKWARD)
+    one = ngram_join.one_of_each(d)
+    assert one.columns == d.columns and one.count() == 8
+    items = d.select("doc_id", F.lit(0).alias("piece"), F.lit(3).alias("len"), *[F.col(f"`{c.replace('`', '``')}`") for c in SIGNS])
+    assert pack_ga.pack(items, length="len").columns == [*items.columns, "sequence_id", "offset"]
+    whole = d.withColumns({"source": F.lit("a"), "_score": F.lit(1.0)})
+    for stage in (p.secrets, p.mix):
+        assert stage(spark, whole, DIR).columns == whole.columns
+    assert p.quality(spark, whole, DIR).columns == whole.columns
+
+
 def test_columns_of_inner_names(spark):
     """Other columns stay, whatever their names, and change nothing."""
     base = spark.createDataFrame([(k, t, "a" if i % 2 else None, i, len(split(t)) + 1) for i, (k, t) in enumerate(AWKWARD)], "doc_id long, text string, source string, piece int, len long")
-    odd = base.withColumns({c: F.lit(f"own {c}") for c in INNER})
+    odd = base.withColumns({c: F.lit(f"own {c}") for c in [*INNER, *SIGNS]})
 
     def same(f, *new):
         a, b = f(base), f(odd)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..sources.shared import checkpointed, discard, shared_dir, stored  # noqa: F401
+from .text import released
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,6 +49,36 @@ def plain(column: str) -> str:
     return "`" + column.replace("`", "``") + "`"
 
 
+def place(df: DataFrame, name: str) -> int:
+    """Where a column is; a name in another case will do if there is none in this one."""
+    if name in df.columns:
+        return df.columns.index(name)
+    return [c.lower() for c in df.columns].index(name.lower())
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, list[pa.Array]]]], added: StructType, in_place: bool = False) -> DataFrame:
+    """df with columns made in tasks: `run` gives batches of df's rows, or slices of them, each with an array for every added field.
+
+    Columns of an added name, whatever its case, are replaced (in_place: where they were, else by columns at the end); others stay. Inside, columns have names by place, so any signs may be in theirs.
+    """
+    gone = {f.name.lower() for f in added}
+    kept = [i for i, f in enumerate(df.schema) if f.name.lower() not in gone]
+    fields = [*[df.schema[i] for i in kept], *added]
+    inner = [f"c{i}" for i in range(len(fields))]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, arrays in run(batches):
+            yield pa.RecordBatch.from_arrays([*[rows.column(i) for i in kept], *arrays], inner)
+
+    rows = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    out = rows.mapInArrow(released(task), StructType([StructField(n, f.dataType) for n, f in zip(inner, fields, strict=True)]))
+    if in_place:
+        at = [*kept, *[place(df, f.name) for f in added]]
+        order = sorted(range(len(fields)), key=at.__getitem__)
+        out, fields = out.select(*[inner[i] for i in order]), [fields[i] for i in order]
+    return out.toDF(*[f.name for f in fields])
+
+
 def seeded(seed: int, *columns: str) -> Column:
     """A hash that orders rows as if at random but always alike."""
     return F.xxhash64(F.lit(seed), *[F.col(c) for c in columns])

@@ -30,9 +30,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from ..operators.components import components
-from .common import discard, fresh, small_batches, stored, table
+from .common import discard, fresh, mapped, place, plain, small_batches, stored, table
 from .text import U64, lists, mix, released, shingle_sets, slices
 
 STAR = 4
@@ -534,23 +535,24 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     found = stored(named.join(groups, "comp").select(F.col("key").alias(row_key), F.col("sig").alias(row_sig), stay.alias(stays)), "suspects")
     bits = Bloom(found.select(F.xxhash64(row_key))).bits
 
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    at, last = place(docs, text), len(docs.columns)
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         for batch in batches:
-            here = Bloom.has(bits.value, batch.column(len(names)).to_numpy(zero_copy_only=False).view(U64))
-            at = np.flatnonzero(here)
-            own = batch.column(names.index(text)).take(pa.array(at))
+            here = Bloom.has(bits.value, batch.column(last).to_numpy(zero_copy_only=False).view(U64))
+            some = np.flatnonzero(here)
+            own = batch.column(at).take(pa.array(some))
             sigs = np.zeros(len(batch), np.int64)
             for a, _, data, offsets in slices(own):
                 for i, x in enumerate(shingle_sets(data, offsets, width), a):
-                    sigs[at[i]], here[at[i]] = (signature(x), True) if len(x) else (0, False)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(sigs), pa.array(here)], [*names, sig, may])
+                    sigs[some[i]], here[some[i]] = (signature(x), True) if len(x) else (0, False)
+            yield batch, [pa.array(here), pa.array(sigs)]
 
-    names = docs.columns
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{sig}` long", f"`{may}` boolean"])
-    rows = docs.withColumn(may, F.xxhash64(key)).mapInArrow(released(marked), schema)
+    rows = mapped(docs.withColumn(may, F.xxhash64(key)), marked, StructType([StructField(may, BooleanType()), StructField(sig, LongType())]))
     rest = rows.where(F.col(may)).join(found, F.col(key).eqNullSafe(F.col(row_key)) & (F.col(sig) == F.col(row_sig)), "left")
     alone, once = rest.where(F.col(stays).isNull()), rest.where(F.col(stays)).dropDuplicates([key, sig])
-    return rows.where(~F.col(may)).union(alone.select(rows.columns)).union(once.select(rows.columns)).select(names)
+    own = [F.col(plain(c)) for c in rows.columns]
+    return rows.where(~F.col(may)).union(alone.select(own)).union(once.select(own)).select([F.col(plain(c)) for c in docs.columns])
 
 
 def query(spark, sf_dir):

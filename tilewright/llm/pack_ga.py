@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import fresh, ranked, stored, table
+from .common import fresh, mapped, plain, ranked, stored, table
 from .text import released
 from .tokens import encoder
 
@@ -216,21 +217,20 @@ def pack(items: DataFrame, capacity: int = CAPACITY, key: tuple[str, ...] = ("do
     table_ = spark.sparkContext.broadcast(where)
     size, rank = fresh(items, "size", "rank")
     rows = ranked(items.withColumn(size, F.col(length).cast("long")), [size], list(key), seed, rank)
-    names = items.columns
+    last = len(items.columns)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         t = table_.value
         keys = (t[:, 0] << 44) + t[:, 1]
         for batch in batches:
-            size = batch.column(len(names)).to_numpy(zero_copy_only=False)
-            rank = batch.column(len(names) + 1).to_numpy(zero_copy_only=False) - 1
+            size = batch.column(last).to_numpy(zero_copy_only=False)
+            rank = batch.column(last + 1).to_numpy(zero_copy_only=False) - 1
             at = np.searchsorted(keys, (size << 44) + rank, "right") - 1
             k = rank - t[at, 1]
-            cols = [batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(t[at, 3] + k % t[at, 2]), pa.array(t[at, 4] + k // t[at, 2] * size)], [*names, "sequence_id", "offset"])
+            yield batch, [pa.array(t[at, 3] + k % t[at, 2]), pa.array(t[at, 4] + k // t[at, 2] * size)]
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", sequence_id long, offset long"
-    return rows.select(*names, size, rank).mapInArrow(place, schema)
+    out = mapped(rows.select(*[F.col(plain(c)) for c in items.columns], size, rank), placed, StructType([StructField(c, LongType()) for c in ("sequence_id", "offset")]))
+    return out.drop(size, rank)
 
 
 def query(spark, sf_dir):

@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import plain, table
-from .text import released, slices
+from .common import mapped, place, plain, table
+from .text import slices
 
 LEAST, TIMES = 6, 4
 #: Rounds of jumps before the few places left descend a table.
@@ -169,12 +169,10 @@ def numbered(rows: list[list[bytes]]) -> list[np.ndarray]:
 def find(docs: DataFrame, text: str = "text", found: str = "runs", collapsed: str = "collapsed", least: int = LEAST, times: int = TIMES) -> DataFrame:
     """Add the runs of each text, (start, length, period) in words by start and period, and its words without those that a run repeats, joined by one space: all
     that a run contains after its first period."""
-    kept = [f for f in docs.schema if f.name.lower() not in (found.lower(), collapsed.lower())]
-    at, names = docs.columns.index(text), [f.name for f in kept]
-    schema = StructType([*kept, StructField(found, ArrayType(RUN, False)), StructField(collapsed, StringType())])
-    inner = [i for i, f in enumerate(docs.schema) if f in kept]
+    at = place(docs, text)
+    schema = StructType([StructField(found, ArrayType(RUN, False)), StructField(collapsed, StringType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         for batch in batches:
             for a, b, data, offsets in slices(batch.column(at)):
                 rows = [data[p:q].tobytes().split() for p, q in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
@@ -190,10 +188,9 @@ def find(docs: DataFrame, text: str = "text", found: str = "runs", collapsed: st
                         row = [row[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
                     out.append(b" ".join(row))
                 each = pa.StructArray.from_arrays([pa.array(p, pa.int64()) for p in parts], ["start", "length", "period"])
-                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), each)
-                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in inner], lists, pa.array(out, pa.binary()).view(pa.string())], [*names, found, collapsed])
+                yield batch.slice(a, b - a), [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), each), pa.array(out, pa.binary()).view(pa.string())]
 
-    return docs.mapInArrow(released(run), schema)
+    return mapped(docs, run, schema)
 
 
 def with_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

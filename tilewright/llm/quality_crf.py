@@ -8,7 +8,7 @@ marginals, weighted by length.
 
 Null and empty texts are one empty line and get the score that the field gives to that. Texts of any length are scored whole, with all
 their lines. Without any labels every score is one half. Repeated rows are scored alike; labels that are null or
-neither 0 nor 1 are ignored. Ties do not arise. A column of the name of the output is replaced, others stay.
+neither 0 nor 1 are ignored. Ties do not arise. A column of the name of the output, whatever its case, is replaced, others stay.
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import stored, table
+from .common import mapped, place, stored, table
 from .text import lists, released, slices, word_hashes, words
 
 #: Labelled documents that the field is fitted on, and lines of them in all, at most.
@@ -174,8 +175,8 @@ class Field:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, lines: int = LINES) -> Field:
-    """Fit on at most `sample` labelled documents, chosen by a hash of the key; of these, in that order, as many as have `lines` lines together, however
-    long single ones are. The line features of those come to the driver."""
+    """Fit on at most `sample` labelled documents, chosen by a hash of the key; of these, in that order, each that still fits into `lines` lines together. Where
+    not one does, the shortest is taken whole, so there is a fit wherever there is a label. The line features of those come to the driver."""
     chosen = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label")).where("_key IS NOT NULL AND _label IN (0, 1)")
     chosen = chosen.orderBy(F.xxhash64("_key"), "_key", "_label").limit(sample)
     rows = docs.select(F.col(key).alias("_of"), F.col(text).alias("_text")).join(F.broadcast(chosen), F.col("_of") == F.col("_key")).select("_key", "_text", "_label")
@@ -189,10 +190,16 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     made = stored(rows.mapInArrow(released(run), f"id {labels.schema[key].dataType.simpleString()}, n long, x array<float>, label int"), "lines")
     made = made.withColumn("at", F.xxhash64("id", "n", "label"))
-    sizes = made.orderBy("at").select("at", "n").limit(sample).toPandas()  # numbers of lines alone; rows of one `at` have one size
-    total = sizes["n"].cumsum()
-    last = sizes["at"][total <= lines]
-    got = made.where(F.col("at") <= int(last.max())).orderBy("at", "x").limit(sample).toArrow() if len(last) else []
+    sizes = made.groupBy("at").agg(F.sum("n").alias("n")).orderBy("at").limit(sample).toPandas()  # numbers of lines alone
+    taken, total = [], 0
+    for at, n in zip(sizes["at"].tolist(), sizes["n"].tolist(), strict=True):
+        if total + n <= lines:
+            taken.append((at,))
+            total += n
+    if taken:
+        got = made.join(F.broadcast(docs.sparkSession.createDataFrame(taken, "at long")), "at").orderBy("at", "x").limit(sample).toArrow()
+    else:
+        got = made.orderBy("n", "at", "x").limit(1).toArrow()
     if not len(got):
         return Field.blank()
     n = np.array([len(v) // OWN for v in got["x"]])
@@ -202,17 +209,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 def score(docs: DataFrame, field: Field, text: str = "text", out: str = "score") -> DataFrame:
     """Add the score, from 0 to 1."""
-    names = [c for c in docs.columns if c != out]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != out) + f", `{out}` double"
+    at = place(docs, text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text))
-            got = [field.score(data, offsets) for _, _, data, offsets in slices(texts)]
-            kept = [batch.column(batch.schema.get_field_index(n)) for n in names]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.concatenate(got) if got else np.zeros(0))], [*names, out])
+            got = [field.score(data, offsets) for _, _, data, offsets in slices(batch.column(at))]
+            yield batch, [pa.array(np.concatenate(got) if got else np.zeros(0))]
 
-    return docs.mapInArrow(released(run), schema)
+    return mapped(docs, run, StructType([StructField(out, DoubleType())]))
 
 
 def fold(key: Column, n: int) -> Column:

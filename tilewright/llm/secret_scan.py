@@ -7,7 +7,7 @@ a run first; what is left and long enough is measured whole, and else its parts
 are measured in small letters too, as the vocabulary knows few capital ones. Nothing else is left out: slugs and names have to pass by their ratio.
 
 Offsets are code points, ends exclusive. Null and empty texts have no spans. Repeated rows are scanned one by
-one. Texts of any length are scanned whole. Spans that start together come in the order of KINDS. A column of the name of the output is replaced.
+one. Texts of any length are scanned whole. Spans that start together come in the order of KINDS. A column of the name of the output, whatever its case, is replaced.
 """
 
 from __future__ import annotations
@@ -20,9 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import table
-from .text import released, runs, slices
+from .common import mapped, place, table
+from .text import runs, slices
 
 KINDS = ("assign", "access", "hex", "token")
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -36,7 +37,7 @@ UUID = r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
 KNOWN = re.compile(rf"(?<![A-Za-z0-9])(?:{UUID}|[0-9]+|[0-9a-f]+|[0-9A-F]+)(?![A-Za-z0-9])")
 PART = re.compile(r"[A-Za-z0-9]+")
 LEAST = 20
-SPANS = "array<struct<kind:string,start:int,end:int>>"
+SPANS = ArrayType(StructType([StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())]))
 _RUN = np.zeros(256, bool)
 _RUN[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"]] = True
 
@@ -115,23 +116,18 @@ def _found(texts: pa.Array, measure: Ratio, most: float) -> Iterator[tuple[str |
         yield s, spans
 
 
-def _schema(df: DataFrame, *without: str) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in without)
-
-
 def scan(df: DataFrame, text: str = "text", out: str = "secrets", ratio: float = 2.0, vocabulary: str | None = None) -> DataFrame:
     """Add an array of (kind, start, end), by start and then kind, to df."""
-    names = df.columns
+    at = place(df, text)
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         measure = Ratio(vocabulary)
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            found = [[{"kind": k, "start": a, "end": b} for a, b, k in spans] for _, spans in _found(batch.column(names.index(text)), measure, ratio)]
-            kept = [(n, batch.column(i)) for i, n in enumerate(names) if n != out]
-            yield pa.RecordBatch.from_arrays([c for _, c in kept] + [pa.array(found, kind)], [n for n, _ in kept] + [out])
+            found = [[{"kind": k, "start": a, "end": b} for a, b, k in spans] for _, spans in _found(batch.column(at), measure, ratio)]
+            yield batch, [pa.array(found, kind)]
 
-    return df.mapInArrow(released(run), ", ".join(filter(None, (_schema(df, out), f"`{out}` {SPANS}"))))
+    return mapped(df, run, StructType([StructField(out, SPANS)]))
 
 
 def masked(s: str, spans: list[tuple[int, int, str]], mark: str) -> str:
@@ -146,17 +142,15 @@ def masked(s: str, spans: list[tuple[int, int, str]], mark: str) -> str:
 
 def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]", ratio: float = 2.0, vocabulary: str | None = None) -> DataFrame:
     """df with a mark in place of every found span of the text."""
-    names = df.columns
+    at = place(df, text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         measure = Ratio(vocabulary)
         for batch in batches:
-            at = names.index(text)
             own = batch.column(at)
-            found = pa.array([masked(s, spans, mark) if spans else s for s, spans in _found(own, measure, ratio)], own.type)
-            yield pa.RecordBatch.from_arrays([found if i == at else c for i, c in enumerate(batch.columns)], names)
+            yield batch, [pa.array([masked(s, spans, mark) if spans else s for s, spans in _found(own, measure, ratio)], own.type)]
 
-    return df.mapInArrow(released(run), _schema(df))
+    return mapped(df, run, StructType([df.schema[at]]), in_place=True)
 
 
 def query(spark, sf_dir):

@@ -14,9 +14,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import stored, table
-from .text import released
+from .common import mapped, place, stored, table
 from .tokens import encoder
 
 BAND = 1024
@@ -24,17 +24,15 @@ BAND = 1024
 
 def lengths(docs: DataFrame, text: str = "text", out: str = "length", tokenizer: str | None = None) -> DataFrame:
     """Add the number of tokens of the whole text."""
-    names = [c for c in docs.columns if c != out]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != out) + f", `{out}` long"
+    at = place(docs, text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         encode = encoder(tokenizer)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text))
-            n = pa.array([len(encode(texts[i].as_py())) // 4 for i in range(len(texts))], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), n], [*names, out])
+            texts = batch.column(at)
+            yield batch, [pa.array([len(encode(texts[i].as_py())) // 4 for i in range(len(texts))], pa.int64())]
 
-    return docs.mapInArrow(released(run), schema)
+    return mapped(docs, run, StructType([StructField(out, LongType())]))
 
 
 def histogram(docs: DataFrame, length: str = "length", band: int = BAND) -> DataFrame:
