@@ -7,7 +7,7 @@ mix        documents are repeated or left out so that sources come to their targ
 pack       texts are encoded, cut and packed into sequences
 
 Each stage takes all that the one before kept. All but the last return the columns of documents; n_chars follows the
-text. Null and empty texts, repeated rows and empty tables are treated as each operator says.
+text. Null and empty texts, repeated rows and empty tables are treated as each operator says. Further columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ ORACLE_SQL = None
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(quality_crf.fold(F.col("doc_id"), 3) != 1)
     field = quality_crf.fit(docs, labels)
-    return quality_crf.score(docs, field, out="_score").where("_score >= 0.5").drop("_score")
+    (score,) = fresh(docs, "score")
+    return quality_crf.score(docs, field, out=score).where(F.col(score) >= 0.5).drop(score)
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +47,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = stored(taken.where(F.col(copies) > 0).select(F.col("one").alias(f"{one}_"), F.col("two").alias(f"{two}_"), copies, rows), "taken")
     full = named.join(taken, (F.col(one) == F.col(f"{one}_")) & (F.col(two) == F.col(f"{two}_")))
     each = F.floor(F.col(copies) / F.col(rows)).cast("int")
-    times = lambda d, n: d.withColumn(copies, F.explode(F.array_repeat(F.lit(0), n))).select(docs.columns)
+    times = lambda d, n: d.withColumn(copies, F.explode(F.array_repeat(F.lit(0), n))).select([F.col(plain(c)) for c in docs.columns])
     if taken.where(F.col(rows) > 1).isEmpty():
         return times(full, F.col(copies).cast("int"))
     rest = full.where(F.col(copies) % F.col(rows) > 0).dropDuplicates([one, two])
