@@ -21,9 +21,9 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("--n_workers", type=int, default=4, help="tasks at a time, in local mode")
     e.add_argument("--batch_size", type=int, default=8, help="windows that a model gets at once")
     e.add_argument("--verbose", type=int, default=0, help="above 0: print the statuses")
-    e.add_argument("--provider", default="tilewright.sources.maps:Discs", help="module:Class of the model's maps")
+    e.add_argument("--provider", default="tilewright.sources.maps:Discs", help="module:Class of the model's maps; a class with `of` is made from each standard descriptor")
     e.add_argument("--maps", default=None, help="keep raw maps there until documents are written, and go on from those of a run that broke off")
-    e.add_argument("--decoder", default="tilewright.sources.slides:Raw", help="module:Class that opens slides")
+    e.add_argument("--decoder", default="tilewright.sources.slides:Auto", help="module:Class that opens slides")
     return p
 
 
@@ -31,6 +31,7 @@ def main(args: list[str] | None = None) -> int:
     a = parser().parse_args(args)
     from pyspark.sql import SparkSession
 
+    from . import models
     from .plans.extract import extract
     from .sources.files import write_settings
     from .sources.shared import ship
@@ -42,15 +43,20 @@ def main(args: list[str] | None = None) -> int:
     write_settings(os.path.join(a.export_dir, "config.yaml"), vars(a), " ".join(sys.argv))
     module, _, cls = a.provider.partition(":")
     made = getattr(importlib.import_module(module), cls)
-    provider = [made(784, 6, mpp, 64) for mpp in (0.25, 0.5)] if cls == "Discs" else made()
+    if hasattr(made, "of"):
+        for d in models.STANDARD.values():
+            models.register(d, made.of)
+        provider = [models.provider(name) for name in models.STANDARD]
+    else:
+        provider = made()
     logging.basicConfig(filename=os.path.join(a.export_dir, "run.log"), format="%(asctime)s %(levelname)s %(message)s", level=logging.INFO, force=True)
     log = logging.getLogger("tilewright")
     log.info("extract %s", vars(a))
     start = time.perf_counter()
-    _, status = extract(spark, a.slides, os.path.join(a.export_dir, "cell_masks"), provider, a.decoder, a.tile_size, a.n_tiles, batch=a.batch_size, maps_at=a.maps)
+    _, status = extract(spark, a.slides, a.export_dir, provider, a.decoder, a.tile_size, a.n_tiles, batch=a.batch_size, maps_at=a.maps)
     rows = status.collect()
     for r in rows:
-        log.log(logging.ERROR if r.status == "failed" else logging.INFO, "%s: %s %s %s", *r)
+        log.log(logging.ERROR if r.status == "failed" else logging.INFO, "%s: %s %s %s (%s)", *r)
     log.info("%d slides in %.1f s", len(rows), time.perf_counter() - start)
     with open(os.path.join(a.export_dir, "status.csv"), "w", encoding="utf-8") as f:
         f.writelines(",".join(str(x or "") for x in r) + "\n" for r in rows)

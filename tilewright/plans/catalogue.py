@@ -499,7 +499,7 @@ def segment_tiles(spark, sf_dir):
     """Synthetic maps of one window for each nation's region, segmented, outlined and classified: every disc at its place."""
     keys = fx.table(spark, sf_dir, "nation").select(col("n_regionkey").cast("string").alias("slide_id"), (col("n_nationkey") % 5).cast("int").alias("icol"), F.floor(col("n_nationkey") / 5).cast("int").alias("irow"))
     provider = maps.Discs()
-    cells = maps.detect(maps.predict(keys, provider), provider.classes, provider.mpp)
+    cells = maps.cells_of(maps.detect(maps.predict(keys, provider), provider.classes, provider.mpp))
     return cells.select("slide_id", "icol", "irow", "top", "down", "left", "right", r6("cx").alias("cx"), r6("cy").alias("cy"), "cell_type", r6("prob").alias("prob"))
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import flat, shoelace, with_common_area
 from ..functions.packed import gray
-from ..operators import assign, dedup, pyramid, tissue
+from ..operators import assign, dedup, tissue
 from ..operators.project import OVERLAP, WINDOW, project
+from ..sources import documents, maps
 from ..sources.shared import stored
 
 
@@ -56,35 +57,27 @@ def detect_tissue(pixels: DataFrame, size: int | Column, height: int | Column, w
     return tissue.tissue_tiles(rows, size, height, width, most, "q", keys)
 
 
-def choose_levels(slides: DataFrame, targets: tuple[float, ...] = (0.25, 0.5)) -> DataFrame:
-    """slides (slide_id, properties, width, height) with mpp, chosen mpp, its level, parameters and a status."""
-    rows = slides.withColumn("mpp", pyramid.mpp_of(F.col("properties"))).withColumn("n_levels", pyramid.level_count(F.col("width"), F.col("height")))
-    chosen, level, status = pyramid.preferred(F.col("mpp"), F.col("n_levels"), targets)
-    rows = rows.withColumns({"target_mpp": chosen, "level": level, "status": status})
-    least, kernel = pyramid.parameters(F.col("target_mpp"))
-    return rows.withColumns({"min_size": least, "kernel": kernel})
-
-
-def run(windows: DataFrame, tiles: DataFrame, provider, ratio: float = 1.0, tile: int = assign.TILE, maps_at: str | None = None, batch: int = 16, decoder: str = "tilewright.sources.slides:Raw") -> tuple[DataFrame, DataFrame]:
-    """Windows (slide_id, icol, irow, and path and level if the provider reads pixels) through a provider to documents, one row a slide, and the status of each slide. tiles
+def run(windows: DataFrame, tiles: DataFrame, provider, ratio: float = 1.0, tile: int = assign.TILE, maps_at: str | None = None, batch: int = 16, decoder: str = maps.DECODER) -> tuple[DataFrame, DataFrame]:
+    """Windows (slide_id, icol, irow, and path and level if the provider reads pixels) through a provider to one row a tile with its cells, and the status of each slide. tiles
     (slide_id, col, row, tile_seq, and level, else 0) are `tile` wide; ratio leads from the windows' pixels to theirs.
 
-    maps_at: keep raw maps there, and go on from those of a run that broke off. A slide that fails is one
-    row of status; the others are not affected. A slide without cells or without tiles has a document all the same.
+    maps_at: keep raw maps there, and go on from those of a run that broke off. A slide of which a window could not be read, predicted or turned into cells, or whose maps are missing, is one
+    row of status and has no tiles; the others are not affected. A slide without cells has its tiles all the same.
     """
-    from ..sources import documents, maps
-
-    if "level" not in tiles.columns:
-        tiles = tiles.withColumn("level", F.lit(0))
+    tiles = tiles.withColumn("level", F.lit(0)) if "level" not in tiles.columns else tiles
     found = maps.spill(windows, provider, maps_at, batch=batch, decoder=decoder) if maps_at else maps.predict(windows, provider, batch, decoder)
-    cells = maps.numbered(maps.detect(found, provider.classes, provider.mpp))
-    cells = cells.withColumnsRenamed({"top": "y0", "down": "y1", "left": "x0", "right": "x1", "slide_id": "slide"})
-    done = fix_borders(with_area(stored(cells, "detections")), tiles.withColumnRenamed("slide_id", "slide"), ratio, tile, polygons=True, window=provider.tile, overlap=provider.overlap)
+    seen = stored(maps.detect(found, provider.classes, provider.mpp), "detections")
+    failed = maps.failures(seen)
+    bad = stored(failed.union(maps.unmatched(windows, seen).join(failed, "slide_id", "left_anti")), "failures")
+    good = lambda rows: rows.join(bad.select("slide_id"), "slide_id", "left_anti")
+    cells = maps.numbered(maps.cells_of(good(seen))).withColumnsRenamed({"top": "y0", "down": "y1", "left": "x0", "right": "x1", "slide_id": "slide"})
+    done = fix_borders(with_area(cells), good(tiles).withColumnRenamed("slide_id", "slide"), ratio, tile, polygons=True, window=provider.tile, overlap=provider.overlap)
     lists = done.withColumns({
         "coordinates": F.transform("contour", lambda p: F.array(p["x"], p["y"])), "centroid": F.array("cx", "cy"), "confidence": F.col("prob"),
         "x": F.col("col"), "y": F.col("row"), "width": F.lit(tile), "height": F.lit(tile),
     })
-    docs = stored(documents.nest(lists, provider.name, provider.mpp), "documents")
-    found = docs.select(F.col("slide").alias("slide_id"), F.lit("ok").alias("_s"))
-    status = tiles.select("slide_id").union(windows.select("slide_id")).distinct().join(found, "slide_id", "left")
-    return docs, status.select("slide_id", F.lit("document").alias("stage"), F.coalesce("_s", F.lit("no_tiles")).alias("status"), F.lit(None).cast("string").alias("message"))
+    out = stored(documents.tile_rows(lists, provider.name, provider.mpp), "tiles")
+    have = out.select(F.col("slide").alias("slide_id"), F.lit("ok").alias("_s")).distinct()
+    status = good(tiles.select("slide_id").union(windows.select("slide_id")).distinct()).join(have, "slide_id", "left")
+    status = status.select("slide_id", F.lit("document").alias("stage"), F.coalesce("_s", F.lit("no_tiles")).alias("status"), F.lit(None).cast("string").alias("message"))
+    return out, bad.union(status)

@@ -1,15 +1,18 @@
-"""From slide files to documents: open, find tissue, read windows, predict, join, write. One slide's failure is one row of status."""
+"""From slide files to documents: open, find tissue, read windows, predict, join, write.
+
+A slide is its path; a path that is given twice is worked on once. One slide's failure, wherever it comes, is one row of status, and the others are finished.
+"""
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..models import by_resolution
 from ..operators import pyramid, tiling
 from ..operators.assign import TILE
 from ..sources import documents, files, maps
@@ -19,46 +22,59 @@ from .chain import detect_tissue, run
 
 #: Resolution of the asked-for tiles and of the thumbnails, in microns a pixel.
 BASE, COARSE = 0.5, 8.0
-RAW = "tilewright.sources.slides:Raw"
 
 
-def opened(paths: DataFrame, decoder: str = RAW) -> DataFrame:
-    """(slide_id, path, width, height, properties, error) of each path; error is null where the slide could be opened."""
+def named(paths: DataFrame) -> DataFrame:
+    """Distinct paths with slide_id, the path itself, and name, the file's own; files of one name in several folders get a mark that follows from the path."""
+    rows = paths.dropDuplicates(["path"]).withColumn("slide_id", F.col("path")).withColumn("_file", F.element_at(F.split("path", "/"), -1))
+    many = F.count("*").over(Window.partitionBy("_file")) > 1
+    return rows.withColumn("name", F.when(many, F.concat("_file", F.lit("-"), F.substring(F.sha2("path", 256), 1, 12))).otherwise(F.col("_file"))).drop("_file")
+
+
+def opened(slides: DataFrame, decoder: str = maps.DECODER) -> DataFrame:
+    """slides (slide_id, name, path, size, changed) with width, height, properties and error, which is null where the slide could be opened."""
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for path in frame["path"]:
-                name = os.path.splitext(os.path.basename(path))[0]
                 try:
                     s = load_decoder(decoder).open(path.removeprefix("file:"))
-                    rows.append((name, path, int(s.width), int(s.height), dict(s.properties), None))
+                    rows.append((int(s.width), int(s.height), dict(s.properties), None))
                 except Exception as e:  # whatever a decoder raises belongs to this slide
-                    rows.append((name, path, None, None, None, f"{type(e).__name__}: {e}"[:300]))
-            yield pd.DataFrame(rows, columns=["slide_id", "path", "width", "height", "properties", "error"])
+                    rows.append((None, None, None, maps.told(e)))
+            yield pd.concat([frame.reset_index(drop=True), pd.DataFrame(rows, columns=["width", "height", "properties", "error"])], axis=1)
 
-    return paths.select("path").mapInPandas(read, "slide_id string, path string, width long, height long, properties map<string,string>, error string")
+    own = ["slide_id", "name", "path", "size", "changed"]
+    schema = "slide_id string, name string, path string, size long, changed long, width long, height long, properties map<string,string>, error string"
+    return slides.select(own).mapInPandas(read, schema)
 
 
-def thumbnails(slides: DataFrame, decoder: str = RAW, strip: int = 64) -> DataFrame:
-    """(slide_id, y, x, r, g, b) of slides (slide_id, path, height, factor): means of blocks of `factor` pixels of level 0, a power of two, read in strips of `strip` blocks,
-    one row of tasks' work a strip."""
+def thumbnails(slides: DataFrame, decoder: str = maps.DECODER, strip: int = 64) -> DataFrame:
+    """(slide_id, y, x, r, g, b, error) of slides (slide_id, path, width, height, factor): the slide at a level where `factor`, a power of two, pixels of level 0 make one a side, read in squares of
+    `strip` pixels of it. A square that cannot be read is a row with an error."""
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["slide_id", "y", "x", "r", "g", "b", "error"]
+        path, s = None, None
         for frame in frames:
             for t in frame.itertuples(index=False):
-                s, f = load_decoder(decoder).open(t.path.removeprefix("file:")), int(t.factor)
-                for col in range(-(-s.width // (f * strip))):
-                    h, w, data = s.read(0, col, t.strip, f * strip, 0)
-                    px = np.frombuffer(data, np.uint8).reshape(h, w, 3)[: h // f * f, : w // f * f]
-                    if not px.size:
-                        continue
-                    small = px.reshape(px.shape[0] // f, f, px.shape[1] // f, f, 3).mean((1, 3))
-                    y, x = np.mgrid[: small.shape[0], : small.shape[1]]
-                    yield pd.DataFrame({"slide_id": t.slide_id, "y": y.ravel() + t.strip * strip, "x": x.ravel() + col * strip, "r": small[..., 0].ravel(), "g": small[..., 1].ravel(), "b": small[..., 2].ravel()})
+                try:
+                    if t.path != path:
+                        path, s = t.path, None
+                        s = load_decoder(decoder).open(t.path.removeprefix("file:"))
+                    if s is None:
+                        raise ValueError("the slide could not be opened")
+                    h, w, data = s.read(int(t.factor).bit_length() - 1, t.col, t.row, strip, 0)
+                    small = np.frombuffer(data, np.uint8).reshape(h, w, 3).astype(float)
+                    y, x = np.mgrid[:h, :w]
+                    yield pd.DataFrame({"slide_id": t.slide_id, "y": y.ravel() + t.row * strip, "x": x.ravel() + t.col * strip, "r": small[..., 0].ravel(), "g": small[..., 1].ravel(), "b": small[..., 2].ravel(), "error": None})
+                except Exception as e:  # whatever a decoder raises belongs to this slide
+                    yield pd.DataFrame([(t.slide_id, t.row, t.col, None, None, None, maps.told(e))], columns=columns)
 
-    strips = slides.withColumn("strip", F.explode(F.sequence(F.lit(0), F.ceil(F.col("height") / (F.col("factor") * strip)).cast("int") - 1)))
-    return strips.select("slide_id", "path", "factor", "strip").repartition("slide_id", "strip").mapInPandas(read, "slide_id string, y long, x long, r double, g double, b double")
+    squares = lambda c: F.explode(F.sequence(F.lit(0), F.ceil(F.floor(F.col(c) / F.col("factor")) / strip).cast("int") - 1))
+    parts = slides.where("width >= factor AND height >= factor").withColumn("row", squares("height")).withColumn("col", squares("width"))
+    return parts.select("slide_id", "path", "factor", "row", "col").repartition("slide_id", "row").mapInPandas(read, "slide_id string, y long, x long, r double, g double, b double, error string")
 
 
 def planned(slides: DataFrame, choices: Sequence[float]) -> DataFrame:
@@ -75,38 +91,49 @@ def planned(slides: DataFrame, choices: Sequence[float]) -> DataFrame:
     return rows.drop("_window", "_chosen", "_based", "_coarse", "_seen")
 
 
-def extract(spark: SparkSession, patterns: Sequence[str], export_dir: str | None, provider, decoder: str = RAW, tile: int = TILE, n_tiles: int | None = None, most: float = 0.2, batch: int = 16, maps_at: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Documents of all slides, written as slide=NAME/ under export_dir if given, and a status of each slide. `provider` is one model or several of different
-    resolutions: a slide gets that of the finest one it has. Raw maps are kept under maps_at, if given, until the documents are written."""
-    models = {p.mpp: p for p in (provider if isinstance(provider, (list, tuple)) else [provider])}
-    slides = stored(opened(files.collect_paths(spark, patterns), decoder), "slides")
+def extract(spark: SparkSession, patterns: Sequence[str], export_dir: str | None, provider, decoder: str = maps.DECODER, tile: int = TILE, n_tiles: int | None = None, most: float = 0.2, batch: int = 16, maps_at: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Tiles with their cells, one row each (`documents.of_tiles` makes whole documents of them), written as NAME/cell_masks.json under export_dir if given, and a status
+    (slide, stage, status, message, path) of each slide. Only documents of slides that were finished now are replaced.
+
+    `provider` is one model or several of different resolutions: a slide gets that of the finest one it has. Raw maps are kept under maps_at, if given, until the documents
+    are written."""
+    models = by_resolution(provider if isinstance(provider, (list, tuple)) else [provider])
+    slides = stored(opened(named(files.collect_paths(spark, patterns)), decoder), "slides")
     good = stored(planned(slides.where("error IS NULL"), list(models)), "levels")
-    usable = good.where("fits = 'ok'")
+    fit = good.where("fits = 'ok'")
+    seen = stored(thumbnails(fit, decoder), "thumbnails")
+    first = F.min(F.struct("y", "x", "error"))
+    unread = stored(seen.where("error IS NOT NULL").groupBy("slide_id").agg(first.alias("e")).select("slide_id", F.lit("tissue").alias("stage"), F.lit("failed").alias("status"), F.col("e.error").alias("message")), "unread")
+    usable = fit.join(unread.select("slide_id"), "slide_id", "left_anti")
     block = F.floor(tile * F.pow(F.lit(2.0), F.col("down_base")) / F.col("factor")).cast("int")  # a tile in pixels of the thumbnail
     edges = usable.select("slide_id", block.alias("_block"), *[F.floor(F.col(c) / F.col("factor")).alias(f"_{c}") for c in ("height", "width")])
-    found = detect_tissue(thumbnails(usable, decoder).join(edges, "slide_id"), F.col("_block"), F.col("_height"), F.col("_width"), most).select("slide_id", "col", "row")
-    tiles = stored(tiling.first_tiles(found, n_tiles, ("slide_id",)).join(usable.select("slide_id", "path", "level", "target_mpp", "down_window"), "slide_id"), "tiles")
-    docs, status = [], []
+    found = detect_tissue(seen.drop("error").join(edges, "slide_id"), F.col("_block"), F.col("_height"), F.col("_width"), most).select("slide_id", "col", "row")
+    about = ["path", "size", "changed", "down_window"]
+    tiles = stored(tiling.first_tiles(found, n_tiles, ("slide_id",)).join(usable.select("slide_id", "level", "target_mpp", *about), "slide_id"), "tiles")
+    none = F.lit(None).cast("string").alias("message")
+    status = [
+        slides.where("error IS NOT NULL").select("slide_id", F.lit("open").alias("stage"), F.lit("failed").alias("status"), F.col("error").alias("message")),
+        good.where("fits <> 'ok'").select("slide_id", F.lit("level").alias("stage"), F.col("fits").alias("status"), none),
+        unread,
+        usable.select("slide_id").join(tiles.select("slide_id").distinct(), "slide_id", "left_anti").select("slide_id", F.lit("tissue").alias("stage"), F.lit("no_tissue").alias("status"), none),
+    ]
+    made, used = [], []
     for mpp, model in sorted(models.items()):
         own = tiles.where(F.col("target_mpp") == mpp)
         steps = int(round(np.log2(BASE / mpp)))  # levels between the tiles and the windows
         core = tiling.core_size(model.tile, model.overlap)
-        windows = tiling.retile(own, tile, core, 0, steps, ("slide_id", "path", "down_window"), cover="full")
-        windows = windows.select("slide_id", "path", F.col("down_window").cast("int").alias("level"), F.col("col").cast("int").alias("icol"), F.col("row").cast("int").alias("irow"))
-        made, done = run(windows, own.drop("path", "target_mpp", "down_window"), model, mpp / BASE, tile, maps_at and f"{maps_at}/mpp={mpp}", batch, decoder)
-        docs.append(made)
+        windows = tiling.retile(own, tile, core, 0, steps, ("slide_id", *about), cover="full")
+        windows = stored(windows.select("slide_id", *about[:3], F.col("down_window").cast("int").alias("level"), F.col("col").cast("int").alias("icol"), F.col("row").cast("int").alias("irow")), "windows")
+        rows, done = run(windows, own.drop("target_mpp", *about), model, mpp / BASE, tile, maps_at, batch, decoder)
+        made.append(rows)
         status.append(done)
-    failed = slides.where("error IS NOT NULL").select("slide_id", F.lit("open").alias("stage"), F.lit("failed").alias("status"), F.col("error").alias("message"))
-    unfit = good.where("fits <> 'ok'").select("slide_id", F.lit("level").alias("stage"), F.col("fits").alias("status"), F.lit(None).cast("string").alias("message"))
-    empty = usable.select("slide_id").join(tiles.select("slide_id").distinct(), "slide_id", "left_anti").select("slide_id", F.lit("tissue").alias("stage"), F.lit("no_tissue").alias("status"), F.lit(None).cast("string").alias("message"))
-    every = failed.union(unfit).union(empty)
-    for done in status:
-        every = every.union(done.select("slide_id", "stage", "status", "message"))
-    out = docs[0]
-    for more in docs[1:]:
-        out = out.union(more)
+        used.append((windows, model))
+    union = lambda parts: parts[0] if len(parts) == 1 else parts[0].union(union(parts[1:]))
+    names = slides.select("slide_id", "name", "path")
+    out = union(made).withColumnRenamed("slide", "slide_id").join(names, "slide_id").withColumnRenamed("name", "slide").drop("slide_id", "path")
     if export_dir:
         documents.write(out, export_dir)
         if maps_at:
-            maps.drop_spill(spark, maps_at)
-    return out, stored(every, "status")
+            for windows, model in used:
+                maps.sweep(spark, maps_at, windows, model, decoder)
+    return out, stored(union(status).join(names, "slide_id").select(F.col("name").alias("slide"), "stage", "status", "message", "path"), "status")

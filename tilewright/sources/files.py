@@ -5,29 +5,38 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def file_system(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a path or url, and the path in it."""
+    if path.startswith("file:"):
+        return pyarrow.fs.LocalFileSystem(), re.sub("^file:(//)?", "", path)
+    return pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (pyarrow.fs.LocalFileSystem(), path)
+
+
 def is_url(text: Column) -> Column:
     """Whether text has a scheme and a host part; false for null."""
     return F.coalesce(text.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+"), F.lit(False))
 
 
 def list_files(spark: SparkSession, pattern: str) -> DataFrame:
-    """path and size of the files that match, without their content; through the file system that Spark knows, in order."""
+    """path, size and time of change of the files that match, without their content; through the file system that Spark knows, in order."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     found = system.globStatus(hadoop) or []
-    return spark.createDataFrame(sorted((f.getPath().toString(), f.getLen()) for f in found), "path string, size long")
+    return spark.createDataFrame(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found), "path string, size long, changed long")
 
 
 def collect_paths(spark: SparkSession, patterns: Sequence[str]) -> DataFrame:
-    """(arg, path): urls as they are, patterns expanded and sorted, in the order of the arguments; repeats stay, no match is no row."""
-    out = spark.createDataFrame([], "arg int, path string")
+    """(arg, path, size, changed): urls as they are, patterns expanded and sorted, in the order of the arguments; repeats stay, no match is no row. Size and time of
+    change are null for urls."""
+    out = spark.createDataFrame([], "arg int, path string, size long, changed long")
     for i, p in enumerate(patterns):
         url = bool(re.match(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+", p))
-        rows = spark.createDataFrame([(i, p)], "arg int, path string") if url else list_files(spark, p).select(F.lit(i).alias("arg"), "path")
+        rows = spark.createDataFrame([(i, p, None, None)], "arg int, path string, size long, changed long") if url else list_files(spark, p).select(F.lit(i).alias("arg"), "path", "size", "changed")
         out = out.union(rows)
     return out.orderBy("arg", "path")
 
