@@ -84,7 +84,7 @@ def test_result_does_not_depend_on_partitions(spark):
     boxes = [(i, rng.randrange(2), rng.randrange(2), (y := rng.randrange(700)), y + rng.randrange(8, 40), (x := rng.randrange(700)), x + rng.randrange(8, 40)) for i in range(300)]
     first = unique(spark, *boxes)
     rng.shuffle(boxes)
-    assert unique(spark, *boxes, bucket=32) == first
+    assert unique(spark, *boxes, leaf=8) == first
 
 
 def test_components(spark):

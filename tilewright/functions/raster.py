@@ -6,8 +6,6 @@ image library; equality with one is meant in effect on shapes, not pixel for pix
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 
 
@@ -108,22 +106,62 @@ def opening(mask: np.ndarray, shape: np.ndarray = DISC) -> np.ndarray:
     return _morph(_morph(mask.astype(bool), shape, True), shape[::-1, ::-1], False)
 
 
+def _neighbours(at: np.ndarray, w: int, size: int) -> np.ndarray:
+    """Of some pixels of a raster with a margin, given by place: where among them the ones above, left, right and below are, len(at) for none."""
+    where = np.full(size, len(at))
+    where[at] = np.arange(len(at))
+    return where[at[:, None] + np.array([-w, -1, 1, w])]
+
+
 def watershed(surface: np.ndarray, markers: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Flood from the markers in the order of the surface, then of age, within the mask."""
-    h, w = surface.shape
-    out = np.where(mask, markers, 0).astype(np.int32)
-    heap, age = [], 0
-    for y, x in zip(*np.nonzero(out), strict=True):
-        heapq.heappush(heap, (surface[y, x], age, y, x))
-        age += 1
-    while heap:
-        _, _, y, x = heapq.heappop(heap)
-        for v, u in ((y - 1, x), (y, x - 1), (y, x + 1), (y + 1, x)):
-            if 0 <= v < h and 0 <= u < w and mask[v, u] and not out[v, u]:
-                out[v, u] = out[y, x]
-                heapq.heappush(heap, (surface[v, u], age, v, u))
-                age += 1
-    return out
+    """Flood from the markers within the mask: each pixel goes to the marker whose flood comes first.
+
+    A part of the mask with one marker is that marker's. Elsewhere the level of a pixel is the least height at which a flood reaches it, found for all pixels at once by taking the
+    lowest neighbour until nothing changes; on a plain, steps from its edge count. A pixel then follows its neighbour of least level and steps, up to a marker.
+    """
+    part = label(mask)
+    held = np.where(mask, markers, 0)
+    pairs = np.unique(part[held > 0].astype(np.int64) << 32 | held[held > 0])
+    parts, names = (pairs >> 32).astype(np.int64), (pairs & 0xFFFFFFFF).astype(np.int32)
+    owner = np.zeros(int(part.max(initial=0)) + 1, np.int32)
+    owner[parts] = names
+    many = np.bincount(parts, minlength=len(owner)) > 1
+    out = np.where(held > 0, held, owner[part]).astype(np.int32)
+    if not many.any():
+        return out
+    w = mask.shape[1] + 2
+    wide = lambda x: np.pad(x, 1).ravel()
+    at = np.flatnonzero(wide(many[part]))
+    near = _neighbours(at, w, (mask.shape[0] + 2) * w)
+    height, name = wide(surface.astype(np.float64))[at], wide(held)[at]
+    free = np.flatnonzero(name == 0)
+
+    def settled(value: np.ndarray, better) -> None:
+        """Renew values until none changes; only those beside a change are looked at again."""
+        active = free
+        while len(active):
+            new = better(active)
+            less = new < value[active]
+            changed = active[less]
+            value[changed] = new[less]
+            beside = np.zeros(len(at) + 1, bool)
+            beside[near[changed]] = True
+            beside[-1] = False
+            active = np.flatnonzero(beside[:-1] & (name == 0))
+
+    level = np.append(np.where(name > 0, height, np.inf), np.inf)
+    settled(level, lambda i: np.maximum(height[i], level[near[i]].min(1)))
+    steps = np.append(np.where(name > 0, 0.0, np.inf), np.inf)
+    low = np.append(level[near].min(1), np.inf)
+    settled(steps, lambda i: np.where(low[i] < level[i], 0.0, np.where(level[near[i]] == level[i][:, None], steps[near[i]], np.inf).min(1)) + 1)
+    order = np.lexsort((steps[near[free]].ravel(), level[near[free]].ravel(), np.repeat(np.arange(len(free)), 4)))[::4]
+    to = np.arange(len(at))
+    to[free] = near[free].ravel()[order]
+    while (to[to] != to).any():
+        to = to[to]
+    flat = wide(out)
+    flat[at] = name[to]
+    return flat.reshape(-1, w)[1:-1, 1:-1]
 
 
 def segment(probability: np.ndarray, across: np.ndarray, down: np.ndarray, least: int, kernel: int) -> np.ndarray:
@@ -138,59 +176,86 @@ def segment(probability: np.ndarray, across: np.ndarray, down: np.ndarray, least
 
 
 _ROUND = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]  # clockwise from the right
+#: By the set of directions in which an equal pixel lies, and the one looked from: the first of them clockwise; 8 for none.
+_TURN = np.array([[next((d for k in range(8) if around >> (d := (look + 1 + k) % 8) & 1), 8) for look in range(8)] for around in range(256)])
+
+
+def outlines(labels: np.ndarray, least: int = 1) -> dict[int, np.ndarray]:
+    """The outer border of each label's component that is met first, as (x, y), with only the points where the direction changes; all points of a border
+    of one or two pixels, and none of one of fewer than `least`.
+
+    Where a border goes from a pixel follows from which of its eight neighbours are alike and where it came from; that is looked up, and all borders of the raster are walked
+    side by side, a step of each at a time.
+    """
+    h, w = labels.shape
+    wide = w + 2
+    p = np.pad(labels, 1).ravel()
+    on = np.flatnonzero(p)
+    if not len(on):
+        return {}
+    move = np.array([dy * wide + dx for dy, dx in _ROUND])
+    around = np.zeros(len(p), np.int64)
+    around[on] = ((p[on[:, None] + move] == p[on][:, None]) << np.arange(8)).sum(1)
+    names, first = np.unique(p[on], return_index=True)
+    start = on[first]
+    leave = _TURN[around[start], 4]
+    which = np.flatnonzero(leave < 8)
+    here, d = start[which], leave[which]
+    paths = [(which, here)]
+    while len(which):
+        here = here + move[d]
+        d = _TURN[around[here], (d + 4) % 8]
+        going = (here != start[which]) | (d != leave[which])
+        which, here, d = which[going], here[going], d[going]
+        paths.append((which, here))
+    whose, place = np.concatenate([a for a, _ in paths]), np.concatenate([b for _, b in paths])
+    order = np.argsort(whose, kind="stable")
+    whose, place = whose[order], place[order]
+    ends = np.searchsorted(whose, np.arange(len(names) + 1))
+    out = {}
+    for i, name in enumerate(names.tolist()):
+        ring = place[ends[i] : ends[i + 1]] if leave[i] < 8 else start[i : i + 1]
+        if len(ring) < least:
+            continue
+        ring = np.stack((ring % wide - 1, ring // wide - 1), 1).astype(float)
+        before, after = ring - np.roll(ring, 1, axis=0), np.roll(ring, -1, axis=0) - ring
+        out[name] = ring[(before != after).any(1)] if len(ring) > 2 else ring
+    return out
 
 
 def outline(mask: np.ndarray) -> np.ndarray:
-    """The outer border of the component met first, as (x, y), with only the points where the direction changes."""
-    at = np.flatnonzero(mask.ravel())
-    if not len(at):
-        return np.zeros((0, 2))
-    p = np.pad(mask.astype(bool), 1)
-    start = (int(at[0]) // mask.shape[1] + 1, int(at[0]) % mask.shape[1] + 1)
-    path, here, look, first = [start], start, 4, None
-    while True:
-        for k in range(8):
-            d = (look + 1 + k) % 8
-            nxt = here[0] + _ROUND[d][0], here[1] + _ROUND[d][1]
-            if p[nxt]:
-                break
-        else:
-            break  # a single pixel
-        if (here, d) == first:
-            break
-        if first is None:
-            first = (here, d)
-        here, look = nxt, (d + 4) % 8
-        path.append(here)
-    if len(path) > 1 and path[-1] == path[0]:
-        path.pop()
-    ring = np.array([(x - 1, y - 1) for y, x in path], float)
-    if len(ring) < 3:
-        return ring
-    before, after = ring - np.roll(ring, 1, axis=0), np.roll(ring, -1, axis=0) - ring
-    return ring[(before != after).any(1)]
-
-
-def instances(labels: np.ndarray, classes: np.ndarray, margin: int = 2) -> list[dict]:
+    """The outer border of the component of a mask that is met first."""
+    return outlines(mask.astype(np.int32)).get(1, np.zeros((0, 2)))
+
+
+def instances(labels: np.ndarray, classes: np.ndarray) -> list[dict]:
     """Contour, box (half open), centroid, class and score of each instance; without a contour or a class it is left out.
 
     The class is the most frequent one, the lower on ties; background only if nothing else occurs, and then the instance goes.
-    The score's denominator counts background pixels as well.
+    The score's denominator counts background pixels as well. Contours do not see the last row and column.
     """
+    y, x = np.nonzero(labels > 0)
+    if not len(y):
+        return []
+    names, of = np.unique(labels[y, x], return_inverse=True)
+    n = np.bincount(of)
+    order = np.argsort(of, kind="stable")
+    cut = np.concatenate(([0], np.cumsum(n)[:-1]))
+    edge = lambda f, v: f.reduceat(v[order], cut)
+    y0, y1, x0, x1 = edge(np.minimum, y), edge(np.maximum, y) + 1, edge(np.minimum, x), edge(np.maximum, x) + 1
+    cy, cx = np.bincount(of, y) / n, np.bincount(of, x) / n
+    cls = classes[y, x].astype(np.int64)
+    width = int(cls.max()) + 1
+    votes = np.bincount(of * width + cls, minlength=len(names) * width).reshape(len(names), width)
+    real = votes.copy()
+    real[:, 0] = 0
+    # background is passed over for the next class, if there is one
+    pick = real.argmax(1)
+    rings = outlines(labels[:-1, :-1])
     out = []
-    h, w = labels.shape
-    for k in np.unique(labels[labels > 0]).tolist():
-        y, x = np.nonzero(labels == k)
-        y0, y1, x0, x1 = int(y.min()), int(y.max()) + 1, int(x.min()), int(x.max()) + 1
-        top, left = max(0, y0 - margin), max(0, x0 - margin)
-        ring = outline(labels[top : min(y1 + margin, h - 1), left : min(x1 + margin, w - 1)] == k) + (left, top)
-        if len(ring) < 3:
-            continue
-        votes = np.bincount(classes[y, x].astype(int))
-        order = np.lexsort((np.arange(len(votes)), -votes))
-        order = order[votes[order] > 0]
-        pick = order[0] if order[0] else order[1] if len(order) > 1 else 0
-        if not pick:
+    for i, k in enumerate(names.tolist()):
+        ring = rings.get(k)
+        if ring is None or len(ring) < 3 or not real[i, pick[i]]:
             continue
-        out.append({"inst_id": k, "contour": ring, "box": (y0, y1, x0, x1), "centroid": (float(x.mean()), float(y.mean())), "cls": int(pick), "prob": float(votes[pick] / (len(y) + 1e-6))})
+        out.append({"inst_id": k, "contour": ring, "box": (int(y0[i]), int(y1[i]), int(x0[i]), int(x1[i])), "centroid": (float(cx[i]), float(cy[i])), "cls": int(pick[i]), "prob": float(votes[i, pick[i]] / (n[i] + 1e-6))})
     return out

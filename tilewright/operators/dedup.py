@@ -5,6 +5,8 @@ Order decides ties everywhere: safe cells first, then seq.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,20 +29,65 @@ def keep_first(cells: DataFrame, slide: str = "slide") -> DataFrame:
     return cells.withColumn("_n", F.row_number().over(at)).where("_n = 1").drop("_n")
 
 
-def box_pairs(cells: DataFrame, bucket: int = 64, slide: str = "slide", least_share: float = 0.01) -> DataFrame:
+#: Boxes of a leaf, about; one box in SAMPLED is seen when leaves are laid out.
+LEAF, SAMPLED = 256, 8
+_SPAN = "low double, high double"
+SLABS = f"slabs array<struct<{_SPAN.replace(' double', ': double')}, leaves: array<struct<id: int, {_SPAN.replace(' double', ': double')}>>>>"
+
+
+def _laid_out(x: np.ndarray, y: np.ndarray, leaf: int) -> list[dict]:
+    """Slabs of equal numbers of the points by x, each cut into leaves of equal numbers by y; they cover the plane."""
+
+    def spans(v: np.ndarray, n: int) -> list[tuple[float, float]]:
+        cuts = np.unique(np.sort(v)[np.arange(1, n) * len(v) // n]) if n > 1 else np.zeros(0)
+        return list(zip([-np.inf, *cuts], [*cuts, np.inf], strict=True))
+
+    side = max(1, round(np.sqrt(len(x) * SAMPLED / leaf)))
+    out, n = [], 0
+    for low, high in spans(x, side):
+        own = y[(x >= low) & (x < high)]
+        parts = spans(own, max(1, round(len(own) * SAMPLED / leaf)))
+        out.append({"low": low, "high": high, "leaves": [{"id": n + i, "low": a, "high": b} for i, (a, b) in enumerate(parts)]})
+        n += len(parts)
+    return out
+
+
+def leaves(cells: DataFrame, slide: str = "slide", leaf: int = LEAF) -> DataFrame:
+    """(slide, slabs): how each slide's plane is cut, from the corners of an eighth of its boxes, so that dense places have small leaves and empty ones large."""
+    kind = cells.schema[slide].dataType.simpleString()
+
+    def layout(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({slide: [key[0]], "slabs": [_laid_out(frame["x0"].to_numpy(float), frame["y0"].to_numpy(float), leaf)]})
+
+    seen = cells.where(F.pmod(F.xxhash64("uid"), F.lit(SAMPLED)) == 0) if "uid" in cells.columns else cells.where(F.pmod(F.xxhash64("seq"), F.lit(SAMPLED)) == 0)
+    return seen.select(slide, "x0", "y0").groupBy(slide).applyInPandas(layout, f"{slide} {kind}, {SLABS}")
+
+
+def dealt(cells: DataFrame, slide: str = "slide", leaf: int = LEAF) -> DataFrame:
+    """A row for each leaf that a box reaches into: all columns, and the leaf's id and bounds (leaf, left, right, top, low). Most boxes lie in one leaf."""
+    cut = leaves(cells, slide, leaf).withColumnRenamed(slide, "_of")
+    whole = F.array(F.struct(F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"), F.array(F.struct(F.lit(0).alias("id"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))).alias("leaves")))
+    # a slide of which no box was seen is one leaf
+    rows = cells.join(cut, F.col(slide) == F.col("_of"), "left").withColumn("slabs", F.coalesce("slabs", whole))
+    within = lambda parts, low, high: F.explode(F.filter(parts, lambda s: (s["low"] <= F.col(high)) & (s["high"] > F.col(low))))
+    rows = rows.select(*cells.columns, within("slabs", "x0", "x1").alias("_slab")).select(*cells.columns, "_slab.low", "_slab.high", within("_slab.leaves", "y0", "y1").alias("_leaf"))
+    return rows.select(*cells.columns, F.col("_leaf.id").alias("leaf"), F.col("low").alias("leaf_left"), F.col("high").alias("leaf_right"), F.col("_leaf.low").alias("leaf_top"), F.col("_leaf.high").alias("leaf_down"))
+
+
+def box_pairs(cells: DataFrame, leaf: int = LEAF, slide: str = "slide", least_share: float = 0.01) -> DataFrame:
     """Pairs of cells (a before b) whose boxes overlap by enough that their polygons may: every column with suffix _a and _b.
 
-    Boxes are dealt to grid buckets; a pair comes out only in the bucket of its overlap's upper left corner, so once.
+    Boxes are dealt to leaves of about as many; a pair comes out only in the leaf of its overlap's upper left corner, so once.
     """
-    at = lambda c: F.floor(F.col(c) / bucket).cast("long")
-    rows = cells.withColumn("gx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("gy", F.explode(F.sequence(at("y0"), at("y1"))))
+    rows = dealt(cells, slide, leaf)
     a, b = (rows.select([F.col(c).alias(f"{c}_{s}") for c in rows.columns]) for s in "ab")
     x0, x1 = F.greatest("x0_a", "x0_b"), F.least("x1_a", "x1_b")
     y0, y1 = F.greatest("y0_a", "y0_b"), F.least("y1_a", "y1_b")
-    same = (F.col(f"{slide}_a") == F.col(f"{slide}_b")) & (F.col("gx_a") == F.col("gx_b")) & (F.col("gy_a") == F.col("gy_b"))
-    meets = (F.col("seq_a") < F.col("seq_b")) & (x0 < x1) & (y0 < y1) & (F.floor(x0 / bucket) == F.col("gx_a")) & (F.floor(y0 / bucket) == F.col("gy_a"))
+    same = (F.col(f"{slide}_a") == F.col(f"{slide}_b")) & (F.col("leaf_a") == F.col("leaf_b"))
+    here = (x0 >= F.col("leaf_left_a")) & (x0 < F.col("leaf_right_a")) & (y0 >= F.col("leaf_top_a")) & (y0 < F.col("leaf_down_a"))
+    meets = (F.col("seq_a") < F.col("seq_b")) & (x0 < x1) & (y0 < y1) & here
     pairs = a.join(b, same & meets).withColumn("box_area", (x1 - x0) * (y1 - y0))
-    return pairs.where(F.col("box_area") >= least_share * F.least("area_a", "area_b")).drop("gx_a", "gy_a", "gx_b", "gy_b")
+    return pairs.where(F.col("box_area") >= least_share * F.least("area_a", "area_b")).drop(*[f"{c}_{s}" for c in ("leaf", "leaf_left", "leaf_right", "leaf_top", "leaf_down") for s in "ab"])
 
 
 def overlap_edges(pairs: DataFrame, area: str = "box_area", least_share: float = 0.01) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import col
 
 from ..functions import geometry, packed, raster
-from ..operators import assign, dedup, pyramid, tiling, tissue
+from ..functions.arrangement import repaired
+from ..operators import assign, dedup, pyramid, segments, tiling, tissue
 from ..operators.project import project
 from ..sources import documents, files, maps
 from ..sources.shared import stored
@@ -389,6 +390,20 @@ def overlap_edges_poly(spark, sf_dir):
     return edges.select(col("slide_a").alias("slide"), "seq_a", "seq_b", r6("inter").alias("inter"))
 
 
+@query("""WITH bows AS (SELECT event_id, (4 + event_id % 9)::double a, (1 + event_id % 5)::double b, (1 + event_id % 7)::double c FROM events)
+SELECT event_id, round(a * greatest(b, c) * greatest(b, c) / (2 * (b + c)), 6) area, CASE WHEN b = c THEN NULL ELSE round(CASE WHEN b > c THEN 0 ELSE a * b / (b + c) END, 6) END AS left, CASE WHEN b = c THEN NULL ELSE round(CASE WHEN b > c THEN a * b / (b + c) ELSE a END, 6) END AS right FROM bows""")
+def bow_ties(spark, sf_dir):
+    """Rings of two triangles that cross in a point: the larger one stays."""
+    k = col("event_id")
+    sizes = fx.table(spark, sf_dir, "events").select("event_id", (4 + k % 9).cast("double").alias("a"), (1 + k % 5).cast("double").alias("b"), (1 + k % 7).cast("double").alias("c"))
+    at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    zero = F.lit(0.0)
+    rows = repaired(sizes.withColumn("contour", F.array(at(zero, zero), at(col("a"), col("c")), at(col("a"), zero), at(zero, col("b")))))
+    across = F.filter("outline", lambda v, i: i % 2 == 0)
+    side = lambda f: F.when(col("b") != col("c"), r6(f(across)))
+    return rows.select("event_id", r6("area").alias("area"), side(F.array_min).alias("left"), side(F.array_max).alias("right"))
+
+
 @query(f"WITH RECURSIVE {fx.CHAIN} SELECT node seq, root FROM roots")
 def components(spark, sf_dir):
     from ..operators.components import components as found
@@ -490,6 +505,47 @@ def file_hash(spark, sf_dir):
     return files.hashes(spark, f"{sf_dir}/region.parquet")
 
 
+_BASINS = f"""{fx.RAS},
+inner_ AS MATERIALIZED (SELECT vec_id, pos, y, x, v, q FROM pix WHERE q < 200),
+beside AS MATERIALIZED (SELECT p.vec_id, p.pos, p.v, n.pos npos, n.v nv FROM inner_ p JOIN inner_ n ON p.vec_id = n.vec_id AND abs(p.y - n.y) + abs(p.x - n.x) = 1),
+marker AS MATERIALIZED (SELECT vec_id, pos, v FROM inner_ p WHERE q < 90 AND NOT EXISTS (SELECT 1 FROM beside b WHERE b.vec_id = p.vec_id AND b.pos = p.pos AND b.nv <= b.v)),
+wet AS MATERIALIZED (SELECT * FROM beside b ANTI JOIN marker m ON m.vec_id = b.vec_id AND m.pos = b.pos),
+floods(vec_id, pos, height) AS (SELECT vec_id, pos, v FROM marker UNION SELECT w.vec_id, w.pos, greatest(f.height, w.v) FROM floods f JOIN wet w ON w.vec_id = f.vec_id AND w.npos = f.pos),
+height_of AS MATERIALIZED (SELECT vec_id, pos, min(height) h FROM floods GROUP BY ALL),
+from_ AS MATERIALIZED (SELECT w.vec_id, w.pos, w.npos FROM wet w JOIN height_of h ON h.vec_id = w.vec_id AND h.pos = w.npos QUALIFY h = min(h) OVER (PARTITION BY w.vec_id, w.pos)),
+named(vec_id, pos, label) AS (SELECT vec_id, pos, pos + 1 FROM marker UNION SELECT f.vec_id, f.pos, n.label FROM named n JOIN from_ f ON f.vec_id = n.vec_id AND f.npos = n.pos),
+basin AS MATERIALIZED (SELECT vec_id, pos // 8 y, pos % 8 x, pos, label FROM named)"""
+
+
+def _basins(spark, sf_dir):
+    rows = fx.ras(spark, sf_dir).withColumn("q", packed.quantised(col("v"))).withColumn("inside", F.transform("q", lambda q: q < 200))
+    rows = rows.withColumn("least", segments.minima(col("v"), 8, 8, col("inside")))
+    number = F.transform(F.arrays_zip("least", "q"), lambda s, i: F.when(s["least"] & (s["q"] < 90), i + 1).otherwise(0))
+    return segments.basins(rows.withColumn("markers", number), "vec_id", 8, 8, "v")
+
+
+@query(f"WITH RECURSIVE {_BASINS} SELECT vec_id, y, x, label FROM basin")
+def watershed_basins(spark, sf_dir):
+    """Rasters flooded from their deep minima: shallow ones are drowned by the flood that comes first, and basins touch."""
+    return _basins(spark, sf_dir)
+
+
+@query(f"""WITH RECURSIVE {_BASINS},
+ways AS (SELECT d::bigint d, [0, 1, 1, 1, 0, -1, -1, -1][d + 1] dy, [1, 1, 0, -1, -1, -1, 0, 1][d + 1] dx FROM range(8) t(d)),
+alike AS MATERIALIZED (SELECT a.vec_id, a.label, a.pos, d, b.pos npos FROM basin a, ways JOIN basin b ON b.vec_id = a.vec_id AND b.label = a.label AND b.y = a.y + dy AND b.x = a.x + dx),
+turns AS MATERIALIZED (SELECT vec_id, label, pos, look, d, npos FROM alike, (SELECT look::bigint look FROM range(8) t(look)) QUALIFY row_number() OVER (PARTITION BY vec_id, label, pos, look ORDER BY (d - look + 15) % 8) = 1),
+starts AS MATERIALIZED (SELECT t.* FROM turns t JOIN (SELECT vec_id, label, min(pos) pos FROM basin GROUP BY ALL) USING (vec_id, label, pos) WHERE look = 4),
+walk(vec_id, label, i, pos, d, npos) AS (SELECT vec_id, label, 0, pos, d, npos FROM starts
+  UNION ALL SELECT w.vec_id, w.label, w.i + 1, t.pos, t.d, t.npos FROM walk w JOIN turns t ON t.vec_id = w.vec_id AND t.label = w.label AND t.pos = w.npos AND t.look = (w.d + 4) % 8
+  JOIN starts s ON s.vec_id = w.vec_id AND s.label = w.label WHERE t.pos <> s.pos OR t.d <> s.d),
+bends AS (SELECT *, coalesce(lag(d) OVER (PARTITION BY vec_id, label ORDER BY i), last_value(d) OVER (PARTITION BY vec_id, label ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) before,
+  count(*) OVER (PARTITION BY vec_id, label) n FROM walk)
+SELECT vec_id, label, row_number() OVER (PARTITION BY vec_id, label ORDER BY i) - 1 AS ordinal, pos % 8 x, pos // 8 y FROM bends WHERE n > 2 AND d <> before""")
+def basin_corners(spark, sf_dir):
+    """Corner points of the border of every basin."""
+    return segments.corners(_basins(spark, sf_dir), "vec_id", 8, 8)
+
+
 @query("""WITH keys AS (SELECT n_regionkey::varchar slide_id, (n_nationkey % 5)::int icol, (n_nationkey // 5)::int irow FROM nation),
 hashed AS (SELECT *, (ascii(slide_id) * 7919 + icol * 104729 + irow * 1299709 + i * 15485863) % 2147483647 h FROM keys, unnest(range(6)) t(i)),
 sized AS (SELECT *, 5 + h % 8 r FROM hashed),

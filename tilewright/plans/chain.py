@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import flat, shoelace, with_common_area
+from ..functions.arrangement import repaired
+from ..functions.geometry import shoelace, with_common_area
 from ..functions.packed import gray
 from ..operators import assign, dedup, tissue
 from ..operators.project import OVERLAP, WINDOW, project
@@ -13,7 +14,7 @@ from ..sources import documents, maps
 from ..sources.shared import stored
 
 
-def unique_cells(cells: DataFrame, threshold: float = 0.01, polygons: bool = False, bucket: int = 64, slide: str = "slide", window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
+def unique_cells(cells: DataFrame, threshold: float = 0.01, polygons: bool = False, leaf: int = dedup.LEAF, slide: str = "slide", window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
     """From cells in window coordinates (with area) to those kept in slide coordinates.
 
     Project, drop edge cells that a neighbour window sees whole, one cell for each centroid, one for each group of overlaps. seq must be unique in a slide.
@@ -21,24 +22,26 @@ def unique_cells(cells: DataFrame, threshold: float = 0.01, polygons: bool = Fal
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be above 0 and at most 1")
-    kept, edges = overlaps(project(cells, window, overlap), threshold, polygons, bucket, slide)
+    kept, edges = overlaps(project(cells, window, overlap), threshold, polygons, leaf, slide)
     return dedup.largest_of_each(kept, edges, slide)
 
 
-def overlaps(cells: DataFrame, threshold: float = 0.01, polygons: bool = False, bucket: int = 64, slide: str = "slide") -> tuple[DataFrame, DataFrame]:
+def overlaps(cells: DataFrame, threshold: float = 0.01, polygons: bool = False, leaf: int = dedup.LEAF, slide: str = "slide") -> tuple[DataFrame, DataFrame]:
     """From projected cells those left after the border rule and one for each centroid, stored, with a number `uid`, and the pairs of them that overlap.
 
-    Contours stay out of the join of boxes: they are fetched for the pairs whose boxes overlap.
+    Contours stay out of the join of boxes: they are fetched for the pairs whose boxes overlap. With polygons a contour that crosses or touches itself stands for the largest part that it
+    encloses, whose area becomes the cell's; contours themselves stay as they are.
     """
     kept = dedup.keep_first(dedup.retain_border(cells, slide), slide)
+    kept = repaired(kept) if polygons else kept
     kept = stored(kept.withColumn("uid", F.monotonically_increasing_id()), "cells")
-    pairs = dedup.box_pairs(kept.select(slide, "uid", "seq", "area", "y0", "y1", "x0", "x1"), bucket, slide, threshold)
+    pairs = dedup.box_pairs(kept.select(slide, "uid", "seq", "area", "y0", "y1", "x0", "x1"), leaf, slide, threshold)
     if polygons:
-        ring = kept.select(F.col("uid").alias("_of"), flat("contour").alias("_ring"))
+        ring = kept.select(F.col("uid").alias("_of"), F.col("outline").alias("_ring"))
         for s in "ab":
             pairs = pairs.join(ring.withColumnRenamed("_ring", f"ring_{s}"), F.col(f"uid_{s}") == F.col("_of")).drop("_of")
         pairs = with_common_area(pairs, "ring_a", "ring_b").drop("ring_a", "ring_b")
-    return kept, dedup.overlap_edges(pairs, "inter" if polygons else "box_area", threshold)
+    return kept.drop("outline"), dedup.overlap_edges(pairs, "inter" if polygons else "box_area", threshold)
 
 
 def fix_borders(cells: DataFrame, tiles: DataFrame, ratio: float = 1.0, tile: int = assign.TILE, slide: str = "slide", **options) -> DataFrame:
