@@ -87,9 +87,15 @@ def test_result_does_not_depend_on_partitions(spark):
     assert unique(spark, *boxes, leaf=8) == first
 
 
-def test_components(spark):
+@pytest.mark.parametrize("held", [0, 1 << 20])
+def test_components(spark, monkeypatch, held):
+    """With rounds alone, and with the rest joined by one task."""
     import random
 
+    from tilewright.operators import components as module
+
+    monkeypatch.setattr(module, "HELD", held)
+
     rng = random.Random(3)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 360)]
     parent = {n: n for e in edges for n in e}
@@ -102,7 +108,7 @@ def test_components(spark):
     for a, b in edges:
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
     assert got == {n: find(n) for e in edges if e[0] != e[1] for n in e}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 

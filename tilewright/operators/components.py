@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import checkpointed
 
-#: Edges that a task joins at a time before the rounds.
+#: Edges that a task joins at a time.
 HELD = 1 << 20
 
 
@@ -57,27 +57,32 @@ def _contracted(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node that has an edge; root is the least node of its component.
 
-    Tasks first join the edges they hold. Then large-star and small-star steps alternate: each moves edges to the least neighbour, so a component becomes a
-    star in about the logarithm of its size in rounds. Every round is checkpointed; two numbers, observed while it is written, reach the driver.
+    Tasks first join the edges they hold. As soon as all that are left fit into one task, it joins those and nothing is left to do. Before that, large-star and small-star steps alternate: each
+    moves edges to the least neighbour, so a component becomes a star in about the logarithm of its size in rounds. Every round is checkpointed; two numbers, observed while
+    it is written, reach the driver.
     """
 
     def kept(e: DataFrame) -> tuple[DataFrame, tuple]:
         seen = Observation()
-        e = checkpointed(e.distinct().observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")))
+        e = checkpointed(e.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")))
         return e, (seen.get["n"], seen.get["s"])
 
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     e, before = kept(_contracted(e))
-    while before[0]:
+    if before[0] > HELD:
+        e, before = kept(e.distinct())
+    while before[0] > HELD:
         # e holds each edge from the greater node to the lesser
         both = e.union(e.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
         small = large.join(down, F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e, after = kept(small.union(down.select("k", "m")))
+        e, after = kept(small.union(down.select("k", "m")).distinct())
         if after == before:
             break
         before = after
+    else:
+        e = checkpointed(_contracted(e.repartition(1)))
     stars_ = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars_.union(stars_.select(F.col("root").alias("node"), "root").distinct())
