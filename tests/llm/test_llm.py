@@ -323,11 +323,14 @@ def test_forest_of_several_lengths(spark):
     assert sorted((r.query_id, r.vec_id) for r in ann_forest.search(one, col("id") % 100 == 0, k=2).collect()) == [(100, 101), (100, 102)]
 
 
-def test_recall_on_the_tables(spark):
-    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
+@pytest.mark.parametrize(("folder", "least"), [("/root/testdata/sf0.01", None), ("/root/testdata/sf0.1", 200)])
+def test_recall_on_the_tables(spark, folder, least):
+    """The query as it is, whose least number of candidates is all of a small table, and a search that leaves most rows out."""
+    table = spark.read.parquet(f"{folder}/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in table.collect()]
     ok = {i: np.array(v, float) for i, v in rows if v is not None and np.isfinite(np.array(v, float)).all() and any(v)}
     ids, x = np.array(list(ok)), np.stack(list(ok.values()))
-    got = ann_forest.query(spark, "/root/testdata/sf0.01").toPandas()
+    got = (ann_forest.search(table, col("id") % 100 == 0, least=least) if least else ann_forest.query(spark, folder)).toPandas()
     hits = total = 0
     for q in (i for i in ok if i % 100 == 0):
         d = np.sqrt(((x - ok[q]) ** 2).sum(1))
@@ -336,6 +339,7 @@ def test_recall_on_the_tables(spark):
         assert np.allclose(mine.score, [np.sqrt(((ok[i] - ok[q]) ** 2).sum()) for i in mine.vec_id], atol=0)
         hits, total = hits + len(set(want) & set(mine.vec_id)), total + len(want)
     assert total and hits / total >= 0.9
+    assert not least or hits < total  # not by looking at every row
 
 
 # ---------------------------------------------------------------- mixing

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import Blocks, stored, table
 
 TREES, BITS = 128, 24
 #: Queries of a block, and of those that a task takes at once; rows of a part.
@@ -111,25 +111,24 @@ def _range(sorted_: np.ndarray, q: np.ndarray, drop: np.ndarray | int) -> tuple[
     return np.searchsorted(sorted_, low, "left"), np.searchsorted(sorted_, low + (1 << np.asarray(drop)), "left")
 
 
-def _search(rows: DataFrame, asked: DataFrame, d: int, k: int, share: float, least: int, seed: int) -> list[DataFrame]:
-    """RESULT rows, with each query's k nearest of every part among them, of vectors of length d."""
+def _search(rows: DataFrame, asked: DataFrame, d: int, k: int, share: float, least: int, seed: int) -> DataFrame:
+    """RESULT rows, with each query's k nearest of every part among them, of vectors of length d. The forest is read twice, whatever the number of queries: each part meets the blocks of queries in turn."""
     spark = rows.sparkSession
     forest, hashes = index(rows, d, seed)
     wanted = max(least, int(share * (forest.agg(F.sum("n")).first()[0] or 0)))
-    blocks = max(1, -(-asked.count() // QUERIES))
-    results = []
-    for block in range(blocks):
+    count = max(1, -(-asked.count() // QUERIES))
+    sent, sizes = Blocks(spark), []
+    for block in range(count):
         # about QUERIES rows by a hash of the id: a bounded part of the query set
-        got = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).orderBy("id").toArrow()
-        if not len(got):
-            continue
-        ids, v = got["id"].to_numpy(), got["v"].combine_chunks().flatten().to_numpy().reshape(len(got), -1)
-        sent = spark.sparkContext.broadcast((ids, v, hashes(v).astype(np.int64)))
-
-        def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            _, _, qh = sent.value
-            seen = np.zeros((len(qh), BITS + 1), np.int64)
-            for _, _, strings, _ in _parts(batches, d):
+        got = asked.where(F.pmod(F.xxhash64("id"), F.lit(count)) == block).orderBy("id").toArrow()
+        v = got["v"].combine_chunks().flatten().to_numpy().reshape(len(got), -1) if len(got) else np.zeros((0, d))
+        sent.add((got["id"].to_numpy(), v, hashes(v).astype(np.int64)))
+        sizes.append(len(got))
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, strings, _ in _parts(batches, d):
+            for block, (_, _, qh) in enumerate(sent):
+                seen = np.zeros((len(qh), BITS + 1), np.int64)
                 for t, s in enumerate(strings):
                     for drop in range(BITS + 1):
                         a, b = _range(s, qh[:, t], drop)
@@ -137,18 +136,22 @@ def _search(rows: DataFrame, asked: DataFrame, d: int, k: int, share: float, lea
                         if drop and (b - a == len(s)).all():
                             seen[:, : BITS - drop] += len(s)
                             break
-            q, level = np.nonzero(seen)
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(level), pa.array(seen[q, level])], ["q", "level", "n"])
-
-        sums = forest.mapInArrow(count, "q long, level long, n long").groupBy("q", "level").agg(F.sum("n").alias("n")).where(F.col("n") >= wanted).groupBy("q").agg(F.max("level").alias("level")).toArrow()
-        level = np.zeros(len(ids), np.int64)  # without enough anywhere, up to the roots
-        level[sums["q"].to_numpy()] = sums["level"].to_numpy()
-        stop = spark.sparkContext.broadcast(level)
-
-        def nearest(batches: Iterator[pa.RecordBatch], sent=sent, stop=stop) -> Iterator[pa.RecordBatch]:
-            qid, qv, qh = sent.value
-            drop = BITS - stop.value
-            for own, x, strings, owner in _parts(batches, d):
+                q, level = np.nonzero(seen)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), block)), pa.array(q), pa.array(level), pa.array(seen[q, level])], ["block", "q", "level", "n"])
+
+    sums = forest.mapInArrow(counts, "block long, q long, level long, n long").groupBy("block", "q", "level").agg(F.sum("n").alias("n")).where(F.col("n") >= wanted)
+    levels = stored(sums.groupBy("block", "q").agg(F.max("level").alias("level")), "levels")
+    stops = Blocks(spark)
+    for block, size in enumerate(sizes):
+        got = levels.where(F.col("block") == block).toArrow()
+        level = np.zeros(size, np.int64)  # without enough anywhere, up to the roots
+        level[got["q"].to_numpy()] = got["level"].to_numpy()
+        stops.add(level)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, x, strings, owner in _parts(batches, d):
+            for (qid, qv, qh), stop in zip(sent, stops, strict=True):
+                drop = BITS - stop
                 for q in range(0, len(qid), SOME):
                     some = slice(q, q + SOME)
                     may = np.zeros((len(qid[some]), len(own)), bool)
@@ -172,8 +175,7 @@ def _search(rows: DataFrame, asked: DataFrame, d: int, k: int, share: float, lea
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "id", "score"])
 
-        results.append(forest.mapInArrow(nearest, RESULT))
-    return results
+    return forest.mapInArrow(nearest, RESULT)
 
 
 def search(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = 10, share: float = 0.4, least: int = 2000, seed: int = 42) -> DataFrame:
@@ -182,8 +184,7 @@ def search(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str
     asked = rows.where(queries).groupBy("id").agg(F.min(F.struct(F.size("v").alias("d"), "v")).alias("q")).select("id", "q.d", "q.v")
     found = vectors.sparkSession.createDataFrame([], RESULT)
     for d, in asked.select("d").distinct().orderBy("d").collect():  # nearly always one length
-        for more in _search(rows.where(F.size("v") == d), asked.where(F.col("d") == d), d, k, share, least, seed):
-            found = found.union(more)
+        found = found.union(_search(rows.where(F.size("v") == d), asked.where(F.col("d") == d), d, k, share, least, seed))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(key), "score")
 

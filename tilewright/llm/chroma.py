@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import Blocks, stored, table
 from .text import lists, released
 
 #: Frame length and step in seconds; pitches from 110 Hz over four octaves; frames under a filter.
 FRAME, STEP, LOW, OCTAVES, SPAN = 0.256, 0.064, 110.0, 4, 16
 #: Leading bits that count as equal; most queries, and about most items of queries, in a block.
 KEY_BITS, QUERIES, ITEMS = 20, 1024, 1 << 18
+#: Recordings, or bytes of them, that a task aligns with a block before it takes the next.
+TOGETHER, BYTES = 4096, 32 << 20
 #: An alignment has at most this share of wrong bits over at least so many items (about two seconds).
 RATE, OVERLAP = 0.25, 32
 #: Recordings of more items are aligned with one query at a time.
@@ -201,6 +203,18 @@ class Block:
         return met, offset, k, np.add.reduceat(wrong, before, dtype=np.int64)
 
 
+def several(batches: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Batches of at least so many rows or bytes, but for the last."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= rows or sum(x.nbytes for x in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def fingerprints(media: DataFrame, key: str, audio: str) -> DataFrame:
     """(id, items) of every recording; items as longs."""
 
@@ -221,43 +235,43 @@ def nearest_query(prints: DataFrame, queries: Column, rate: float = RATE, overla
 
     Equal queries are one class, named by a 64-bit hash of its items: `query_class` is that of a recording whose items a query has, and
     `alignments` has an entry for each class with another id than the recording's, its query_id the least such id; pairs() gives them query by query.
-    Queries go to every task in blocks of at most about QUERIES, and of about ITEMS items; equal recordings of a batch are
-    aligned once. query_id, offset, overlap and bit_errors are those of the best, null where there is none.
+    Queries go to every task in blocks of at most about QUERIES, and of about ITEMS items; a task takes the blocks in turn for TOGETHER recordings at a time, so one step of the plan meets
+    them all, and equal recordings among these are aligned once. query_id, offset, overlap and bit_errors are those of the best, null where there is none.
     """
     asked = prints.where(queries & (F.size("items") > 0)).groupBy("items").agg(F.slice(F.array_sort(F.collect_set("id")), 1, 2).alias("ids")).where(F.size("ids") > 0).withColumn("class", F.xxhash64("items"))
     number, total = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("items").cast("long")), F.lit(0))).first()
     blocks = max(1, -(-number // QUERIES), -(-total // ITEMS))
-    out = prints.withColumns({"query_class": F.lit(None).cast("long"), "alignments": F.array().cast(ALIGNED)})
-    kind = pa.list_(pa.struct([("query_class", pa.int64()), ("query_id", pa.int64()), ("offset", pa.int32()), ("overlap", pa.int32()), ("bit_errors", pa.int32())]))
+    sent = Blocks(prints.sparkSession)
     for block in range(blocks):
         rows = asked.where(F.pmod(F.col("class"), F.lit(blocks)) == block).orderBy("ids", "class").toArrow()
-        shared = prints.sparkSession.sparkContext.broadcast([(i, c, np.array(v, np.uint32)) for i, c, v in zip(rows["ids"].to_pylist(), rows["class"].to_pylist(), rows["items"].to_pylist(), strict=True)])
+        sent.add([(i, c, np.array(v, np.uint32)) for i, c, v in zip(rows["ids"].to_pylist(), rows["class"].to_pylist(), rows["items"].to_pylist(), strict=True)])
+    kind = pa.list_(pa.struct([("query_class", pa.int64()), ("query_id", pa.int64()), ("offset", pa.int32()), ("overlap", pa.int32()), ("bit_errors", pa.int32())]))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            block = Block([v for _, _, v in shared.value])
-            classes = {v.tobytes(): c for _, c, v in shared.value}
-            for batch in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in several(batches, TOGETHER, BYTES):
+            ends, flat = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy().astype(np.uint32)
+            ids, owns = batch.column(0).to_pylist(), [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            named: list[int | None] = [None] * len(ids)
+            results: list[list[dict]] = [[] for _ in ids]
+            for queries_ in sent:
+                block = Block([v for _, _, v in queries_])
+                classes = {v.tobytes(): c for _, c, v in queries_}
                 done: dict[bytes, list] = {}
-                named, results = [], []
-                ends = batch.column(1).offsets.to_numpy()
-                flat = batch.column(1).values.to_numpy().astype(np.uint32)
-                for i, (id_, name, old) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), strict=True)):
-                    own = flat[ends[i] : ends[i + 1]]
+                for i, (id_, own) in enumerate(zip(ids, owns, strict=True)):
                     key = own.tobytes()
                     if key not in done:
                         met, offset, k, wrong = block.align(own, overlap)
                         good = wrong <= rate * 32 * k
                         done[key] = list(zip(*(x[good].tolist() for x in (met, offset, k, wrong)), strict=True))
-                    named.append(classes.get(key, name))
+                    named[i] = classes.get(key, named[i])
                     for q, o, k, e in done[key]:
-                        ids, class_, _ = shared.value[q]
-                        other = next((x for x in ids if x != id_), None)
+                        its, class_, _ = queries_[q]
+                        other = next((x for x in its if x != id_), None)
                         if other is not None:
-                            old.append({"query_class": class_, "query_id": other, "offset": o, "overlap": k, "bit_errors": e})
-                    results.append(old)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(named, pa.int64()), pa.array(results, kind)], ["id", "items", "query_class", "alignments"])
+                            results[i].append({"query_class": class_, "query_id": other, "offset": o, "overlap": k, "bit_errors": e})
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(named, pa.int64()), pa.array(results, kind)], ["id", "items", "query_class", "alignments"])
 
-        out = out.mapInArrow(run, f"id long, items array<long>, query_class long, alignments {ALIGNED}")
+    out = prints.select("id", "items").mapInArrow(run, f"id long, items array<long>, query_class long, alignments {ALIGNED}")
     ranked = F.transform("alignments", lambda x: F.struct((x["bit_errors"] / x["overlap"]).alias("r"), *[x[c].alias(c) for c in ("query_id", "offset", "overlap", "bit_errors")]))
     best = out.withColumn("_best", F.array_min(ranked))
     return best.select("id", "items", *[F.col(f"_best.{c}").alias(c) for c in ("query_id", "offset", "overlap", "bit_errors")], "query_class", "alignments")

@@ -49,6 +49,28 @@ def plain(column: str) -> str:
     return "`" + column.replace("`", "``") + "`"
 
 
+class Blocks:
+    """A bounded part of a query set at a time: each is sent to executors on its own, and a task that goes through them holds one."""
+
+    def __init__(self, spark: SparkSession):
+        self.context, self.sent = spark.sparkContext, []
+
+    def add(self, value) -> None:
+        self.sent.append(self.context.broadcast(value))
+
+    def __len__(self) -> int:
+        return len(self.sent)
+
+    def __iter__(self) -> Iterator:
+        for one in self.sent:
+            yield one.value
+            if len(self.sent) > 1:
+                one.__dict__.pop("_value", None)  # read again when its turn comes again
+
+    def __getstate__(self) -> dict:
+        return {"sent": self.sent, "context": None}
+
+
 def place(df: DataFrame, name: str) -> int:
     """Where a column is; a name in another case will do if there is none in this one."""
     if name in df.columns:
