@@ -183,6 +183,25 @@ def test_nothing_is_lost_or_doubled(spark, tmp_path):
     assert size(both.where(F.col("slide") == names["x"])) == size(once)
 
 
+def test_slides_that_come(spark, tmp_path):
+    """A second start works on the new slides only; a broken one is a status."""
+    from tilewright.streaming.slides import extract_new
+
+    (tmp_path / "in").mkdir()
+    slide(tmp_path / "in" / "a.npy", side=1000)
+    start = lambda: extract_new(spark, str(tmp_path / "in"), str(tmp_path / "out"), maps.Discs(784, 6, 0.5, 64), str(tmp_path / "ck"), "*.npy", n_tiles=4).awaitTermination()
+    start()
+    first = (tmp_path / "out" / "a.npy" / "cell_masks.json").stat().st_mtime_ns
+    slide(tmp_path / "in" / "b.npy", side=1000)
+    (tmp_path / "in" / "c.npy").write_bytes(b"nothing")
+    (tmp_path / "in" / "d.txt").write_bytes(b"no slide, and not asked for")
+    start()
+    status = spark.read.parquet(str(tmp_path / "out" / "_status"))
+    assert sorted((r.slide, r.status, r.batch) for r in status.collect()) == [("a.npy", "ok", 0), ("b.npy", "ok", 1), ("c.npy", "failed", 1)]
+    assert (tmp_path / "out" / "a.npy" / "cell_masks.json").stat().st_mtime_ns == first
+    assert documents.read_tiles(spark, str(tmp_path / "out" / "*.npy")).groupBy("file").count().count() == 2
+
+
 def test_one_slide_fails_the_others_finish(spark, tmp_path):
     """Whatever fails, opening, thumbnail, windows, transform, model or the step to cells, is one status row of its slide."""
     from tilewright.plans.extract import extract

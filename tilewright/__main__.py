@@ -53,7 +53,7 @@ def main(args: list[str] | None = None) -> int:
     log = logging.getLogger("tilewright")
     log.info("extract %s", vars(a))
     start = time.perf_counter()
-    _, status = extract(spark, a.slides, a.export_dir, provider, a.decoder, a.tile_size, a.n_tiles, batch=a.batch_size, maps_at=a.maps)
+    _, status = extract(spark, a.slides, a.export_dir, provider, decoder=a.decoder, tile=a.tile_size, n_tiles=a.n_tiles, batch=a.batch_size, maps_at=a.maps)
     rows = status.collect()
     for r in rows:
         log.log(logging.ERROR if r.status == "failed" else logging.INFO, "%s: %s %s %s (%s)", *r)

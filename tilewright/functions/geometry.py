@@ -24,60 +24,89 @@ def shoelace(ring: Column) -> Column:
     return F.when(F.size(ring) < 3, F.lit(0.0)).otherwise(F.abs(F.aggregate(crossed, F.lit(0.0), lambda a, v: a + v)) / 2)
 
 
-def _edges(ring: np.ndarray) -> np.ndarray:
-    nxt = np.roll(ring, -1, axis=0)
-    keep = ring[:, 1] != nxt[:, 1]  # level edges bound no slab
-    return np.concatenate((ring[keep], nxt[keep]), axis=1)
-
-
-def _crossings(edges: np.ndarray) -> np.ndarray:
-    """Heights at which two edges cross."""
-    x0, y0, x1, y1 = edges.T
+#: Numbers that are worked on at once.
+HELD = 1 << 21
+
+
+def _padded(rings: list[np.ndarray]) -> np.ndarray:
+    """Edges (pairs, most, 4) of some rings; level edges bound no slab and are nan, as is what fills up."""
+    n = np.array([len(r) for r in rings])
+    out = np.full((len(rings), max(1, n.max(initial=0)), 4), np.nan)
+    row, at = np.repeat(np.arange(len(rings)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    flat = np.concatenate(rings) if len(rings) else np.zeros((0, 2))
+    nxt = np.arange(1, len(flat) + 1)
+    last = np.cumsum(n) - 1
+    nxt[last[n > 0]] = (np.cumsum(n) - n)[n > 0]
+    edges = np.concatenate((flat, flat[nxt]), axis=1) if len(flat) else np.zeros((0, 4))
+    edges[edges[:, 1] == edges[:, 3]] = np.nan
+    out[row, at] = edges
+    return out
+
+
+def _spans(edges: np.ndarray, mid: np.ndarray) -> np.ndarray:
+    """Where the edges cross some heights (pairs, heights), sorted, inf for none: (pairs, heights, crossings), their number even."""
+    x0, y0, x1, y1 = (edges[:, None, :, k] for k in range(4))
+    y = mid[:, :, None]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        x = np.where((y0 < y) != (y1 < y), x0 + (y - y0) / (y1 - y0) * (x1 - x0), np.inf)
+    x[np.isnan(x)] = np.inf
+    x.sort(axis=2)
+    most = int(np.isfinite(x).sum(2).max(initial=0))
+    return x[:, :, : most + most % 2]
+
+
+def _common_areas(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    every = np.concatenate((a, b), axis=1)
+    x0, y0, x1, y1 = (every[..., k] for k in range(4))
     dx, dy = x1 - x0, y1 - y0
-    cross = dx[:, None] * dy[None] - dy[:, None] * dx[None]
-    ox, oy = x0[None] - x0[:, None], y0[None] - y0[:, None]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t = (ox * dy[None] - oy * dx[None]) / cross
-        u = (ox * dy[:, None] - oy * dx[:, None]) / cross
-    hit = (cross != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
-    return (y0[:, None] + t * dy[:, None])[hit]
-
-
-def _inside(edges: np.ndarray, y: float) -> np.ndarray:
-    x0, y0, x1, y1 = edges.T
-    on = (y0 < y) != (y1 < y)
-    return np.sort(x0[on] + (y - y0[on]) / (y1[on] - y0[on]) * (x1[on] - x0[on]))
+    i, j = np.triu_indices(every.shape[1], 1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        cross = dx[:, i] * dy[:, j] - dy[:, i] * dx[:, j]
+        ox, oy = x0[:, j] - x0[:, i], y0[:, j] - y0[:, i]
+        t, u = (ox * dy[:, j] - oy * dx[:, j]) / cross, (ox * dy[:, i] - oy * dx[:, i]) / cross
+        met = np.where((cross != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1), y0[:, i] + t * dy[:, i], np.nan)
+        edge = lambda f, e: f(e[..., [1, 3]].reshape(len(e), -1), axis=1)
+        low, high = np.maximum(edge(np.nanmin, a), edge(np.nanmin, b)), np.minimum(edge(np.nanmax, a), edge(np.nanmax, b))
+        cuts = np.concatenate((y0, y1, met), axis=1)
+        cuts[~((cuts >= low[:, None]) & (cuts <= high[:, None]))] = np.nan
+    cuts.sort(axis=1)  # nan last
+    cuts = cuts[:, : max(1, int((~np.isnan(cuts)).sum(1).max(initial=0)))]
+    tall = np.nan_to_num(np.diff(cuts, axis=1))
+    mid = np.where(tall > 0, (cuts[:, :-1] + cuts[:, 1:]) / 2, np.nan)
+    total = np.zeros(len(a))
+    step = max(1, HELD // max(1, len(a) * every.shape[1]))
+    for s in range(0, mid.shape[1], step):
+        xa, xb = _spans(a, mid[:, s : s + step]), _spans(b, mid[:, s : s + step])
+        length = np.zeros(xa.shape[:2])
+        for k in range(0, xa.shape[2], 2):
+            for m in range(0, xb.shape[2], 2):
+                with np.errstate(invalid="ignore"):
+                    part = np.minimum(xa[..., k + 1], xb[..., m + 1]) - np.maximum(xa[..., k], xb[..., m])
+                length += np.where(part > 0, part, 0)
+        total += (length * tall[:, s : s + step]).sum(1)
+    return total
 
 
-def intersection_area(a: np.ndarray, b: np.ndarray) -> float:
-    """Common area of two rings (n, 2).
+def common_areas(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Common areas of rings (n, 2), pair by pair.
 
     Between neighbouring heights of vertices and crossings the covered length is linear in height, so its value in the middle
-    times the height is exact.
+    times the height is exact. Pairs of like sizes are worked on together.
     """
-    if len(a) < 3 or len(b) < 3:
-        return 0.0
-    ea, eb = _edges(np.asarray(a, float)), _edges(np.asarray(b, float))
-    every = np.concatenate((ea, eb))
-    if not len(ea) or not len(eb):
-        return 0.0
-    low, high = max(ea[:, [1, 3]].min(), eb[:, [1, 3]].min()), min(ea[:, [1, 3]].max(), eb[:, [1, 3]].max())
-    cuts = np.unique(np.concatenate((every[:, 1], every[:, 3], _crossings(every))))
-    cuts = cuts[(cuts >= low) & (cuts <= high)]
-    total = 0.0
-    for y0, y1 in zip(cuts[:-1], cuts[1:], strict=True):
-        mid = (y0 + y1) / 2
-        xa, xb = _inside(ea, mid), _inside(eb, mid)
-        i = j = 0
-        length = 0.0
-        while i + 1 < len(xa) and j + 1 < len(xb):
-            length += max(0.0, min(xa[i + 1], xb[j + 1]) - max(xa[i], xb[j]))
-            if xa[i + 1] < xb[j + 1]:
-                i += 2
-            else:
-                j += 2
-        total += length * (y1 - y0)
-    return total
+    out = np.zeros(len(a))
+    sizes = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)], np.int64)
+    some = [i for i in np.argsort(sizes, kind="stable").tolist() if min(len(a[i]), len(b[i])) > 2 and np.ptp(a[i][:, 1]) and np.ptp(b[i][:, 1])]
+    while some:
+        n = 1
+        while n < len(some) and (n + 1) * int(sizes[some[n]]) ** 2 <= HELD:
+            n += 1
+        part, some = some[:n], some[n:]
+        out[part] = _common_areas(_padded([np.asarray(a[i], float) for i in part]), _padded([np.asarray(b[i], float) for i in part]))
+    return out
+
+
+def intersection_area(a: np.ndarray, b: np.ndarray) -> float:
+    return float(common_areas([np.asarray(a, float).reshape(-1, 2)], [np.asarray(b, float).reshape(-1, 2)])[0])
 
 
 def polygon_area(ring: np.ndarray) -> float:
@@ -91,7 +120,8 @@ def flat(ring: str) -> Column:
 
 @F.pandas_udf(DoubleType())
 def _common(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([intersection_area(x.reshape(-1, 2), y.reshape(-1, 2)) if x is not None and y is not None else 0.0 for x, y in zip(a, b, strict=True)])
+    rings = lambda s: [np.zeros((0, 2)) if x is None else x.reshape(-1, 2) for x in s]
+    return pd.Series(common_areas(rings(a), rings(b)))
 
 
 def with_common_area(pairs: DataFrame, a: str = "ring_a", b: str = "ring_b", out: str = "inter") -> DataFrame:

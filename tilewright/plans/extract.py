@@ -91,14 +91,20 @@ def planned(slides: DataFrame, choices: Sequence[float]) -> DataFrame:
     return rows.drop("_window", "_chosen", "_based", "_coarse", "_seen")
 
 
-def extract(spark: SparkSession, patterns: Sequence[str], export_dir: str | None, provider, decoder: str = maps.DECODER, tile: int = TILE, n_tiles: int | None = None, most: float = 0.2, batch: int = 16, maps_at: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Tiles with their cells, one row each (`documents.of_tiles` makes whole documents of them), written as NAME/cell_masks.json under export_dir if given, and a status
-    (slide, stage, status, message, path) of each slide. Only documents of slides that were finished now are replaced.
+def extract(spark: SparkSession, patterns: Sequence[str], export_dir: str | None, provider, **options) -> tuple[DataFrame, DataFrame]:
+    """extract_paths() of what the patterns match."""
+    return extract_paths(files.collect_paths(spark, patterns), export_dir, provider, **options)
+
+
+def extract_paths(paths: DataFrame, export_dir: str | None, provider, decoder: str = maps.DECODER, tile: int = TILE, n_tiles: int | None = None, most: float = 0.2, batch: int = 16, maps_at: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """From paths (path, size, changed) to tiles with their cells, one row each (`documents.of_tiles` makes whole documents of them), written as NAME/cell_masks.json under export_dir if given,
+    and a status (slide, stage, status, message, path) of each slide. Only documents of slides that were finished now are replaced.
 
     `provider` is one model or several of different resolutions: a slide gets that of the finest one it has. Raw maps are kept under maps_at, if given, until the documents
     are written."""
+    spark = paths.sparkSession
     models = by_resolution(provider if isinstance(provider, (list, tuple)) else [provider])
-    slides = stored(opened(named(files.collect_paths(spark, patterns)), decoder), "slides")
+    slides = stored(opened(named(paths), decoder), "slides")
     good = stored(planned(slides.where("error IS NULL"), list(models)), "levels")
     fit = good.where("fits = 'ok'")
     seen = stored(thumbnails(fit, decoder), "thumbnails")
