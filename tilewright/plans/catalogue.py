@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import col
 
@@ -494,6 +494,17 @@ def url_predicate(spark, sf_dir):
     return fx.table(spark, sf_dir, "pages").select("page_id", files.is_url(col("url")).alias("is_url"))
 
 
+@query("""WITH names AS (SELECT p_size, p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'maps' ELSE concat('maps_', p_partkey, CASE p_partkey % 3 WHEN 0 THEN '.npy' ELSE '' END) END AS name FROM part)
+SELECT p_partkey, name, row_number() OVER (PARTITION BY p_size ORDER BY try_cast(nullif(regexp_extract(name, '([0-9]+)(\\.[^./]*)?$', 1), '') AS hugeint) NULLS FIRST, name, p_partkey) place FROM names""")
+def suffix_order(spark, sf_dir):
+    """Files of a group in the order of the number at the end of their names."""
+    k = col("p_partkey")
+    name = F.when(k % 5 == 0, "maps").otherwise(F.concat(F.lit("maps_"), k.cast("string"), F.when(k % 3 == 0, ".npy").otherwise("")))
+    rows = fx.table(spark, sf_dir, "part").select("p_size", "p_partkey", name.alias("name"))
+    order = Window.partitionBy("p_size").orderBy(files.suffix_number(col("name")), "name", "p_partkey")
+    return rows.select("p_partkey", "name", F.row_number().over(order).cast("long").alias("place"))
+
+
 @query()
 def collect_paths(spark, sf_dir):
     rows = files.collect_paths(spark, [f"{sf_dir}/r*.parquet", f"{sf_dir}/*.parquet"])

@@ -22,6 +22,12 @@ def is_url(text: Column) -> Column:
     return F.coalesce(text.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+"), F.lit(False))
 
 
+def suffix_number(name: Column) -> Column:
+    """The number at the end of a file's name, before its extension; null without one. Files that count upwards sort by it, not by their text."""
+    digits = F.regexp_extract(name, r"([0-9]+)(\.[^./]*)?$", 1)
+    return F.when(digits != "", digits.cast("decimal(38,0)"))
+
+
 def list_files(spark: SparkSession, pattern: str) -> DataFrame:
     """path, size and time of change of the files that match, without their content; through the file system that Spark knows, in order."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(pattern)
