@@ -50,14 +50,18 @@ def opened(slides: DataFrame, decoder: str = maps.DECODER) -> DataFrame:
     return slides.select(own).mapInPandas(read, schema)
 
 
-def thumbnails(slides: DataFrame, decoder: str = maps.DECODER, strip: int = 64) -> DataFrame:
-    """(slide_id, y, x, r, g, b, error) of slides (slide_id, path, width, height, factor): the slide at a level where `factor`, a power of two, pixels of level 0 make one a side, read in squares of
-    `strip` pixels of it. A square that cannot be read is a row with an error."""
+#: Side of the squares that thumbnails are read in.
+STRIP = 64
+
+
+def thumbnails(slides: DataFrame, decoder: str = maps.DECODER) -> DataFrame:
+    """(slide_id, row, col, w, r, g, b, error) of slides (slide_id, path, width, height, factor): the slide at a level where `factor`, a power of two, pixels of level 0 make one a side, read in squares of
+    STRIP pixels of it, one row each with its pixels packed. A square that cannot be read is a row with an error."""
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["slide_id", "y", "x", "r", "g", "b", "error"]
         path, s = None, None
         for frame in frames:
+            rows = []
             for t in frame.itertuples(index=False):
                 try:
                     if t.path != path:
@@ -65,16 +69,23 @@ def thumbnails(slides: DataFrame, decoder: str = maps.DECODER, strip: int = 64)
                         s = load_decoder(decoder).open(t.path.removeprefix("file:"))
                     if s is None:
                         raise ValueError("the slide could not be opened")
-                    h, w, data = s.read(int(t.factor).bit_length() - 1, t.col, t.row, strip, 0)
-                    small = np.frombuffer(data, np.uint8).reshape(h, w, 3).astype(float)
-                    y, x = np.mgrid[:h, :w]
-                    yield pd.DataFrame({"slide_id": t.slide_id, "y": y.ravel() + t.row * strip, "x": x.ravel() + t.col * strip, "r": small[..., 0].ravel(), "g": small[..., 1].ravel(), "b": small[..., 2].ravel(), "error": None})
+                    h, w, data = s.read(int(t.factor).bit_length() - 1, t.col, t.row, STRIP, 0)
+                    px = np.frombuffer(data, np.uint8).reshape(h * w, 3).astype(np.int16)
+                    rows.append((t.slide_id, t.row, t.col, w, px[:, 0], px[:, 1], px[:, 2], None))
                 except Exception as e:  # whatever a decoder raises belongs to this slide
-                    yield pd.DataFrame([(t.slide_id, t.row, t.col, None, None, None, maps.told(e))], columns=columns)
+                    rows.append((t.slide_id, t.row, t.col, 0, None, None, None, maps.told(e)))
+            yield pd.DataFrame(rows, columns=["slide_id", "row", "col", "w", "r", "g", "b", "error"])
 
-    squares = lambda c: F.explode(F.sequence(F.lit(0), F.ceil(F.floor(F.col(c) / F.col("factor")) / strip).cast("int") - 1))
+    squares = lambda c: F.explode(F.sequence(F.lit(0), F.ceil(F.floor(F.col(c) / F.col("factor")) / STRIP).cast("int") - 1))
     parts = slides.where("width >= factor AND height >= factor").withColumn("row", squares("height")).withColumn("col", squares("width"))
-    return parts.select("slide_id", "path", "factor", "row", "col").repartition("slide_id", "row").mapInPandas(read, "slide_id string, y long, x long, r double, g double, b double, error string")
+    schema = "slide_id string, row int, col int, w int, r array<short>, g array<short>, b array<short>, error string"
+    return parts.select("slide_id", "path", "factor", "row", "col").repartition("slide_id", "row").mapInPandas(read, schema)
+
+
+def pixels(squares: DataFrame) -> DataFrame:
+    """(slide_id, y, x, r, g, b) of the pixels of thumbnails."""
+    rows = squares.where("error IS NULL").select("slide_id", "row", "col", "w", F.posexplode(F.arrays_zip("r", "g", "b")).alias("at", "p"))
+    return rows.select("slide_id", (F.col("row") * STRIP + F.floor(F.col("at") / F.col("w"))).alias("y"), (F.col("col") * STRIP + F.col("at") % F.col("w")).alias("x"), *[F.col(f"p.{c}").cast("double").alias(c) for c in "rgb"])
 
 
 def planned(slides: DataFrame, choices: Sequence[float]) -> DataFrame:
@@ -108,12 +119,12 @@ def extract_paths(paths: DataFrame, export_dir: str | None, provider, decoder: s
     good = stored(planned(slides.where("error IS NULL"), list(models)), "levels")
     fit = good.where("fits = 'ok'")
     seen = stored(thumbnails(fit, decoder), "thumbnails")
-    first = F.min(F.struct("y", "x", "error"))
+    first = F.min(F.struct("row", "col", "error"))
     unread = stored(seen.where("error IS NOT NULL").groupBy("slide_id").agg(first.alias("e")).select("slide_id", F.lit("tissue").alias("stage"), F.lit("failed").alias("status"), F.col("e.error").alias("message")), "unread")
     usable = fit.join(unread.select("slide_id"), "slide_id", "left_anti")
     block = F.floor(tile * F.pow(F.lit(2.0), F.col("down_base")) / F.col("factor")).cast("int")  # a tile in pixels of the thumbnail
     edges = usable.select("slide_id", block.alias("_block"), *[F.floor(F.col(c) / F.col("factor")).alias(f"_{c}") for c in ("height", "width")])
-    found = detect_tissue(seen.drop("error").join(edges, "slide_id"), F.col("_block"), F.col("_height"), F.col("_width"), most).select("slide_id", "col", "row")
+    found = detect_tissue(pixels(seen).join(edges, "slide_id"), F.col("_block"), F.col("_height"), F.col("_width"), most).select("slide_id", "col", "row")
     about = ["path", "size", "changed", "down_window"]
     tiles = stored(tiling.first_tiles(found, n_tiles, ("slide_id",)).join(usable.select("slide_id", "level", "target_mpp", *about), "slide_id"), "tiles")
     none = F.lit(None).cast("string").alias("message")
