@@ -6,8 +6,8 @@ inverse suffix array (next greater one for the other order). So two candidates a
 prefixes: range minima, from a sparse table, over the array of longest common prefixes of the words and of the words read backwards.
 
 Texts are worked on in slices of about a megabyte (a longer text comes alone): their words are put behind each other with marks between them that
-occur once, so all steps are numpy operations on a slice, and no step needs another row. A slice takes about 60 bytes a word
-and logarithm of its words. Words are compared as they are, without hashes.
+occur once, so all steps are numpy operations on a slice, and no step needs another row. A slice takes some 100 bytes a word, and 8 more for each doubling of
+its words. Words are compared as they are, without hashes.
 
 Null and empty texts have no words, no runs and an empty collapsed text. Repeated rows are worked on one by one. Texts of any length are taken whole. Empty tables give empty
 results. Columns of the names of the outputs, whatever their case, are replaced; others stay. Ties of the longest run go to the least start, then the least period.
