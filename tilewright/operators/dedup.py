@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
 from .components import components
 
 
@@ -65,7 +66,8 @@ def leaves(cells: DataFrame, slide: str = "slide", leaf: int = LEAF) -> DataFram
 
 def dealt(cells: DataFrame, slide: str = "slide", leaf: int = LEAF) -> DataFrame:
     """A row for each leaf that a box reaches into: all columns, and the leaf's id and bounds (leaf, left, right, top, low). Most boxes lie in one leaf."""
-    cut = leaves(cells, slide, leaf).withColumnRenamed(slide, "_of")
+    # stored, so that its size is known: a small one is broadcast, a large one joined with slides of many boxes split
+    cut = stored(leaves(cells, slide, leaf), "leaves").withColumnRenamed(slide, "_of")
     whole = F.array(F.struct(F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"), F.array(F.struct(F.lit(0).alias("id"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))).alias("leaves")))
     # a slide of which no box was seen is one leaf
     rows = cells.join(cut, F.col(slide) == F.col("_of"), "left").withColumn("slabs", F.coalesce("slabs", whole))
