@@ -551,6 +551,45 @@ def test_gradients():
             assert abs((up - down) / (2 * e) - g[k][at]) < 1e-5, (k, at)
 
 
+def test_scores_against_a_loop(spark, monkeypatch):
+    """Every token's probability by the definition of the cell, one step at a time in double precision; the classes and the words within them share out all of it."""
+    import pyarrow as pa
+
+    kept = {}
+
+    def random_net(rows, lex, shared, **_):
+        net, rng = gru_lm.Gru(lex, seed=3), np.random.default_rng(5)
+        net.p = {k: (v + 0.5 * rng.normal(size=v.shape)).astype(np.float32) for k, v in net.p.items()}
+        kept["net"] = net
+        return net
+
+    monkeypatch.setattr(gru_lm, "fit", random_net)
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(["the", "The", "of", "and", "cat", f"w{rng.randrange(60)}", f"rare{rng.randrange(10**6)}ing"]) for _ in range(n))) for i, n in enumerate([0, 1, 2, 31, 32, 33, 150, 7])]
+    got = {r.doc_id: r for r in gru_lm.score(spark.createDataFrame(rows, SCHEMA), col("doc_id") < 6).collect()}
+    net, lex = kept["net"], kept["net"].lex
+    p, d = {k: v.astype(float) for k, v in net.p.items()}, net.hidden
+    share = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    for i, text in rows:
+        ((_, _, bounds, hashes, form),) = list(gru_lm.tokens(pa.array([text])))
+        count, unit = lex.look_up(hashes, form)
+        assert bounds.tolist() == [0, len(split(text)) + 1]
+        h, before, total = np.zeros(d), gru_lm.START, 0.0
+        for c, u in zip(count.tolist(), unit.tolist(), strict=True):
+            x = p["x"][before] + p["b"]
+            z, r = np.split(1 / (1 + np.exp(-(x[: 2 * d] + h @ p["h"][:, : 2 * d]))), 2)
+            h = (1 - z) * h + z * np.tanh(x[2 * d :] + (r * h) @ p["h"][:, 2 * d :])
+            classes = share(h @ p["c"] + p["cb"])
+            if u >= gru_lm.WORDS:
+                total += math.log10(classes[lex.groups + u - gru_lm.WORDS]) + math.log10((c + 1) / lex.mass[u - gru_lm.WORDS])
+            else:
+                a, b = lex.start[lex.group[u]], lex.start[lex.group[u] + 1]
+                words = share(p["w"][a:b] @ h + p["wb"][a:b])
+                total += math.log10(classes[lex.group[u]] * words[u - a])
+            before = u
+        assert math.isclose(got[i].score, total, rel_tol=1e-4), (i, got[i].score, total)
+
+
 def test_training_takes_all_tokens_in_order(monkeypatch):
     lex = gru_lm.Lexicon(100, 10, 1, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(65536, np.int32), np.ones(gru_lm.ENDINGS), np.array([0, 0, 0, 1, 1]), np.array([0, 3, 5]), np.zeros(2 + gru_lm.ENDINGS), np.zeros(5))
     net, rng = gru_lm.Gru(lex, hidden=3), np.random.default_rng(2)

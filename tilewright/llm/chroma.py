@@ -8,7 +8,7 @@ leading bits agree; the bit errors over the overlap at the best offset say how a
 Recordings are WAV bytes (16-bit PCM, any channels and rate). Null, broken, empty and too short ones have no items and align with nothing.
 Silence gives items of its own kind. Long recordings are taken whole. Equal recordings get equal fingerprints;
 rows that repeat an id are recordings of their own, and none is aligned with its own id. Ties go to the fewer
-errors, the smaller id, then the smaller offset. An empty table gives an empty result.
+errors, the smaller id, then the smaller offset. An empty table gives an empty result. Columns other than key and audio are not read, whatever their names.
 """
 
 from __future__ import annotations

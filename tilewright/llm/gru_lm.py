@@ -12,7 +12,8 @@ Words with at least 1/HEAD of all tokens, so at most HEAD, are sent to every tas
 by their hash. 64-bit hashes stand for words.
 
 Null and empty texts are one end token. Repeated rows count and are scored as documents of their own; a null key is a
-training document. Without training documents every score is that of the smoothed base. Texts of any length are scored whole.
+training document. Without training documents every score is that of the smoothed base. Texts of any length are scored whole. Words that occur equally often come in the order of their hashes, so
+reruns have the same classes. Columns other than key and text are not read, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
