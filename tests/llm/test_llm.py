@@ -89,6 +89,26 @@ def test_forward_backward():
         assert np.allclose(got[a:b], want) and abs(log_z[i] - z) < 1e-9 and abs(pairs[i].sum() - (b - a - 1)) < 1e-9
 
 
+def test_document_scores_against_all_labelings(spark):
+    """A document's score is the mean, by length, of its lines' shares of all labelings' weight."""
+    import pyarrow as pa
+
+    from tilewright.llm.text import buffers
+
+    rng = np.random.default_rng(7)
+    texts = ["", "one", "A line.\nand more | # 1\n\nEND", "x\n" * 6 + "y", "\n\n", "Ä é\tß\nzwei drei zwei drei\n42 42"]
+    width = 3 * quality_crf.OWN + 3
+    field = quality_crf.Field(rng.normal(size=width), 0.5 + rng.random(width), 0.3 * rng.normal(size=width), rng.normal(size=(2, 2)))
+    got = {r.doc_id: r.score for r in quality_crf.score(spark.createDataFrame(list(enumerate(texts)), SCHEMA), field).collect()}
+    x, _, first = quality_crf.line_features(*buffers(pa.array(texts)))
+    node = (quality_crf.with_neighbours(x, first) - field.mean) / field.scale @ field.weight
+    for i, t in enumerate(texts):
+        lines = t.split("\n")
+        good, _ = brute_marginals(node[first[i] : first[i + 1]], field.edge)
+        size = np.array([len(line.encode()) + 1 for line in lines])
+        assert len(lines) == first[i + 1] - first[i] and math.isclose(got[i], (good * size).sum() / size.sum(), rel_tol=1e-9)
+
+
 def test_quality(spark):
     d, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     field = quality_crf.fit(d, labels.where(quality_crf.fold(col("doc_id"), 3) != 1))
@@ -496,6 +516,35 @@ def test_genetics_find_a_packing_that_best_fit_misses():
     assert all(size(pack_ga.evolve(counts, 50, [], seed, 16, 40, least)[0]) == least for seed in range(3))
 
 
+def fewest_bins(sizes, capacity):
+    """By trying every set of items as the next bin."""
+    n = len(sizes)
+    room = [sum(s for i, s in enumerate(sizes) if m >> i & 1) <= capacity for m in range(1 << n)]
+    best = [0] + [n] * ((1 << n) - 1)
+    for m in range(1, 1 << n):
+        low, rest = m & -m, m & (m - 1)
+        part = rest
+        while True:  # subsets that hold the lowest item
+            if room[part | low]:
+                best[m] = min(best[m], 1 + best[m ^ (part | low)])
+            if not part:
+                break
+            part = (part - 1) & rest
+    return best[-1]
+
+
+def test_packings_of_few_items_are_the_best_there_are():
+    """With the query's population and generations, and two epochs."""
+    rng = random.Random(9)
+    for _ in range(25):
+        sizes = [rng.randint(1, 20) for _ in range(rng.randint(1, 9))]
+        counts, least = dict(Counter(sizes)), -(-sum(sizes) // 20)
+        elites = pack_ga.evolve(counts, 20, [], 1, 8, 4, least)
+        best = pack_ga.evolve(counts, 20, elites, 2, 8, 4, least)[0]
+        assert sum(best.values()) == fewest_bins(sizes, 20), sizes
+        assert Counter(k for pattern, n in best.items() for k, m in pattern for _ in range(n * m)) == Counter(sizes)
+
+
 def test_islands_breed_and_migrate_before_they_stop(spark, monkeypatch):
     """Even where the first packing has the least number of bins: two epochs, and the second one starts from elites of two islands."""
     calls = spark.sparkContext.accumulator(0)
