@@ -193,6 +193,24 @@ def test_leaves_are_even(spark):
     assert 300 < len(sizes) < 600 and sizes.max() < 2 * sizes.median() and sizes.sum() < 1.15 * n
 
 
+def test_layout_of_leaves_stays_apart(spark):
+    """What a box meets of its slide's layout is the cuts of a slab, not all leaves."""
+    rows = spark.range(100_000).select(F.lit(0).alias("slide"), F.col("id").alias("seq"), *[F.pmod(F.xxhash64(F.lit(s), "id"), F.lit(64_000)).alias(c) for s, c in enumerate(("x0", "y0"))])
+    cut = dedup.leaves(rows)
+    assert cut.select(F.max(F.length(F.to_json(F.struct(*cut.columns))))).first()[0] < 1500  # all of 390 leaves take over 10,000
+
+
+def test_sweep_of_leaves(monkeypatch):
+    """Boxes of several leaves at once, a few pairs at a time, in any order."""
+    monkeypatch.setattr(dedup, "PAIRS", 7)
+    rng = np.random.default_rng(8)
+    x0, y0 = rng.integers(0, 40, (2, 200)).astype(float)
+    x1, y1, leaf = x0 + rng.integers(1, 9, 200), y0 + rng.integers(1, 9, 200), np.sort(rng.integers(0, 5, 200))
+    got = sorted(tuple(sorted(p)) for i, j in dedup._meeting(leaf, x0, x1, y0, y1) for p in zip(i.tolist(), j.tolist(), strict=True))
+    meet = lambda i, j: leaf[i] == leaf[j] and x0[i] < x1[j] and x0[j] < x1[i] and y0[i] < y1[j] and y0[j] < y1[i]
+    assert got == [(i, j) for i in range(200) for j in range(i + 1, 200) if meet(i, j)]
+
+
 def test_basins_and_corners_of_any_raster(spark):
     rng = np.random.default_rng(6)
     rows = [(k, rng.normal(size=30).tolist(), (rng.integers(1, 4, 30) * (rng.random(30) < 0.15)).tolist(), (rng.random(30) < 0.8).tolist()) for k in range(40)]

@@ -5,9 +5,12 @@ Order decides ties everywhere: safe cells first, then seq.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import stored
@@ -32,64 +35,139 @@ def keep_first(cells: DataFrame, slide: str = "slide") -> DataFrame:
 
 #: Boxes of a leaf, about; one box in SAMPLED is seen when leaves are laid out.
 LEAF, SAMPLED = 256, 8
-_SPAN = "low double, high double"
-SLABS = f"slabs array<struct<{_SPAN.replace(' double', ': double')}, leaves: array<struct<id: int, {_SPAN.replace(' double', ': double')}>>>>"
+#: Boxes that are compared at once, and pairs of them.
+BOXES, PAIRS = 1 << 16, 1 << 18
 
 
 def _laid_out(x: np.ndarray, y: np.ndarray, leaf: int) -> list[dict]:
-    """Slabs of equal numbers of the points by x, each cut into leaves of equal numbers by y; they cover the plane."""
+    """Slabs of equal numbers of the points by x, each cut into leaves of equal numbers by y; they cover the plane. Row -1 has the cuts between slabs, every other one those of its slab
+    and the number of its first leaf. `steps` are the powers of two that a search through the cuts takes."""
 
-    def spans(v: np.ndarray, n: int) -> list[tuple[float, float]]:
+    def row(slab: int, first: int, v: np.ndarray, n: int) -> dict:
         cuts = np.unique(np.sort(v)[np.arange(1, n) * len(v) // n]) if n > 1 else np.zeros(0)
-        return list(zip([-np.inf, *cuts], [*cuts, np.inf], strict=True))
+        return {"slab": slab, "first": first, "cuts": cuts, "steps": [1 << k for k in reversed(range(len(cuts).bit_length()))]}
 
     side = max(1, round(np.sqrt(len(x) * SAMPLED / leaf)))
-    out, n = [], 0
-    for low, high in spans(x, side):
-        own = y[(x >= low) & (x < high)]
-        parts = spans(own, max(1, round(len(own) * SAMPLED / leaf)))
-        out.append({"low": low, "high": high, "leaves": [{"id": n + i, "low": a, "high": b} for i, (a, b) in enumerate(parts)]})
-        n += len(parts)
+    out, first = [row(-1, 0, x, side)], 0
+    of = np.searchsorted(out[0]["cuts"], x, "right")
+    order = np.argsort(of, kind="stable")
+    for slab, own in enumerate(np.split(y[order], np.searchsorted(of[order], np.arange(1, len(out[0]["cuts"]) + 1)))):
+        out.append(row(slab, first, own, max(1, round(len(own) * SAMPLED / leaf))))
+        first += len(out[-1]["cuts"]) + 1
     return out
 
 
 def leaves(cells: DataFrame, slide: str = "slide", leaf: int = LEAF) -> DataFrame:
-    """(slide, slabs): how each slide's plane is cut, from the corners of an eighth of its boxes, so that dense places have small leaves and empty ones large."""
+    """(slide, slab, first, cuts, steps): how each slide's plane is cut, from the corners of an eighth of its boxes, so that dense places have small leaves and empty ones large."""
     kind = cells.schema[slide].dataType.simpleString()
 
     def layout(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({slide: [key[0]], "slabs": [_laid_out(frame["x0"].to_numpy(float), frame["y0"].to_numpy(float), leaf)]})
+        return pd.DataFrame(_laid_out(frame["x0"].to_numpy(float), frame["y0"].to_numpy(float), leaf)).assign(**{slide: key[0]})
 
     seen = cells.where(F.pmod(F.xxhash64("uid"), F.lit(SAMPLED)) == 0) if "uid" in cells.columns else cells.where(F.pmod(F.xxhash64("seq"), F.lit(SAMPLED)) == 0)
-    return seen.select(slide, "x0", "y0").groupBy(slide).applyInPandas(layout, f"{slide} {kind}, {SLABS}")
+    return seen.select(slide, "x0", "y0").groupBy(slide).applyInPandas(layout, f"{slide} {kind}, slab int, first int, cuts array<double>, steps array<int>")
+
+
+def _below(cuts: Column, steps: Column, value: str) -> Column:
+    """How many of the cuts, sorted, are at most the value: a search by halves."""
+    on = lambda at, step: (at + step <= F.size(cuts)) & (F.get(cuts, at + step - 1) <= F.col(value))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(on(at, step), at + step).otherwise(at))
 
 
 def dealt(cells: DataFrame, slide: str = "slide", leaf: int = LEAF) -> DataFrame:
-    """A row for each leaf that a box reaches into: all columns, and the leaf's id and bounds (leaf, left, right, top, low). Most boxes lie in one leaf."""
+    """A row for each leaf that a box reaches into: all columns, and the leaf's id and bounds (leaf, left, right, top, low). Most boxes lie in one leaf.
+
+    A row meets the cuts between slabs first and then those of its slab only, so what it carries along is the square root of a slide's leaves.
+    """
     # stored, so that its size is known: a small one is broadcast, a large one joined with slides of many boxes split
     cut = stored(leaves(cells, slide, leaf), "leaves").withColumnRenamed(slide, "_of")
-    whole = F.array(F.struct(F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"), F.array(F.struct(F.lit(0).alias("id"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))).alias("leaves")))
-    # a slide of which no box was seen is one leaf
-    rows = cells.join(cut, F.col(slide) == F.col("_of"), "left").withColumn("slabs", F.coalesce("slabs", whole))
-    within = lambda parts, low, high: F.explode(F.filter(parts, lambda s: (s["low"] <= F.col(high)) & (s["high"] > F.col(low))))
-    rows = rows.select(*cells.columns, within("slabs", "x0", "x1").alias("_slab")).select(*cells.columns, "_slab.low", "_slab.high", within("_slab.leaves", "y0", "y1").alias("_leaf"))
-    return rows.select(*cells.columns, F.col("_leaf.id").alias("leaf"), F.col("low").alias("leaf_left"), F.col("high").alias("leaf_right"), F.col("_leaf.low").alias("leaf_top"), F.col("_leaf.high").alias("leaf_down"))
+    own = cells.columns
+
+    def within(rows: DataFrame, number: str, low: str, high: str, sides: tuple[str, str]) -> DataFrame:
+        """The parts from that of `low` to that of `high`, and their bounds. A slide of which no box was seen is one leaf."""
+        cuts, steps = F.coalesce("cuts", F.array().cast("array<double>")), F.coalesce("steps", F.array().cast("array<int>"))
+        rows = rows.withColumns({"cuts": cuts, "steps": steps})
+        rows = rows.withColumns({"_from": _below(F.col("cuts"), F.col("steps"), low), "_to": _below(F.col("cuts"), F.col("steps"), high)})
+        rows = rows.withColumn(number, F.explode(F.sequence("_from", F.greatest("_from", "_to"))))
+        bounds = {sides[0]: F.coalesce(F.get("cuts", F.col(number) - 1), F.lit(float("-inf"))), sides[1]: F.coalesce(F.get("cuts", F.col(number)), F.lit(float("inf")))}
+        return rows.withColumns(bounds).drop("_of", "slab", "cuts", "steps", "_from", "_to")
+
+    rows = within(cells.join(cut.where("slab = -1").drop("first"), F.col(slide) == F.col("_of"), "left"), "_slab", "x0", "x1", ("leaf_left", "leaf_right"))
+    rows = rows.join(cut.where("slab >= 0"), (F.col(slide) == F.col("_of")) & (F.col("_slab") == F.col("slab")), "left")
+    rows = within(rows, "_leaf", "y0", "y1", ("leaf_top", "leaf_down"))
+    return rows.select(*own, (F.coalesce("first", F.lit(0)) + F.col("_leaf")).alias("leaf"), "leaf_left", "leaf_right", "leaf_top", "leaf_down")
+
+
+def _meeting(leaf: np.ndarray, x0: np.ndarray, x1: np.ndarray, y0: np.ndarray, y1: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of boxes of one leaf that overlap. In the order of their left sides, a box meets those after it up to its right side."""
+    n = len(leaf)
+    values, rank = np.unique(np.concatenate((x0, x1)), return_inverse=True)
+    start, stop = (leaf.astype(np.int64) * len(values) + r for r in (rank[:n], rank[n:]))
+    order = np.argsort(start, kind="stable")
+    many = np.searchsorted(start[order], stop[order]) - np.arange(n) - 1
+    before = np.concatenate(([0], np.cumsum(many)))
+    s = 0
+    while s < n:
+        e = max(s + 1, int(np.searchsorted(before, before[s] + PAIRS, "right")) - 1)
+        i = np.repeat(np.arange(s, e), many[s:e])
+        j = np.arange(before[e] - before[s]) - np.repeat(before[s:e] - before[s], many[s:e]) + i + 1
+        i, j = order[i], order[j]
+        met = (y0[i] < y1[j]) & (y0[j] < y1[i])
+        yield i[met], j[met]
+        s = e
+
+
+def _pairs(rows: DataFrame, slide: str, columns: list[str]) -> DataFrame:
+    """From boxes in leaves, rows of a leaf one after another, to pairs that overlap, each in the leaf of its overlap's upper left corner."""
+
+    def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        if not len(table):
+            return
+        value = {c: table[c].to_numpy() for c in ("seq", "x0", "x1", "y0", "y1", "leaf_left", "leaf_right", "leaf_top", "leaf_down")}
+        for i, j in _meeting(_groups(table), *(value[c] for c in ("x0", "x1", "y0", "y1"))):
+            left, top = np.maximum(value["x0"][i], value["x0"][j]), np.maximum(value["y0"][i], value["y0"][j])
+            here = (left >= value["leaf_left"][i]) & (left < value["leaf_right"][i]) & (top >= value["leaf_top"][i]) & (top < value["leaf_down"][i])
+            here &= value["seq"][i] != value["seq"][j]
+            i, j = i[here], j[here]
+            first = value["seq"][i] < value["seq"][j]
+            a, b = table.select(columns).take(np.where(first, i, j)), table.select(columns).take(np.where(first, j, i))
+            yield from pa.table([*a.columns, *b.columns], [f"{c}_{s}" for s in "ab" for c in columns]).combine_chunks().to_batches()
+
+    def _groups(table: pa.Table) -> np.ndarray:
+        """Leaves, numbered in their order."""
+        of = table[slide].combine_chunks().dictionary_encode().indices.to_numpy(), table["leaf"].to_numpy()
+        return np.concatenate(([0], np.cumsum((of[0][1:] != of[0][:-1]) | (of[1][1:] != of[1][:-1]))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += len(batch)
+            if size >= BOXES:
+                table = pa.Table.from_batches(held)
+                group = _groups(table)
+                whole = int(np.searchsorted(group, group[-1]))
+                yield from found(table.slice(0, whole))
+                # the last leaf may go on; one of very many boxes is looked at again when as many more came
+                table = table.slice(whole)
+                held, size = table.to_batches(), len(table) if len(table) < BOXES // 2 else 0
+        if held:
+            yield from found(pa.Table.from_batches(held))
+
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in columns}
+    return rows.mapInArrow(run, ", ".join(f"{c}_{s} {kinds[c]}" for s in "ab" for c in columns))
 
 
 def box_pairs(cells: DataFrame, leaf: int = LEAF, slide: str = "slide", least_share: float = 0.01) -> DataFrame:
     """Pairs of cells (a before b) whose boxes overlap by enough that their polygons may: every column with suffix _a and _b.
 
-    Boxes are dealt to leaves of about as many; a pair comes out only in the leaf of its overlap's upper left corner, so once.
+    Boxes are dealt to leaves of about as many, and those of a leaf are swept from left to right; a pair comes out only in the leaf of its overlap's upper left corner, so once.
     """
-    rows = dealt(cells, slide, leaf)
-    a, b = (rows.select([F.col(c).alias(f"{c}_{s}") for c in rows.columns]) for s in "ab")
-    x0, x1 = F.greatest("x0_a", "x0_b"), F.least("x1_a", "x1_b")
-    y0, y1 = F.greatest("y0_a", "y0_b"), F.least("y1_a", "y1_b")
-    same = (F.col(f"{slide}_a") == F.col(f"{slide}_b")) & (F.col("leaf_a") == F.col("leaf_b"))
-    here = (x0 >= F.col("leaf_left_a")) & (x0 < F.col("leaf_right_a")) & (y0 >= F.col("leaf_top_a")) & (y0 < F.col("leaf_down_a"))
-    meets = (F.col("seq_a") < F.col("seq_b")) & (x0 < x1) & (y0 < y1) & here
-    pairs = a.join(b, same & meets).withColumn("box_area", (x1 - x0) * (y1 - y0))
-    return pairs.where(F.col("box_area") >= least_share * F.least("area_a", "area_b")).drop(*[f"{c}_{s}" for c in ("leaf", "leaf_left", "leaf_right", "leaf_top", "leaf_down") for s in "ab"])
+    boxes = cells.dropna(subset=[slide, "seq"]).where("x0 < x1 AND y0 < y1")
+    rows = dealt(boxes, slide, leaf).repartition(slide, "leaf").sortWithinPartitions(slide, "leaf")
+    pairs = _pairs(rows, slide, cells.columns)
+    across, down = (F.least(f"{c}1_a", f"{c}1_b") - F.greatest(f"{c}0_a", f"{c}0_b") for c in "xy")
+    return pairs.withColumn("box_area", across * down).where(F.col("box_area") >= least_share * F.least("area_a", "area_b"))
 
 
 def overlap_edges(pairs: DataFrame, area: str = "box_area", least_share: float = 0.01) -> DataFrame:
