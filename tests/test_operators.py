@@ -113,6 +113,19 @@ def test_components(spark, monkeypatch, held):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_stars_are_put_aside(spark, monkeypatch):
+    """Components that are done take no part in further rounds."""
+    from tilewright.operators import components as module
+
+    sizes, write = [], module.checkpointed
+    monkeypatch.setattr(module, "HELD", 50)
+    monkeypatch.setattr(module, "checkpointed", lambda df: (out := write(df), sizes.append(out.count()))[0])
+    edges = [(10_000 + i, i) for i in range(0, 5000, 5)] + [(20_000 + i, 20_001 + i) for i in range(200)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long").repartition(60)).collect()}
+    assert got == {n: i for i in range(0, 5000, 5) for n in (i, 10_000 + i)} | {20_000 + i: 20_000 for i in range(201)}
+    assert sizes[0] >= 1000 and max(sizes[3:]) < 300
+
+
 def test_assign(spark):
     tiles = spark.createDataFrame([(0, 1, 0, 0), (0, 2, 1, 0), (0, 3, 0, 0), (0, 4, 5, 5)], "slide long, tile_seq long, col long, row long")
     rows = project(cells(spark, (1, 0, 0, 164, 174, 164, 174), (2, 0, 0, 0, 10, 0, 10), (3, 0, 0, 170, 190, 300, 320)))

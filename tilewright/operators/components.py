@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..sources.shared import checkpointed
@@ -54,35 +54,47 @@ def _contracted(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, "u long, v long")
 
 
+def _told(edges: DataFrame) -> DataFrame:
+    """Distinct edges from the greater node to the lesser, with `open`: whether their component is no star yet. It is one as long as every node has no lesser neighbour, or one and no other."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up")).union(edges.select("v", F.lit(0)))
+    busy = ends.groupBy("x").agg(F.count("*").alias("n"), F.sum("up").alias("up")).where("n > 1 AND up > 0").select("x")
+    held = busy.union(edges.join(busy, F.col("u") == F.col("x")).select("v")).distinct()
+    return edges.join(held, F.col("v") == F.col("x"), "left").select("u", "v", F.col("x").isNotNull().alias("open"))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node that has an edge; root is the least node of its component.
 
-    Tasks first join the edges they hold. As soon as all that are left fit into one task, it joins those and nothing is left to do. Before that, large-star and small-star steps alternate: each
-    moves edges to the least neighbour, so a component becomes a star in about the logarithm of its size in rounds. Every round is checkpointed; two numbers, observed while
-    it is written, reach the driver.
+    Tasks first join the edges they hold. As soon as all that are left fit into one task, it joins those and nothing is left to do. Before that, components that are stars around their least node
+    are done and put aside, and on the others large-star and small-star steps alternate: each moves edges to the least neighbour, so a component becomes a star in about the logarithm of its
+    size in rounds. Every round is checkpointed; one number, observed while it is written, reaches the driver.
     """
 
-    def kept(e: DataFrame) -> tuple[DataFrame, tuple]:
+    def kept(e: DataFrame, counted: Column) -> tuple[DataFrame, int]:
         seen = Observation()
-        e = checkpointed(e.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")))
-        return e, (seen.get["n"], seen.get["s"])
+        e = checkpointed(e.observe(seen, F.count(F.when(counted, 1)).alias("n")))
+        return e, seen.get["n"]
 
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    e, before = kept(_contracted(e))
-    if before[0] > HELD:
-        e, before = kept(e.distinct())
-    while before[0] > HELD:
+    e, left = kept(_contracted(e), F.lit(True))
+    done = []
+    if left > HELD:
+        e = checkpointed(e.distinct())
+    while left > HELD:
+        e, left = kept(_told(e), F.col("open"))
+        done.append(e.where("NOT open").select("u", "v"))
+        e = e.where("open").select("u", "v")
+        if left <= HELD:
+            break
         # e holds each edge from the greater node to the lesser
         both = e.union(e.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
         small = large.join(down, F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e, after = kept(small.union(down.select("k", "m")).distinct())
-        if after == before:
-            break
-        before = after
-    else:
-        e = checkpointed(_contracted(e.repartition(1)))
-    stars_ = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        e = checkpointed(small.union(down.select("k", "m")).distinct())
+    stars_ = checkpointed(_contracted(e.repartition(1)))
+    for e in done:
+        stars_ = stars_.union(e)
+    stars_ = stars_.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars_.union(stars_.select(F.col("root").alias("node"), "root").distinct())
