@@ -146,6 +146,32 @@ def test_resolution(spark):
     assert one(0.25, 0.1)[2] == "mpp_not_available"
 
 
+def test_nearest_level_of_any_resolution(spark):
+    """Every level tried, with resolutions that are exact ties, tiny, huge, negative or no numbers, and pyramids of any height."""
+    import math
+
+    base = [0.25 * 2.0**k * f for k in range(-20, 8) for f in (0.7, 1.0, 4 / 3, 1.5, 1.9999999)] + [0.0, -0.3, -1e-20, 1e-300, 5e-324, 1e300, float("inf"), float("nan"), None]
+    rows = [(i, b, n) for i, (b, n) in enumerate((b, n) for b in base for n in (1, 2, 18))]
+    table = spark.createDataFrame(rows, "i int, m double, n int")
+    for target in (0.5, 8.0):
+        level, mpp, status = pyramid.nearest_level(col("m"), col("n"), target)
+        for r in table.select("m", "n", level.alias("level"), mpp.alias("mpp"), status.alias("status")).collect():
+            at = [(0.25 if r.m is None else r.m) * 2.0 ** (r.n - 1 - i) for i in range(r.n)]
+            off = [abs(x - target) for x in at]
+            best = 0 if math.isnan(at[0]) else off.index(min(off))
+            assert r.level == best and (r.mpp == at[best] or math.isnan(at[best])) and r.status == ("ok" if off[best] / target <= 0.2 else "mpp_not_available"), r
+
+
+def test_levels_are_not_tried_one_by_one(spark):
+    """A pyramid of very many levels costs no more than one of few."""
+    import time
+
+    level, _, _ = pyramid.nearest_level(col("id") * 0.001 + 0.1, F.lit(900), 8.0)
+    start = time.time()
+    spark.range(60_000).select(F.sum(level)).collect()
+    assert time.time() - start < 10
+
+
 def test_tiling(spark):
     t = spark.createDataFrame([(0, 0, 0), (0, 1, 0), (0, 2, 0), (0, 2, 0)], "slide long, col long, row long")
     assert sorted((r.col, r.row) for r in tiling.retile(t, 224, 656, 16, 17).collect()) == [(0, 0), (1, 0)]

@@ -38,8 +38,16 @@ def ladder(slides: DataFrame, finest: str = "mpp", levels: str = "n_levels", def
 def nearest_level(finest: Column, levels: Column, target: float, rtol: float = 0.2, default: float = 0.25) -> tuple[Column, Column, Column]:
     """Level, its mpp and a status: the nearest in mpp, the coarser on ties; not available if it is off by more than rtol."""
     base = F.coalesce(finest, F.lit(default))
-    steps = F.transform(F.sequence(F.lit(0), levels - 1), lambda i: F.struct(F.abs(base * F.pow(F.lit(2.0), levels - 1 - i) - target).alias("off"), i.alias("level"), (base * F.pow(F.lit(2.0), levels - 1 - i)).alias("mpp")))
-    best = F.array_min(steps)
+
+    def step(i: Column) -> Column:
+        at = base * F.pow(F.lit(2.0), levels - 1 - i)
+        return F.struct(F.abs(at - target).alias("off"), i.alias("level"), at.alias("mpp"))
+
+    # the levels on both sides of the target, one more each for what the logarithm rounds, and both ends; all levels where it tells nothing
+    doubled = F.greatest(F.lit(-2), F.least(levels.cast("long"), F.floor(F.log2(F.lit(target) / F.nullif(base, F.lit(0.0)))))).cast("int")
+    near = F.array_min(F.array(*[step(F.greatest(F.lit(0), F.least(levels - 1, levels - 1 - doubled - d))) for d in (-1, 0, 1, 2)], step(F.lit(0)), step(levels - 1)))
+    every = F.array_min(F.transform(F.sequence(F.lit(0), levels - 1), step))
+    best = F.when((base > 0) & (base < float("inf")) & (levels >= 1) & (F.lit(target) > 0), near).otherwise(every)
     return best["level"], best["mpp"], F.when(best["off"] / target > rtol, "mpp_not_available").otherwise("ok")
 
 

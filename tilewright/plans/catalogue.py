@@ -70,8 +70,9 @@ def nearest_level(spark, sf_dir):
 chosen AS (SELECT slide_id, CASE WHEN f.off <= 0.2 THEN 0.25 WHEN h.off <= 0.2 THEN 0.5 END::double mpp, CASE WHEN f.off <= 0.2 THEN f.best WHEN h.off <= 0.2 THEN h.best END::int AS level FROM fine f JOIN half h USING (slide_id))
 SELECT slide_id, mpp, level, CASE WHEN mpp IS NULL THEN 'mpp_not_available' ELSE 'ok' END status, CASE mpp WHEN 0.25 THEN 10 WHEN 0.5 THEN 5 END min_size, CASE mpp WHEN 0.25 THEN 21 WHEN 0.5 THEN 11 END kernel FROM chosen""")
 def preferred_mpp(spark, sf_dir):
-    chosen, level, status = pyramid.preferred(_mpp(), col("n_levels"))
-    rows = fx.slides(spark, sf_dir).select("slide_id", chosen.alias("mpp"), level.alias("level"), status.alias("status"))
+    # a column of its own: it is worked out once, not wherever it is used
+    chosen, level, status = pyramid.preferred(col("finest"), col("n_levels"))
+    rows = fx.slides(spark, sf_dir).withColumn("finest", _mpp()).select("slide_id", chosen.alias("mpp"), level.alias("level"), status.alias("status"))
     least, kernel = pyramid.parameters(col("mpp"))
     return rows.withColumns({"min_size": least, "kernel": kernel})
 
