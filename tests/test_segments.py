@@ -164,6 +164,21 @@ def test_repaired_column(spark):
     assert got == {1: (4.5, 6), 2: (4.5, 6), 3: (0.0, 0), 4: (0.0, 0), 5: (0.5, 6)}
 
 
+def test_outlines_are_cut_once(monkeypatch):
+    """Rings of a few shapes at many places, in several batches: each shape is cut once, and every place has its own part."""
+    cuts, cut = [], arrangement.largest_part
+    monkeypatch.setattr(arrangement, "largest_part", lambda r: (cuts.append(len(r)), cut(r))[1])
+    shapes = [np.array(s, float) for s in ([(0, 0), (4, 3), (4, 0), (0, 1)], [(0, 0), (4, 1), (4, 0), (0, 3)], [(0, 0), (2, 0), (2, 2), (0, 2)], [(0, 0), (1, 1)], [], [(0, 0), (4, 0), (1, 1), (0, 4)])]
+    rng, known = np.random.default_rng(4), {}
+    for _ in range(3):
+        rings = [shapes[k].reshape(-1, 2) + rng.integers(-50, 50, 2) for k in rng.integers(0, 6, 60)]
+        points, count, area = arrangement.fixed(np.concatenate(rings), np.array([len(r) for r in rings]), known)
+        for r, own, a in zip(rings, np.split(points, np.cumsum(count)[:-1]), area, strict=True):
+            want = cut(r)
+            assert sorted(map(tuple, own.round(6).tolist())) == sorted(map(tuple, want[0].round(6).tolist())) and a == pytest.approx(want[1])
+    assert sorted(cuts) == [2, 4, 4, 4]
+
+
 @pytest.mark.parametrize("leaf", [4, 256])
 def test_box_pairs(spark, leaf):
     rng = np.random.default_rng(5)
